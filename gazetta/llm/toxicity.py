@@ -15,7 +15,7 @@ from .quality import labelled_sample
 from .textvec import Words, batches, mix, range_hashes, runs
 
 #: Labelled documents that the network is fitted on at most; scoring covers every window of every document.
-SAMPLE = 6_000
+SAMPLE = 4_000
 #: Documents of more characters are left out of the sample, so that its size is bounded; scoring reads texts of any length.
 LONGEST = 20_000
 #: Words of a window and the step between windows; windows overlap by a quarter.
@@ -84,9 +84,11 @@ class Tokens:
 def _sum_rows(table: np.ndarray, cells: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Mean of the table's rows over each segment of cells; zeros for empty segments."""
     out = np.zeros((len(at) - 1, table.shape[1]), np.float32)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        out[full] = np.add.reduceat(table[cells], at[full], axis=0) / np.diff(at)[full][:, None]
+    for low in range(0, len(out), 20_000):
+        part = at[low : low + 20_001]
+        full = np.flatnonzero(np.diff(part))
+        if len(full):
+            out[low + full] = np.add.reduceat(table[cells[part[0] : part[-1]]], part[full] - part[0], axis=0) / np.diff(part)[full][:, None]
     return out
 
 
@@ -156,20 +158,25 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"][0]
         return (logit, states, weight, pooled, caches) if keep else logit
 
-    def score(self, texts: list) -> np.ndarray:
-        """Greatest probability among all windows of each text."""
-        t = Tokens(texts)
-        x, (grid, owner) = self.inputs(t), t.windows()
-        best = np.full(len(texts), -np.inf)
+    def logits(self, x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """As ``forward``, for many windows: a thousand at a time."""
         gates = {side: x @ self.p[f"x{side}"] + self.p[f"c{side}"] for side in "fb"}
+        out = np.empty(len(grid), np.float32)
         for low in range(0, len(grid), 1024):
             part = grid[low : low + 1024]
             states = np.concatenate([self._run(gates[side], part, side, False)[0] for side in "fb"], 2)
             energy = np.where((part >= 0).T, states @ self.p["a"], -1e9)
             weight = np.exp(energy - energy.max(0))
             weight /= weight.sum(0)
-            logit = np.einsum("tn,tnh->nh", weight, states) @ self.p["out"] + self.p["bias"][0]
-            np.maximum.at(best, owner[low : low + 1024], logit)
+            out[low : low + 1024] = np.einsum("tn,tnh->nh", weight, states) @ self.p["out"] + self.p["bias"][0]
+        return out
+
+    def score(self, texts: list) -> np.ndarray:
+        """Greatest probability among all windows of each text."""
+        t = Tokens(texts)
+        grid, owner = t.windows()
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, owner, self.logits(self.inputs(t), grid))
         return _sigmoid(np.clip(best, -30, 30))
 
     def gradients(self, t: Tokens, x: np.ndarray, grid: np.ndarray, y: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
@@ -210,21 +217,24 @@ class Network:
         return g
 
 
-def _evidence(t: Tokens, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _evidence(texts: list, y: np.ndarray) -> dict[str, np.ndarray]:
     """Smoothed log ratio of the shares of toxic and clean texts that have a word bucket or a character cell."""
-    out, text = [], np.repeat(np.arange(len(y)), np.diff(t.at))
-    pair = np.unique(text * len(t.hashes) + t.index) if len(t.index) else np.empty(0, np.int64)
-    text, distinct = np.divmod(pair, max(1, len(t.hashes)))
-    per = np.diff(t.cell_at)[distinct]
-    cells = np.repeat(t.cell_at[distinct], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    size = EVIDENCE_ROWS
-    for code, owner in ((t.word[distinct], text), (t.cells[cells], np.repeat(text, per))):
-        owner, code = np.divmod(np.unique(owner * size + code), size)
-        toxic, clean = np.bincount(code[y[owner] > 0], minlength=size), np.bincount(code[y[owner] <= 0], minlength=size)
-        ratio = np.log((toxic + 0.5) / ((y > 0).sum() + 1)) - np.log((clean + 0.5) / ((y <= 0).sum() + 1))
-        sure = np.minimum(1, (toxic + clean) / 8)
-        out.append(np.clip(ratio * sure, -1, 4).astype(np.float32) / 2)
-    return out[0], out[1]
+    seen = {name: np.zeros((2, EVIDENCE_ROWS)) for name in ("word", "char")}
+    for low, high in batches(texts, 1 << 19):
+        t, toxic = Tokens(texts[low:high]), y[low:high] > 0
+        text = np.repeat(np.arange(high - low), np.diff(t.at))
+        text, distinct = np.divmod(np.unique(text * len(t.hashes) + t.index), max(1, len(t.hashes)))
+        per = np.diff(t.cell_at)[distinct]
+        cells = np.repeat(t.cell_at[distinct], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        for name, code, owner in (("word", t.word[distinct], text), ("char", t.cells[cells], np.repeat(text, per))):
+            owner, code = np.divmod(np.unique(owner * EVIDENCE_ROWS + code), EVIDENCE_ROWS)
+            for k in (0, 1):
+                seen[name][k] += np.bincount(code[toxic[owner] == bool(k)], minlength=EVIDENCE_ROWS)
+    out = {}
+    for name, (clean, bad) in seen.items():
+        ratio = np.log((bad + 0.5) / ((y > 0).sum() + 1)) - np.log((clean + 0.5) / ((y <= 0).sum() + 1))
+        out[name] = np.clip(ratio * np.minimum(1, (bad + clean) / 8), -1, 4).astype(np.float32) / 2
+    return out
 
 
 def fit(texts: list, y: np.ndarray, seed: int = 3) -> Network:
@@ -237,29 +247,22 @@ def fit(texts: list, y: np.ndarray, seed: int = 3) -> Network:
     grid, owner = t.windows()
     # Evidence of a document is counted without its own half, so that training sees it as a new document would.
     half = rng.integers(0, 2, len(y))
-    halves = []
-    for k in (0, 1):
-        part = Tokens([texts[i] for i in np.flatnonzero(half != k)])
-        halves.append(dict(zip(("word", "char"), _evidence(part, y[half != k]), strict=True)))
-    full = dict(zip(("word", "char"), _evidence(t, y), strict=True))
+    halves = [_evidence([texts[i] for i in np.flatnonzero(half != k)], y[half != k]) for k in (0, 1)]
+    full = _evidence(texts, y)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, toxic = 0, np.flatnonzero(y > 0)
     weight_of = np.where(y > 0, len(y) / (2 * len(toxic)), len(y) / (2 * max(1, len(y) - len(toxic)))).astype(np.float32)
     at = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(y)))))
     for epoch in range(EPOCHS):
         worst, rate = np.empty(len(grid), np.float32), LEARN * (1 - 0.9 * epoch / EPOCHS)
-        inputs = []
         for k in (0, 1):
             net.evidence = halves[k]
-            x = net.inputs(t)
-            inputs.append(x)
-            mine = np.flatnonzero(half[owner] == k)
-            for low in range(0, len(mine), 4096):
-                rows = mine[low : low + 4096]
-                if epoch:
-                    worst[rows] = net.forward(x, grid[rows])
-                else:  # before anything is trained: the strongest evidence in the window
-                    worst[rows] = np.where(grid[rows] >= 0, np.maximum(x[grid[rows], WORD_SIZE], x[grid[rows], -1]), -9).max(1)
+            x, mine = net.inputs(t), np.flatnonzero(half[owner] == k)
+            if epoch:
+                worst[mine] = net.logits(x, grid[mine])
+            else:  # before anything is trained: the strongest evidence in the window
+                strongest = np.append(np.maximum(x[:-1, WORD_SIZE], x[:-1, -1]), np.float32(-9))
+                worst[mine] = strongest[grid[mine]].max(1)
         top = np.array([at[d] + worst[at[d] : at[d + 1]].argmax() for d in range(len(y))])
         other = at[:-1] + (rng.random(len(y)) * np.diff(at)).astype(np.int64)
         rows = np.concatenate((top, other[y <= 0]))
