@@ -28,12 +28,12 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "
     site = F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))
     lines = docs.select(site.alias("site"), F.explode(F.split(F.col(text_col), "\n")).alias("line")).where(F.trim("line") != "")
     a, b = line_key(F.col("line"))
-    lines = lines.select("site", a.alias("a"), b.alias("b")).groupBy("a", "b", "site").agg(F.lit(1).alias("one")).drop("one")
+    lines = lines.select("site", a.alias("a"), b.alias("b"))
     sketched = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     slack = max(1.0, 4 * ERROR * min_sites)
     found = settle(sketched.where(F.col("sites") >= min_sites - slack))
     near = found.where(F.col("sites") <= min_sites + slack)
-    exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return found.where(F.col("sites") > min_sites + slack).select("a", "b").unionByName(exact.where(F.col("n") >= min_sites).select("a", "b"))
 
 
