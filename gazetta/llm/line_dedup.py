@@ -33,7 +33,7 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "
     slack = max(1.0, 4 * ERROR * min_sites)
     found = settle(sketched.where(F.col("sites") >= min_sites - slack))
     near = found.where(F.col("sites") <= min_sites + slack)
-    exact = lines.join(near.select("a", "b"), ["a", "b"], "left_semi").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    exact = lines.distinct().join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return found.where(F.col("sites") > min_sites + slack).select("a", "b").unionByName(exact.where(F.col("n") >= min_sites).select("a", "b"))
 
 
@@ -44,7 +44,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest of the text is unchanged, null texts stay null with zero lines. Rows with equal ids share the list of lines to
     remove, which is right for each, as a line is boilerplate everywhere or nowhere. Clashing columns are replaced.
     """
-    found = boilerplate_lines(docs, text_col, site_col, min_sites)
+    # Written first, so that the join below is between plain exchanges and a line of many documents can be split.
+    found = settle(boilerplate_lines(docs, text_col, site_col, min_sites))
     own = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line")).where(F.trim("line") != "")
     a, b = line_key(F.col("line"))
     hits = own.select("id", a.alias("a"), b.alias("b")).join(found, ["a", "b"])
