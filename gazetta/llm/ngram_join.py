@@ -183,11 +183,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = settle(signatures(source, n, bands, rows))
     nodes = settle(signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row")).alias("least"), F.first("bands").alias("bands")))
 
-    cells = nodes.select("node", "bands", F.posexplode("bands").alias("band", "key"))
+    cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # Lists of buckets are written before they are joined, so that both sides of a join are plain exchanges and a large bucket
     # can be split among tasks.
     full = settle(cells.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    cells = settle(cells.join(full, ["band", "key"]))
+    cells = settle(cells.join(full, ["band", "key"]).join(nodes.select("node", "bands"), "node"))
     same = [F.min(F.col("bands")[j]).eqNullSafe(F.max(F.col("bands")[j])) & (F.lit(j) < F.col("band")) for j in range(bands)]
     met = same[0]
     for s in same[1:]:
