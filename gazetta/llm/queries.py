@@ -72,7 +72,17 @@ QUERIES = {
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SHINGLES = rf"""
+        words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS t FROM documents
+                  UNION ALL SELECT 'b', item_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') FROM benchmark),
+        sh AS (SELECT DISTINCT kind, id, len(t) >= 5 AS enough, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))
+                  WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM words)"""
+
 ORACLE_SQL = {
+    "op2_decontamination": f"""
+        WITH {_SHINGLES}, n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 'b' AND enough GROUP BY 1),
+             hit AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM sh d JOIN sh b ON d.g = b.g AND d.kind = 'd' AND b.kind = 'b' AND b.enough GROUP BY ALL)
+        SELECT doc_id, item_id, shared / n::DOUBLE AS containment FROM hit JOIN n ON n.id = item_id WHERE shared / n::DOUBLE >= 0.8""",
     "op3_line_dedup": """
         WITH lines AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line,
                               generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -81,10 +91,37 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
         FROM marked GROUP BY doc_id""",
+    "op5_chat_formatting": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+             k AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\f\r\x0B]+')) + 4 AS tokens,
+                          12 + length(role) + 1 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\])', '\1~\2\3', 'g')) + 11 AS chars FROM t),
+             e AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM k),
+             c AS (SELECT *, stop - tokens AS start, (stop - tokens) // 416 AS a, (stop - 1) // 416 AS b FROM e),
+             w AS (SELECT *, min(start) OVER (PARTITION BY conv_id, a, b) AS win, start = 0 AND role = 'system' AS sys FROM c),
+             s AS (SELECT DISTINCT conv_id, win FROM w),
+             f AS (SELECT conv_id, chars FROM w UNION ALL SELECT s.conv_id, chars FROM s JOIN w ON w.conv_id = s.conv_id AND s.win > 0 AND w.sys
+                   UNION ALL SELECT s.conv_id, chars FROM s JOIN w ON w.conv_id = s.conv_id AND NOT w.sys AND s.win > w.start AND s.win <= w.start + 96),
+             d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                          coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+                          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY 1)
+        SELECT d.*, (SELECT sum(chars)::BIGINT FROM f WHERE f.conv_id = d.conv_id) AS formatted_chars, (SELECT count(*) FROM s WHERE s.conv_id = d.conv_id) AS n_windows FROM d""",
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_FOLD} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)""",
+    "op7_ngram_join": f"""
+        WITH RECURSIVE {_SHINGLES}, sets AS (SELECT id, md5(string_agg(g, chr(1) ORDER BY g)) AS node, count(*) AS n FROM sh WHERE kind = 'd' GROUP BY 1),
+             nodes AS (SELECT node, min(id) AS rep, count(*) AS copies, min(n) AS n FROM sets GROUP BY 1),
+             gr AS (SELECT node, g FROM sh JOIN nodes ON kind = 'd' AND id = rep),
+             shared AS (SELECT a.node AS x, b.node AS y, count(*) AS c FROM gr a JOIN gr b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+             links AS (SELECT x, y FROM shared JOIN nodes p ON p.node = x JOIN nodes q ON q.node = y WHERE c >= 0.8 * (p.n + q.n - c)),
+             sym AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+             reach AS (SELECT node AS x, node AS y FROM nodes UNION SELECT r.x, s.y FROM reach r JOIN sym s ON s.x = r.y),
+             cls AS (SELECT x AS node, min(rep) AS class_id FROM reach JOIN nodes ON nodes.node = y GROUP BY 1),
+             deg AS (SELECT x AS node, count(*) AS texts, sum(copies) AS docs FROM sym JOIN nodes ON nodes.node = y GROUP BY 1)
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copies - 1, 0) + coalesce(docs, 0)::BIGINT AS n_links, coalesce(texts, 0) AS n_text_links
+        FROM documents d LEFT JOIN sets ON d.doc_id = sets.id LEFT JOIN nodes ON nodes.node = sets.node LEFT JOIN cls ON cls.node = sets.node LEFT JOIN deg ON deg.node = sets.node""",
     "op9_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
              s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
