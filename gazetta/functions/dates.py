@@ -45,5 +45,5 @@ def is_quiet(hour: Column, start: int = 22, end: int = 7) -> Column:
 
 def active_hours(start: Column, end: Column, quiet_from: int = 22, quiet_to: int = 7) -> Column:
     """Whole hours begun from ``start`` until before ``end`` that are not quiet."""
-    hours = F.when(end > start, F.sequence(F.date_trunc("hour", start), end - F.expr("interval 1 second"), F.expr("interval 1 hour"))).otherwise(F.array().cast("array<timestamp>"))
+    hours = F.when(end > start, F.sequence(F.date_trunc("hour", start), end - F.expr("interval 1 microsecond"), F.expr("interval 1 hour"))).otherwise(F.array().cast("array<timestamp>"))
     return F.size(F.filter(hours, lambda h: ~is_quiet(F.hour(h), quiet_from, quiet_to)))
