@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import crc_split, fresh
 from .quality import labelled_sample
-from .textvec import Words, batches, mix, range_hashes, runs
+from .textvec import Words, batches, minhash_params, mix, range_hashes, runs, segment_minima, shingles
 
 #: Labelled documents that the network is fitted on at most; scoring covers every window of every document.
 SAMPLE = 4_000
@@ -237,9 +237,29 @@ def _evidence(texts: list, y: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _unlike(texts: list, y: np.ndarray) -> np.ndarray:
+    """Numbers of the texts that are no near copies of an earlier one of their class, by four MinHash values of five-word
+    shingles; copies would make every word of their text look like evidence."""
+    words = Words(texts)
+    hashes, at = shingles(words.hashes, words.at)
+    full = np.flatnonzero(np.diff(at))
+    mins = segment_minima(hashes, at[full], minhash_params(4)) if len(full) else np.empty((4, 0), np.uint64)
+    seen: set[tuple] = set()
+    keep = []
+    for c, d in enumerate(full):
+        own = {(bool(y[d] > 0), k, int(v)) for k, v in enumerate(mins[:, c])}
+        if not own & seen:
+            keep.append(d)
+        seen |= own
+    return np.array(keep, np.int64)
+
+
 def fit(texts: list, y: np.ndarray, seed: int = 3) -> Network:
     """Train on windows: of a toxic document the window that looks worst at the time, of a clean one its worst and others."""
     net, rng = Network(seed), np.random.default_rng(seed)
+    if len(texts):
+        kept = _unlike(texts, y)
+        texts, y = [texts[i] for i in kept], y[kept]
     if not len(texts) or not (y > 0).any():
         net.p["out"][:], net.p["bias"][:] = 0, -4
         return net
