@@ -16,7 +16,7 @@ from .components import components
 from .textvec import Words, batches, minhash_params, mix, segment_minima, shingles
 
 #: Members of a bucket that are compared in one task; larger buckets are cut into blocks, compared pair by pair of blocks.
-BLOCK = 512
+BLOCK = 320
 #: Shingle columns of one dense product of a block.
 COLUMNS = 2048
 
