@@ -16,7 +16,7 @@ from .components import components
 from .textvec import Words, batches, minhash_params, mix, segment_minima, shingles
 
 #: Members of a bucket that are compared in one task; larger buckets are cut into blocks, compared pair by pair of blocks.
-BLOCK = 320
+BLOCK = 512
 #: Shingle columns of one dense product of a block.
 COLUMNS = 2048
 
@@ -187,12 +187,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Lists of buckets are written before they are joined, so that both sides of a join are plain exchanges and a large bucket
     # can be split among tasks.
     full = settle(cells.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    cells = settle(cells.join(full, ["band", "key"]).join(nodes.select("node", "bands"), "node"))
+    cells = settle(cells.join(full, ["band", "key"]))
     same = [F.min(F.col("bands")[j]).eqNullSafe(F.max(F.col("bands")[j])) & (F.lit(j) < F.col("band")) for j in range(bands)]
     met = same[0]
     for s in same[1:]:
         met = met | s
-    new = settle(cells.groupBy("band", "key").agg(met.alias("met")).where("not met").select("band", "key"))
+    new = settle(cells.join(nodes.select("node", "bands"), "node").groupBy("band", "key").agg(met.alias("met")).where("not met").select("band", "key"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int")
     members = (
