@@ -223,5 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with the least id of their class, with their columns; of rows that repeat an id one stays."""
     found = near_duplicates(docs, id_col, text_col, n, threshold)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    # A key of one column without nulls, so that one exchange serves both the join and the choice among repeated rows.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias("_key")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(key("doc_id")).distinct()
+    return docs.withColumn("_key", key(id_col)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
