@@ -169,9 +169,6 @@ def dup_by_normkey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.orderBy(F.desc("n"), "key").limit(30).select("key", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("members"))
 
 
-_BUDGET = "CASE p_partkey % 5 WHEN 0 THEN '￥' || p_retailprice || '元' WHEN 1 THEN '预算 ' || p_size || '万元' WHEN 2 THEN p_size || ',000.50元' WHEN 3 THEN '' ELSE '面议' END"
-
-
 def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_partkey") % 5
     size = F.col("p_size").cast("string")
