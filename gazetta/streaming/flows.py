@@ -86,6 +86,50 @@ def token_bucket(stream: DataFrame, key: str, capacity: float, rate: float, at:
     return stream.withColumn("us", F.unix_micros(at)).groupBy(key).applyInPandasWithState(take, f"{key} {kind}, asked int, granted int", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def collector_states(stream: DataFrame, key: str, ok: str, at: str = "ts", enough: int = 3) -> DataFrame:
+    """(key, at_us, failures, total, status) per event: failures in a row and status ``degraded`` from ``enough`` on, else ``ok``.
+    The state of a key is two counters."""
+
+    def follow(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, total = state.get if state.exists else (0, 0)
+        out = []
+        for t, _, good in sorted(r for part in parts for r in zip(part["us"], part["event_id"], part[ok], strict=True)):
+            failures, total = (0 if good else failures + 1), total + 1
+            out.append((name[0], t, failures, total, "degraded" if failures >= enough else "ok"))
+        state.update((failures, total))
+        yield pd.DataFrame(out, columns=[key, "at_us", "failures", "total", "status"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.withColumn("us", F.unix_micros(at))
+    return rows.groupBy(key).applyInPandasWithState(follow, f"{key} {kind}, at_us bigint, failures int, total int, status string", "failures int, total int", "append", GroupStateTimeout.NoTimeout)
+
+
+def watchdog(stream: DataFrame, key: str, seconds: int, quiet: tuple[int, int] = (22, 7), again: int = 1800, at: str = "ts") -> DataFrame:
+    """(key, last_us) of sources that have been silent for ``seconds`` of event time, told by the watermark.
+
+    An alert is raised when the watermark passes the last event by that much, and again after ``again`` more seconds of silence.
+    In the quiet hours (UTC) it waits for their end. The state of a source is its last time; a timer wakes it.
+    """
+
+    def guard(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            last = state.get[0]
+            hour = now // 3_600_000 % 24
+            silent = (hour >= quiet[0] or hour < quiet[1]) if quiet[0] > quiet[1] else quiet[0] <= hour < quiet[1]
+            state.update((last,))
+            state.setTimeoutTimestamp(now + (1000 * 300 if silent else again * 1000))
+            if not silent:
+                yield pd.DataFrame({key: [name[0]], "last_us": [last]})
+            return
+        last = max([int(x) for part in parts for x in part["us"]] + list(state.get if state.exists else ()))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, now + 1))
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.withColumn("us", F.unix_micros(at)).groupBy(key).applyInPandasWithState(guard, f"{key} {kind}, last_us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def shared_folder(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "gazetta-streams")
     return f"{base}/{uuid.uuid4().hex}"
