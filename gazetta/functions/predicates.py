@@ -53,6 +53,21 @@ def filled(column: Column, *others: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in (column, *others)])
 
 
+def listable(title: Column, code: Column, blocked: tuple[str, ...], groups: tuple[str, ...], barred: tuple[str, ...] = ()) -> Column:
+    """Whether a record of a list is collected: a title of five characters or more without blocked words, and a code of an
+    allowed group (its first nine characters) that isn't barred. Nulls aren't listable."""
+    name = F.trim(F.coalesce(title, F.lit("")))
+    code = F.coalesce(code, F.lit(""))
+    return (F.length(name) >= 5) & ~any_of([F.contains(name, F.lit(w)) for w in blocked]) & ~code.isin(*barred, "") & F.left(code, F.lit(9)).isin(*groups)
+
+
+def worth_notice(title: Column, budget_yuan: Column, words: tuple[str, ...], least_yuan: float | None) -> Column:
+    """Whether a notice is announced: some word occurs whatever the case (no words: any title), and the budget reaches the least
+    one; an unknown budget doesn't stop it."""
+    said = any_of([F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(w.lower())) for w in words]) if words else F.lit(True)
+    return said & F.coalesce(budget_yuan >= least_yuan, F.lit(True)) if least_yuan else said
+
+
 def period(kind: str, year: int | None = None, quarter: int | None = None, start: date | None = None, end: date | None = None) -> tuple[date, date, str]:
     """Closed range of dates and its label for a quarter, a year or a range of one's own."""
     if kind == "quarter":

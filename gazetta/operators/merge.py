@@ -63,3 +63,20 @@ def suppress(events: DataFrame, keys: list[str], at: str, seconds: int) -> DataF
         lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept),
     )
     return events.groupBy(*keys).agg(ordered.alias("times")).select(*keys, F.explode(fold).alias("sent_us"))
+
+
+def quarantine(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Add ``reason``: the first rule (name -> what must hold) that a row breaks, null for good rows. A null verdict breaks the
+    rule. Bad rows are set aside by this column, so that one of them fails neither its batch nor its neighbours."""
+    return df.withColumn("reason", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def entity_key(number: Column, name: Column) -> Column:
+    """Key of an entity known by number, or by name where the number is blank; the two never meet."""
+    return F.coalesce(F.concat(F.lit("no:"), F.nullif(number, F.lit(""))), F.concat(F.lit("name:"), name))
+
+
+def latest_of(df: DataFrame, key: Column, order: list) -> DataFrame:
+    """The last row of each key in a total order; rows without a key go."""
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    return df.withColumn("_key", key).where("_key IS NOT NULL").withColumn("_place", place).where("_place = 1").drop("_place", "_key")

@@ -63,3 +63,16 @@ def stale(log: DataFrame, source: str, at: str, now: Column, seconds: int) -> Da
     """(source, last, age_s) of sources whose last row is older than ``seconds``."""
     last = log.groupBy(source).agg(F.max(at).alias("last"))
     return last.withColumn("age_s", now - F.col("last")).where(F.col("age_s") > seconds)
+
+
+#: What remains of a task's priority at each risk (fixed values).
+DISCOUNTS = {"low": 1.0, "medium": 0.8, "high": 0.5, "critical": 0.1}
+
+
+def discounted(score: Column, risk: Column) -> Column:
+    return score * F.element_at(F.create_map(*[F.lit(x) for kv in DISCOUNTS.items() for x in kv]), risk)
+
+
+def deferred(score: Column, risk: Column, ban: Column) -> Column:
+    """Why a task is put off: a critical source, a high one if the task's priority is under .5, a ban likelier than .7; null: it isn't."""
+    return F.when(risk == "critical", "critical").when((risk == "high") & (score < 0.5), "high").when(ban > 0.7, "ban")
