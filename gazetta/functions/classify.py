@@ -21,12 +21,22 @@ REGIONS = {
 }
 #: Priorities and their words (fixed values).
 PRIORITIES = {5: ("紧急", "急迫", "立即", "限时", "今日", "本周"), 4: ("重点", "重大", "优先", "主要"), 3: ("一般", "普通", "常规")}
-#: Kinds of failure, each with signals in the message, status codes, action and severity; the first kind that fits counts.
+#: Kinds of failure, each with signals in the message, status codes, action and severity; the first kind that fits counts (fixed values).
 FAILURES = (
+    ("rate_limit", ("429", "rate limit", "too many requests", "retry-after"), (429,), "backoff_long", "medium"),
+    ("ban", ("403", "forbidden", "access denied", "ip blocked", "captcha", "blocked", "banned", "blacklisted", "请验证"), (403, 451), "switch_proxy", "critical"),
+    (
+        "network_timeout",
+        ("timeout", "timed out", "connection reset", "network unreachable", "no route to host", "connection refused", "temporary failure", "econnrefused", "etimedout", "enetunreach"), (), "retry_quick", "low",
+    ),
+    (
+        "parse_error",
+        ("selector", "mismatch", "null field", "parse exception", "no element found", "element not found", "attributeerror", "indexerror", "keyerror", "nonetype", "解析失败", "选择器错误", "字段为空"), (), "adapt_selector", "medium",
+    ),
     ("server_error", ("500", "502", "503", "504", "internal server error", "bad gateway", "service unavailable", "gateway timeout"), (500, 502, 503, 504), "wait_and_retry", "medium"),
-    ("network_timeout", ("timeout", "timed out", "connection reset", "refused"), (408,), "retry_quick", "low"),
-    ("parse_error", ("parse", "selector", "not found in page"), (), "adapt_selector", "medium"),
 )
+#: Signs of a source in its url and the points of its kind (fixed values); other sources get five.
+SOURCES = ((("ccgp", "gov.cn", "ggzy", "cqggzy", "公共资源", "政府采购"), 25.0), (("bidding", "ctex", "chinabidding"), 18.0), (("sina", "sohu", "163", "baidu"), 10.0))
 
 
 def contains_any(text: Column, words) -> Column:
@@ -124,6 +134,15 @@ def quality_parts(title: Column, content: Column, budget: Column, due: Column, p
     return {k: F.round(v, 2) for k, v in parts.items()} | {"total": F.round(F.least(F.lit(100.0), total) + nudge, 2)}
 
 
+def quality_issues(parts: dict[str, Column], title: Column) -> Column:
+    """What is wrong with a notice, from its quality parts and its title."""
+    found = (
+        (parts["completeness"] < 60, "内容完整度不足"), (parts["freshness"] < 50, "时效性较差（无有效截止时间）"), (parts["accuracy"] < 60, "信息准确性存疑"), (parts["richness"] < 40, "信息丰富度低（缺少联系方式/附件）"),
+        (F.length(F.coalesce(title, F.lit(""))) < 10, "标题过短或缺失"),
+    )
+    return F.array_compact(F.array(*[F.when(bad, name) for bad, name in found]))
+
+
 def grade(total: Column) -> Column:
     return F.when(total >= 80, "A").when(total >= 60, "B").when(total >= 40, "C").otherwise("D")
 
@@ -135,7 +154,7 @@ def notice_score(budget_wan: Column, age_days: Column, words: Column, source_url
         "budget_points": F.when(budget_wan.isNull(), 5.0).otherwise(steps(budget_wan, [(10_000, 25), (1_000, 20), (500, 15), (100, 10)], 5)),
         "urgency_points": F.when(age_days <= 3, 25.0).when(age_days <= 7, 20.0).when(age_days <= 14, 15.0).when(age_days <= 30, 10.0).otherwise(5.0),
         "keyword_points": F.least(F.lit(25.0), words + 10.0),
-        "source_points": F.when(contains_any(url, ("ccgp", "gov.cn", "ggzy")), 25.0).when(contains_any(url, ("bidding", "ctex")), 18.0).when(contains_any(url, ("sina", "sohu", "163", "baidu")), 10.0).otherwise(5.0),
+        "source_points": F.coalesce(*[F.when(contains_any(url, words), points) for words, points in SOURCES], F.lit(5.0)),
     }
     total = parts["budget_points"] + parts["urgency_points"] + parts["keyword_points"] + parts["source_points"]
     return parts | {"total": total, "level": F.when(total >= 80, "P0").when(total >= 60, "P1").when(total >= 40, "P2").otherwise("P3")}

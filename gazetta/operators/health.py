@@ -67,9 +67,9 @@ def risk_level(score: Column) -> Column:
 
 
 def adjusted_interval(seconds: Column, level: Column) -> Column:
-    """Longer pauses at higher risk, between half a minute and an hour."""
-    factor = F.when(level == "critical", 5.0).when(level == "high", 3.0).when(level == "medium", 1.5).otherwise(1.0)
-    return clamp(seconds * factor, 30, 3600)
+    """Longer pauses at higher risk: half as long again at medium, three times (half a minute to five) at high, ten times (one minute
+    to ten) at critical risk."""
+    return F.when(level == "critical", clamp(seconds * 10, 60, 600)).when(level == "high", clamp(seconds * 3, 30, 300)).when(level == "medium", seconds * 1.5).otherwise(seconds)
 
 
 def adaptive_interval(mean: Column, variation: Column, errors: Column) -> Column:

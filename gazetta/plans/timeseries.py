@@ -68,7 +68,7 @@ _SCORED = _ROLLING + """, l AS (SELECT r.*, coalesce(deviation / nullif(mean_res
 
 
 @query(_SCORED + """ SELECT source, round(health, 6) AS health, round(ban, 6) AS ban, CASE WHEN ban >= 0.8 THEN 'critical' WHEN ban >= 0.6 THEN 'high' WHEN ban >= 0.3 THEN 'medium' ELSE 'low' END AS level,
-       greatest(30, least(3600, 600 * CASE WHEN ban >= 0.8 THEN 5 WHEN ban >= 0.6 THEN 3 WHEN ban >= 0.3 THEN 1.5 ELSE 1 END))::DOUBLE AS interval_s FROM s""")
+       (CASE WHEN ban >= 0.8 THEN least(600, 100 * 10) WHEN ban >= 0.6 THEN least(300, 100 * 3) WHEN ban >= 0.3 THEN 100 * 1.5 ELSE 100 END)::DOUBLE AS interval_s FROM s""")
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
     latest = health.rolling(rows, _ORDER).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("us"), F.desc("event_id")))).where("place = 1")
@@ -78,7 +78,7 @@ def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ban = health.ban_probability(F.col("failures"), F.col("rate_short"), F.col("trend"), F.col("variation"))
     scored = joined.select("source", health.health_score(F.col("rate_long"), F.col("variation"), F.col("trend"), F.col("failures"), F.lit(0)).alias("health"), ban.alias("ban"))
     level = health.risk_level(F.col("ban"))
-    return scored.select("source", F.round("health", 6).alias("health"), F.round("ban", 6).alias("ban"), level.alias("level"), health.adjusted_interval(F.lit(600.0), level).alias("interval_s"))
+    return scored.select("source", F.round("health", 6).alias("health"), F.round("ban", 6).alias("ban"), level.alias("level"), health.adjusted_interval(F.lit(100.0), level).alias("interval_s"))
 
 
 @query(f"WITH {_LOG} SELECT source, event_id, count(*) OVER (PARTITION BY source ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS demand FROM log")

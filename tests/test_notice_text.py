@@ -6,7 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from gazetta.functions import award_text, certificates, notice_text, overview
+from gazetta.functions import award_text, certificates, classify, notice_text, overview
+from gazetta.operators import health, merge, scheduling
 from gazetta.sources import json_pages
 from tests.test_functions import values
 
@@ -87,3 +88,23 @@ def test_json_sources(spark):
     array = [{"infoId": 1, "categorynum": 2, "title": 3, "infodate": 4}, "id1", "014", "题目", 9, {"infoId": 1, "categorynum": 2, "title": 2}, {"infoId": 99, "categorynum": "7", "title": "x"}, {"infoId": 5}]
     got = json_pages.referring_records(spark.createDataFrame([(json.dumps(array),), ("{}",), ("nope",), (None,)], "value string")).collect()
     assert sorted((r.infoId, r.categorynum, r.title, r.infodate) for r in got) == [("99", "7", "x", ""), ("id1", "014", "题目", "9")]
+
+
+def test_failures_and_issues(spark):
+    kinds = values(spark, lambda c: classify.failure_kind(c, F.lit(0))["kind"], ["HTTP 429", "Captcha required", "ETIMEDOUT", "KeyError: x", "502 Bad Gateway", "oops", None])
+    assert kinds == ["rate_limit", "ban", "network_timeout", "parse_error", "server_error", "unknown", "unknown"]
+    assert values(spark, lambda c: classify.failure_kind(c, F.lit(451))["action"], ["x"]) == ["switch_proxy"]
+    parts = lambda c: classify.quality_parts(c, F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(0))
+    assert values(spark, lambda c: classify.quality_issues(parts(c), c), ["一个足够长的项目标题名称", None]) == [
+        ["内容完整度不足", "时效性较差（无有效截止时间）", "信息丰富度低（缺少联系方式/附件）"], ["内容完整度不足", "时效性较差（无有效截止时间）", "信息丰富度低（缺少联系方式/附件）", "标题过短或缺失"]]
+
+
+def test_intervals_and_deferral(spark):
+    assert values(spark, lambda c: health.adjusted_interval(F.lit(100.0), c), ["low", "medium", "high", "critical"]) == [100.0, 150.0, 300.0, 600.0]
+    assert values(spark, lambda c: scheduling.deferred(F.lit(0.4), c, F.lit(0.2)), ["low", "high", "critical"]) == [None, "high", "critical"]
+
+
+def test_keys_and_quarantine(spark):
+    assert values(spark, lambda c: merge.entity_key(c, F.lit("n")), ["7", "", None]) == ["no:7", "name:n", "name:n"]
+    rows = spark.createDataFrame([(1, 5.0), (2, None), (3, -1.0)], "i int, x double")
+    assert {r.i: r.reason for r in merge.quarantine(rows, {"x": F.col("x") > 0}).collect()} == {1: None, 2: "x", 3: "x"}
