@@ -134,7 +134,7 @@ ORACLE_SQL = {
                           CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
                           ('0x' || substr(md5('mix:' || CASE WHEN t.source IS NULL THEN 'true:' ELSE 'false:' || t.source END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u,
                           row_number() OVER (PARTITION BY t.source ORDER BY length(bin(size::BIGINT)) * 8 + (size::BIGINT >> greatest(length(bin(size::BIGINT)) - 3, 0)),
-                              ('0x' || substr(h, 14, 8))::BIGINT % 64, size, h, d.doc_id) AS k
+                              ('0x' || substr(h, 14, 8))::BIGINT % 4096, size, h, d.doc_id) AS k
                    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
              c AS (SELECT *, least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT AS copies FROM p)
         SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size::BIGINT AS taken, copies FROM c""",
