@@ -69,8 +69,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = source_targets(sizes, weights, cap).select(
         F.col("sn").alias("_sn"), F.col("s").alias("_s"), F.col("source_size").alias("_total"), F.col("target").alias("_target")
     )
-    along = Window.partitionBy("_sn", "_s").orderBy("_bin", "_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    placed = blocks.withColumn("_before", F.sum("_n").over(along) - F.col("_n")).drop("_n", "_words").join(targets, ["_sn", "_s"])
+    # Prefix sums go over the size classes of a source, then over the buckets of a class; a class carries its source's sums along.
+    group = keys[:-1]
+    along = lambda by, *at: Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    classes = blocks.groupBy(*group).agg(F.sum("_n").alias("_all")).withColumn("_start", F.sum("_all").over(along(["_sn", "_s"], "_bin")) - F.col("_all"))
+    classes = classes.drop("_all").join(targets, ["_sn", "_s"])
+    placed = blocks.withColumn("_before", F.sum("_n").over(along(group, "_bucket")) - F.col("_n")).drop("_n", "_words").join(classes, group)
+    placed = placed.withColumn("_before", F.col("_before") + F.col("_start")).drop("_start")
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy("_size", "_hash", F.col(id_col)))
     rows = rows.withColumn("_place", inside).join(placed, keys)
     rate = F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0)
