@@ -76,3 +76,18 @@ def discounted(score: Column, risk: Column) -> Column:
 def deferred(score: Column, risk: Column, ban: Column) -> Column:
     """Why a task is put off: a critical source, a high one if the task's priority is under .5, a ban likelier than .7; null: it isn't."""
     return F.when(risk == "critical", "critical").when((risk == "high") & (score < 0.5), "high").when(ban > 0.7, "ban")
+
+
+def forecast(history: DataFrame, start: Column, hours: int = 4, peaks: int = 3) -> DataFrame:
+    """(at, expected) of the ``hours`` from ``start`` on, from a history of (at, found).
+
+    A peak hour of the day expects its own mean, any other the mean of all; weekends expect 0.6 and hours outside 9 to 18
+    0.3 of that. An empty history gives no rows.
+    """
+    by_hour = history.groupBy(F.hour("at").alias("hour")).agg(F.sum("found").alias("sum"), F.count("found").alias("n"))
+    means = by_hour.agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct((F.col("sum") / F.col("n")).alias("mean"), (-F.col("hour")).alias("hour"))), False).alias("hours"))
+    top = F.slice("hours", 1, peaks)
+    ahead = F.explode(F.sequence(start, start + F.make_dt_interval(hours=F.lit(hours - 1)), F.expr("interval 1 hour")))
+    rows = means.where("n > 0").select((F.col("sum") / F.col("n")).alias("mean"), F.map_from_arrays(F.transform(top, lambda x: -x["hour"]), F.transform(top, lambda x: x["mean"])).alias("peaks"), ahead.alias("at"))
+    share = F.when(F.weekday("at") >= 5, 0.6).otherwise(1.0) * F.when(F.hour("at").between(9, 18), 1.0).otherwise(0.3)
+    return rows.select("at", (F.coalesce(F.try_element_at("peaks", F.hour("at")), "mean") * share).alias("expected"))
