@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import WORD, settle
 from .components import components
 from .textvec import Words, batches, minhash_params, mix, segment_minima, shingles
 
@@ -163,25 +163,12 @@ def _grouped(n: int, threshold: float):
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_links (other rows with Jaccard similarity of at least ``threshold`` on
-    the sets of n-word shingles), n_text_links (those links that go to another set, each set once).
-
-    class_id is the least doc_id among the rows connected by links. A text of one to n-1 words is one shingle; rows
-    without words have no links and their own id as class. Null ids take part; a class of null ids alone has a null class.
-    Repeated rows are copies of each other. Case of A-Z is ignored, other columns too. An empty input gives no rows.
-
-    1. Rows with equal shingle sets collapse to one node with a count, so copies cost nothing further.
-    2. Nodes are shuffled on band hashes. Buckets of one node, or whose members all met in one earlier band, are dropped.
-    3. Members go to the remaining buckets with their text; a bucket over BLOCK members is cut into blocks and each pair of
-       blocks is compared on its own. Pairs are never rows: each comparison emits at most one row per member, with
-       the count of its links and one edge that keeps the group's links connected.
-    4. Components of those edges are the classes.
-    """
+def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """The signatures of ``source`` (doc_id, text), and a row per node: node, copies, least (its row of least id, null ids
+    last), n_texts, n_docs (null without links) and root, the node that names its class."""
     bands, rows = bands_for(threshold, recall)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = settle(signatures(source, n, bands, rows))
-    nodes = settle(signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row")).alias("least"), F.first("bands").alias("bands")))
+    nodes = settle(signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.first("bands").alias("bands")))
 
     cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # Lists of buckets are written before they are joined, so that both sides of a join are plain exchanges and a large bucket
@@ -210,9 +197,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = settle(compared)
     roots = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    per_node = nodes.select("node", "copies", F.col("least.doc_id").alias("least")).join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_class = per_node.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_node = per_node.join(per_class, "root").select("node", "class_id", (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"))
+    per_node = nodes.select("node", "copies", "least").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return signed, per_node
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_links (other rows with Jaccard similarity of at least ``threshold`` on
+    the sets of n-word shingles), n_text_links (those links that go to another set, each set once).
+
+    class_id is the least doc_id among the rows connected by links. A text of one to n-1 words is one shingle; rows
+    without words have no links and their own id as class. Null ids take part; a class of null ids alone has a null class.
+    Repeated rows are copies of each other. Case of A-Z is ignored, other columns too. An empty input gives no rows.
+
+    1. Rows with equal shingle sets collapse to one node with a count, so copies cost nothing further.
+    2. Nodes are shuffled on band hashes. Buckets of one node, or whose members all met in one earlier band, are dropped.
+    3. Members go to the remaining buckets with their text; a bucket over BLOCK members is cut into blocks and each pair of
+       blocks is compared on its own. Pairs are never rows: each comparison emits at most one row per member, with
+       the count of its links and one edge that keeps the group's links connected.
+    4. Components of those edges are the classes.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    signed, per_node = _linked(source, n, threshold, recall)
+    per_class = per_node.groupBy("root").agg(F.min("least").alias("first"))
+    per_node = per_node.join(per_class, "root").select("node", F.col("first.doc_id").alias("class_id"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"))
     zero = F.lit(0).cast("bigint")
     return signed.join(per_node, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -221,9 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with the least id of their class, with their columns; of rows that repeat an id one stays."""
-    found = near_duplicates(docs, id_col, text_col, n, threshold)
-    # A key of one column without nulls, so that one exchange serves both the join and the choice among repeated rows.
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")).alias("_key")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(key("doc_id")).distinct()
-    return docs.withColumn("_key", key(id_col)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """One row of ``docs`` of each class, with its columns: that of the least id (null ids last) and then of the least hash
+    of id and text. Of rows that repeat both id and text one stays; rows without words are classes of their own and all stay."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    _, per_node = _linked(source, n, threshold)
+    kept = per_node.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"))
+    words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    # One exchange by the hash serves both the join and the choice among repeated rows.
+    full = docs.where(words).withColumn("_row", F.xxhash64(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return full.union(docs.where(~words))

@@ -95,6 +95,19 @@ def test_near_duplicates_against_brute_force(spark, docs, empty):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 4, 5, 6, 8, 9, 10]
 
 
+def test_one_row_of_every_class_stays_without_ids_or_with_repeated_ids(spark):
+    a, b, c, d = (prose(s, 60) for s in (21, 22, 23, 24))
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (5, c, "en", "s", 1), (5, d, "en", "s", 1), (3, c, "en", "s", 1), (7, a, "en", "s", 1)]
+    rows += [(None, None, "en", "s", 0), (None, " ", "en", "s", 0), (8, "", "en", "s", 0), (8, "\n", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = ngram_join.one_per_class(docs)
+    assert kept.columns == docs.columns
+    expected = [(7, a), (None, b), (3, c), (5, d), (None, None), (None, " "), (8, ""), (8, "\n")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+    found = {(r.doc_id, r.class_id) for r in ngram_join.near_duplicates(docs.where("source = 's' and n_chars = 1")).collect()}
+    assert found == {(None, 7), (7, 7), (None, None), (3, 3), (5, 3), (5, 5)}
+
+
 def test_large_groups_of_near_copies_keep_all_links(spark):
     words = prose(7, 150).split()
     rows = []
