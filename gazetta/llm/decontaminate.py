@@ -1,4 +1,5 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search for short test items inside long documents."""
+"""Benchmark decontamination: size-partitioned MinHash containment search for test items inside long documents, and exact
+lookup of the shortest ones."""
 
 from __future__ import annotations
 
@@ -14,13 +15,13 @@ from ..session import ship
 from .common import fresh
 from .textvec import Words, batches, minhash_params, segment_minima, shingles
 
-#: Shingles of the smallest window block; items that share one search pass, which bounds what is broadcast.
+#: Shingles of the smallest window block, and of the longest item that is looked up exactly; items that share one search pass, which bounds what is broadcast.
 UNIT, ITEMS_A_PASS = 16, 10_000
 HIT = "array<struct<item_id:{id},containment:double>>"
 
 
 def slots_for(threshold: float, recall: float = 0.999) -> int:
-    """Sketch slots so that an item of any size is found with probability ``recall`` in a window that contains it.
+    """Sketch slots so that an item of over UNIT shingles is found with probability ``recall`` in a window that contains it.
 
     An item has over u/2 and at most u shingles, its windows 2u. With a part ``threshold`` of the item inside, the
     Jaccard similarity is least for the smallest item; each slot agrees with that probability.
@@ -30,7 +31,11 @@ def slots_for(threshold: float, recall: float = 0.999) -> int:
 
 
 class ContainmentIndex:
-    """Items by size class (up to UNIT, 2 UNIT, 4 UNIT ... shingles), each with one MinHash sketch of single-value slots."""
+    """Items by size class (up to 2 UNIT, 4 UNIT ... shingles), each with one MinHash sketch of single-value slots.
+
+    Items of up to UNIT shingles are less than half of their windows, so a sketch would miss some. They are indexed by so many
+    of their shingles, the rarest among items first, that a text without any of these can't contain enough of the others.
+    """
 
     def __init__(self, ids: list, texts: list, threshold: float, n: int = 5):
         self.ids, self.threshold, self.n, self.params = ids, threshold, n, minhash_params(slots_for(threshold))
@@ -38,9 +43,10 @@ class ContainmentIndex:
         hashes, at = shingles(words.hashes, words.at, n)
         enough = np.diff(words.at) >= n
         self.sets = [np.unique(hashes[at[i] : at[i + 1]]) if enough[i] else hashes[:0] for i in range(len(ids))]
+        self._index_short([i for i, s in enumerate(self.sets) if 0 < len(s) <= UNIT])
         levels: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
-            if len(s):
+            if len(s) > UNIT:
                 levels.setdefault(max(0, (len(s) - 1) // UNIT).bit_length(), []).append(i)
         self.levels = {}
         for level, items in sorted(levels.items()):
@@ -51,13 +57,38 @@ class ContainmentIndex:
             np.put_along_axis(seen, (values & np.uint64(0xFFFF)).astype(np.int64), True, 1)
             self.levels[level] = (values, np.array(items)[order], seen)
 
+    def _index_short(self, items: list[int]) -> None:
+        values, place, often = np.unique(np.concatenate([self.sets[i] for i in items] or [np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+        keys, owners, at = [], [], 0
+        for i in items:
+            size = len(self.sets[i])
+            need = next(k for k in range(1, size + 1) if k / size >= self.threshold)
+            own = place[at : at + size]
+            keys.append(values[own[np.argsort(often[own], kind="stable")[: size - need + 1]]])
+            owners += [i] * len(keys[-1])
+            at += size
+        keys, owners = np.concatenate(keys or [np.empty(0, np.uint64)]), np.array(owners, np.int64)
+        order = np.argsort(keys, kind="stable")
+        seen = np.zeros(1 << 20, bool)
+        seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.short = (keys[order], owners[order], seen)
+
+    def _short_candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keys, owners, seen = self.short
+        maybe = np.flatnonzero(seen[(hashes & np.uint64(0xFFFFF)).astype(np.int64)]) if len(keys) else np.empty(0, np.int64)
+        low, high = np.searchsorted(keys, hashes[maybe], "left"), np.searchsorted(keys, hashes[maybe], "right")
+        hit = np.flatnonzero(high > low)
+        span = (high - low)[hit]
+        cells = np.repeat(low[hit], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+        return np.stack([np.repeat(np.searchsorted(at, maybe[hit], "right") - 1, span), owners[cells]], 1)
+
     def candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (document, item) pairs that agree in a slot of some window; ``hashes`` are the documents' shingles in order."""
+        """Distinct (document, item) pairs that agree in a slot of some window or share an indexed shingle; ``hashes`` are the documents' shingles in order."""
         counts = np.diff(at)
         docs = np.flatnonzero(counts)
-        found: list[np.ndarray] = []
+        found: list[np.ndarray] = [self._short_candidates(hashes, at)]
         if not len(docs) or not self.levels:
-            return np.empty((0, 2), np.int64)
+            return np.unique(found[0], axis=0)
         blocks = -(-counts[docs] // UNIT)
         first = np.concatenate(([0], np.cumsum(blocks)))
         inner = np.arange(first[-1]) - np.repeat(first[:-1], blocks)
@@ -83,7 +114,7 @@ class ContainmentIndex:
                 span = (high - low)[hit]
                 cells = np.repeat(low[hit], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
                 found.append(np.stack([np.repeat(owner[maybe[hit]], span), items[slot][cells]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return np.unique(np.concatenate(found), axis=0)
 
     def search(self, texts: list) -> list[list[tuple]]:
         """For each text the items contained in it: (item id, contained part), in order of the items."""

@@ -166,6 +166,22 @@ def test_window_search_finds_passages_at_any_offset():
     assert len(index.search([" ".join(text)])[0]) >= 199
 
 
+def test_short_items_are_all_found_at_any_offset():
+    rng, text = np.random.default_rng(1), prose(6, 4000).split()
+    items = []
+    for k, s in enumerate(rng.integers(0, 3900, 600)):
+        own = text[s : s + 1 + k % 24]
+        items.append(" ".join(own if k % 2 else [*own[:-1], "changed"]))
+    index = decontaminate.ContainmentIndex(list(range(600)), items, 0.8)
+    whole = shingle_set(" ".join(text))
+    expected = {k: len(shingle_set(t) & whole) / len(shingle_set(t)) for k, t in enumerate(items) if len(t.split()) >= 5}
+    expected = {k: v for k, v in expected.items() if v >= 0.8}
+    short = lambda found: {k: v for k, v in found.items() if len(items[k].split()) <= 20}
+    got = dict(index.search(["", " ".join(text), "two words"])[1])
+    assert short(got) == short(expected) and len(short(expected)) > 250
+    assert all(got[k] == expected[k] for k in got) and index.search([None, "two words", " ".join(text[:4])]) == [[], [], []]
+
+
 def test_line_dedup(spark, empty):
     rows = [(i, f"Shared line\nown {i}\n\n  Shared line  \nrare {i % 3}", "en", f"s{i}", 1) for i in range(12)]
     rows += [(20, None, "en", "s1", 0), (21, "", "en", None, 0), (None, "Shared line", "en", None, 1), (0, "own 0\nShared line", "en", "s0", 1)]
