@@ -25,8 +25,8 @@ TOP, ENDINGS, FREQUENT = 127, 128, 2_000_000
 UNITS = TOP + ENDINGS
 #: Vector size, preceding positions with weights of their own, and the length of the averaged context before.
 SIZE, POSITIONS, SPAN = 16, 3, 16
-#: Training: every STRIDE-th position of all training documents, batch, shared noise words a batch, step size.
-STRIDE, BATCH, NOISE, LEARN = 4, 256, 48, 0.15
+#: Training on every position of all training documents: batch, shared noise words a batch, step size.
+BATCH, NOISE, LEARN = 256, 48, 0.15
 #: The token that ends each document.
 END = np.uint64(0xE0D0_F0D0_C0DE_0001)
 _HELD = 1_000_000
@@ -175,9 +175,9 @@ class LogBilinear:
         return out
 
     def train(self, units: np.ndarray, at: np.ndarray, rng: np.random.Generator, memory: dict[str, np.ndarray]) -> int:
-        """Noise-contrastive steps (Adagrad) over every STRIDE-th position; noise words are shared by a batch."""
+        """Noise-contrastive steps (Adagrad) over every position; noise words are shared by a batch."""
         before, start = self.contexts(units, at)
-        spots = rng.permutation(np.arange(int(rng.integers(STRIDE)), len(units), STRIDE))
+        spots = rng.permutation(len(units))
         edges = np.cumsum(self.shares)
         for low in range(0, len(spots), BATCH):
             s = spots[low : low + BATCH]

@@ -359,3 +359,20 @@ def test_unit_probabilities_are_normalised():
     context = np.array([3, 9, 200, 1])
     total = sum(np.exp(model.log_probabilities(np.append(context, u), np.array([0, 5])))[-1] for u in range(language_model.UNITS))
     assert abs(total - 1) < 1e-4
+
+
+def test_language_model_trains_on_every_position():
+    rng = np.random.default_rng(3)
+    at = np.arange(0, 1401, 7)
+    units = rng.integers(0, language_model.UNITS, 1400)
+    model = language_model.LogBilinear(np.full(language_model.UNITS, 1 / language_model.UNITS))
+    memory = {k: np.zeros_like(v) for k, v in model.p.items()}
+    assert model.train(units, at, rng, memory) == 1400
+    # A word that occurs once has a position of its own, wherever it is, and its vector learns more than a noise word's.
+    for spot in range(4):
+        units = np.zeros(280, np.int64)
+        units[spot] = 5
+        model = language_model.LogBilinear(np.where(np.arange(language_model.UNITS) == 5, 1e-12, 1 / (language_model.UNITS - 1)))
+        before = model.p["bias"][5]
+        model.train(units, np.array([0, 280]), np.random.default_rng(spot), {k: np.zeros_like(v) for k, v in model.p.items()})
+        assert model.p["bias"][5] > before
