@@ -15,16 +15,25 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def rolling(log: DataFrame, order: list[str]) -> DataFrame:
     """Add per row: success rate of the last SHORT and LONG rows, mean, deviation and variation of response times over LONG rows,
-    and the number of failures in a row up to here."""
+    the number of failures in a row up to here, and ``trend``: how much the error rate of the last SHORT rows is above that of
+    the last LONG rows, 0 while there are fewer than SHORT."""
     by = Window.partitionBy("source").orderBy(*order)
     short, long = by.rowsBetween(1 - SHORT, 0), by.rowsBetween(1 - LONG, 0)
     ok = F.col("ok").cast("double")
     out = log.withColumns({
         "rate_short": F.avg(ok).over(short), "rate_long": F.avg(ok).over(long), "mean_response": F.avg("response").over(long), "deviation": F.stddev_pop("response").over(long),
-        "island": F.sum(F.col("ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        "held": F.count(F.lit(1)).over(long), "island": F.sum(F.col("ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
     })
     streak = F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(Window.partitionBy("source", "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumns({"failures": streak, "variation": F.coalesce(F.try_divide("deviation", "mean_response"), F.lit(0.0))}).drop("island")
+    trend = F.when(F.col("held") >= SHORT, F.col("rate_long") - F.col("rate_short")).otherwise(0.0)
+    return out.withColumns({"failures": streak, "variation": F.coalesce(F.try_divide("deviation", "mean_response"), F.lit(0.0)), "trend": trend}).drop("island", "held")
+
+
+def recent_bans(log: DataFrame, banned: Column, seconds: int = 86_400) -> DataFrame:
+    """(source, bans): rows that ``banned`` marks within ``seconds`` before the source's last row; ``us`` are microseconds."""
+    last = log.groupBy("source").agg(F.max("us").alias("last"))
+    hit = log.where(banned).join(last, "source").where(F.col("us") > F.col("last") - seconds * 1_000_000).groupBy("source").agg(F.count(F.lit(1)).alias("bans"))
+    return last.join(hit, "source", "left").select("source", F.coalesce("bans", F.lit(0)).alias("bans"))
 
 
 def recent(log: DataFrame, order: list[str], rows: int) -> DataFrame:

@@ -24,11 +24,12 @@ def project_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", text.project_name(name).alias("name"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'AB-' || o_custkey WHEN 1 THEN 'ABCD-' || lpad(o_custkey::VARCHAR, 6, '0') WHEN 2 THEN 'cq-2024-' || lpad(o_custkey::VARCHAR, 6, '0') END AS number FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN 'BID-' || o_custkey WHEN 5 THEN 'P' || o_custkey || ',Q1' WHEN 0 THEN 'AB-' || o_custkey WHEN 1 THEN 'ABCD-' || lpad(o_custkey::VARCHAR, 6, '0') WHEN 2 THEN 'cq-2024-' || lpad(o_custkey::VARCHAR, 6, '0') END AS number FROM orders""")
 def project_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, padded = F.col("o_custkey").cast("string"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")
-    title = _one_of("o_orderkey", F.concat(F.lit("采购 编号： AB-"), key), F.concat(F.lit("改造["), F.lit("ABCD-"), padded, F.lit("]")), F.lit("公告"), F.lit("无编码"))
-    body = F.when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("见 cq-2024-"), padded, F.lit(" 文件")))
+    title = _one_of("o_orderkey", F.concat(F.lit("采购 编号： AB-"), key), F.concat(F.lit("改造["), F.lit("ABCD-"), padded, F.lit("]")), F.lit("公告"), F.lit("无编码"),
+                    F.concat(F.lit("项目编号：PRJ-"), key, F.lit(" 招标编号：BID-"), key), F.concat(F.lit("(ABCDEF12) 编号：Z-1"), F.lit("")))
+    body = F.when(F.col("o_orderkey") % 6 == 5, F.concat(F.lit("采购编号：C-2 项目号：P"), key, F.lit(",Q1"))).when(F.col("o_orderkey") % 6 == 2, F.concat(F.lit("见 cq-2024-"), padded, F.lit(" 文件")))
     return read(spark, sf_dir, "orders").select("o_orderkey", text.project_number(title, body).alias("number"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, predicates, text
@@ -25,14 +25,14 @@ def search_page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH u AS (SELECT 0 AS r, 'orders' AS source, 'k' || o_orderkey % 5000 AS url, o_totalprice AS amount, o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0
-               UNION ALL SELECT 1, 'events', 'k' || event_id % 5000, value, event_id FROM events WHERE event_id % 3 = 0)
+    WITH u AS (SELECT 0 AS r, 'orders' AS source, 'k' || o_orderkey % 5000 AS url, o_totalprice AS amount, o_orderkey AS id FROM orders
+               UNION ALL SELECT 1, 'events', 'k' || event_id % 5000, value, event_id FROM events)
     SELECT source, url, amount FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY r DESC, id) AS n FROM u) WHERE n = 1""")
 def unify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, events = read(spark, sf_dir, "orders", "events")
     key = lambda c: F.concat(F.lit("k"), (F.col(c) % 5000).cast("string"))
-    first = merge.first_rows(orders.where("o_orderkey % 3 = 0").select(key("o_orderkey").alias("url"), F.col("o_totalprice").alias("amount"), "o_orderkey"), ["url"], ["o_orderkey"])
-    second = merge.first_rows(events.where("event_id % 3 = 0").select(key("event_id").alias("url"), F.col("value").alias("amount"), "event_id"), ["url"], ["event_id"])
+    first = merge.first_rows(orders.select(key("o_orderkey").alias("url"), F.col("o_totalprice").alias("amount"), "o_orderkey"), ["url"], ["o_orderkey"])
+    second = merge.first_rows(events.select(key("event_id").alias("url"), F.col("value").alias("amount"), "event_id"), ["url"], ["event_id"])
     return unify({"orders": first, "events": second}, "url").select("source", "url", "amount")
 
 
@@ -49,13 +49,13 @@ def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY day DESC, kind, id DESC LIMIT 100""")
 def latest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, events, lines = read(spark, sf_dir, "orders", "events", "lineitem")
-    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    day = lambda c: F.col(c).cast("date").alias("day")
     parts = [
         orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), day("o_orderdate")), events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), day("ts")),
         lines.select(F.lit("line").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), day("l_shipdate")),
     ]
     order = [F.desc("day"), F.asc("kind"), F.desc("id")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy(*order).limit(100)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy(*order).limit(100).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""
@@ -64,8 +64,10 @@ def latest_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events").where(F.col("ts") > F.lit("2024-01-25").cast("timestamp_ntz"))
     some = events.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen")).orderBy(F.desc("seen"), F.desc("event_id")).limit(201)
-    more = some.agg((F.count(F.lit(1)) > 200).alias("has_more"))
-    return some.orderBy(F.desc("seen"), F.desc("event_id")).limit(200).crossJoin(F.broadcast(more))
+    # One task has the 201 rows; the last one only says that there are more.
+    all_rows = Window.partitionBy(F.lit(1))
+    placed = some.withColumns({"n": F.row_number().over(all_rows.orderBy(F.desc("seen"), F.desc("event_id"))), "has_more": F.count(F.lit(1)).over(all_rows) > 200})
+    return placed.where("n <= 200").drop("n")
 
 
 @query("""SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, 'tender_' || left(sha256(url), 16) AS id FROM pages""")
@@ -155,9 +157,9 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_counts(read(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
 
 
-@query("""SELECT left(text, 40) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def having_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy(F.left("text", F.lit(40)).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("""

@@ -45,10 +45,10 @@ def keyword_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.where(~F.col("word").isin("", "red", "blue")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(12)
 
 
-@query("""WITH w AS (SELECT doc_id, source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')
+@query("""WITH w AS (SELECT doc_id, source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents)
     SELECT word, count(*) AS frequency, count(DISTINCT source) AS sources FROM w WHERE length(word) >= 4 GROUP BY 1 ORDER BY frequency DESC, word LIMIT 50""")
 def keyword_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").where("lang = 'en'").select("source", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 4)
+    words = read(spark, sf_dir, "documents").select("source", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word") >= 4)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"), F.countDistinct("source").alias("sources")).orderBy(F.desc("frequency"), "word").limit(50)
 
 
@@ -146,20 +146,20 @@ def qualification_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select("s_suppkey", score.alias("score"), extract.match_class(score).alias("class"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM documents WHERE lang = 'en')
+@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM documents)
     SELECT doc_id, round(len(list_intersect(w, ['the', 'and', 'idiot', 'with'])) / 4.0, 6) AS share FROM d WHERE len(list_intersect(w, ['the', 'and', 'idiot', 'with'])) >= 2""")
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.array(*[F.lit(w) for w in ("the", "and", "idiot", "with")])
     share = F.size(F.array_intersect(F.split(F.lower("text"), " "), wanted)) / 4.0
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.round(share, 6).alias("share")).where("share >= 0.5")
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(share, 6).alias("share")).where("share >= 0.5")
 
 
-@query("""WITH a AS (SELECT o_orderkey, '包号：1\n供应商名称：' || c_name || '\n中标（成交）金额：' || printf('%.2f', o_totalprice) || '元\n' AS t, c_name, round(o_totalprice, 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0)
-    SELECT o_orderkey, '1' AS package_no, c_name AS winner, amount FROM a""")
+@query("""WITH a AS (SELECT o_orderkey, '包号：1\n供应商名称：' || c_name || '有限公司\n中标（成交）金额：' || printf('%.2f', o_totalprice) || '元\n' AS t, c_name || '有限公司' AS winner, round(o_totalprice, 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT o_orderkey, '1' AS package_no, winner, amount FROM a""")
 def award_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = read(spark, sf_dir, "orders", "customer")
-    notices = orders.where("o_orderkey % 5 = 0").join(customers, orders.o_custkey == customers.c_custkey).select(
-        "o_orderkey", F.concat(F.lit("包号：1\n供应商名称："), "c_name", F.lit("\n中标（成交）金额："), F.format_string("%.2f", "o_totalprice"), F.lit("元\n")).alias("t"))
+    notices = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+        "o_orderkey", F.concat(F.lit("包号：1\n供应商名称："), "c_name", F.lit("有限公司\n中标（成交）金额："), F.format_string("%.2f", "o_totalprice"), F.lit("元\n")).alias("t"))
     found = notices.select("o_orderkey", F.explode(extract.package_awards(F.col("t"))).alias("x"))
     return found.select("o_orderkey", "x.package_no", "x.winner", F.col("x.amount").cast("double").alias("amount"))
 

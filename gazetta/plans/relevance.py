@@ -64,12 +64,12 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH o AS (SELECT o_orderkey, o_totalprice / 100 AS wan, DATE '2001-08-01' - o_orderdate::DATE AS age, CASE o_orderstatus WHEN 'F' THEN 'http://www.ccgp.gov.cn/' WHEN 'O' THEN 'http://bidding.example' ELSE '' END AS url, o_orderpriority FROM orders),
     s AS (SELECT o_orderkey, CASE WHEN wan >= 10000 THEN 25 WHEN wan >= 1000 THEN 20 WHEN wan >= 500 THEN 15 WHEN wan >= 100 THEN 10 ELSE 5 END + CASE WHEN age <= 3 THEN 25 WHEN age <= 7 THEN 20 WHEN age <= 14 THEN 15 WHEN age <= 30 THEN 10 ELSE 5 END
         + least(25, 10 + 8 * (contains(o_orderpriority, 'URGENT')::INT + contains(o_orderpriority, 'HIGH')::INT)) + CASE WHEN contains(url, 'ccgp') THEN 25 WHEN contains(url, 'bidding') THEN 18 ELSE 5 END AS total FROM o)
-    SELECT o_orderkey, total::DOUBLE AS total, CASE WHEN total >= 80 THEN 'P0' WHEN total >= 60 THEN 'P1' WHEN total >= 40 THEN 'P2' ELSE 'P3' END AS level FROM s ORDER BY total DESC, o_orderkey LIMIT 500""")
+    SELECT o_orderkey, total::DOUBLE AS total, CASE WHEN total >= 80 THEN 'P0' WHEN total >= 60 THEN 'P1' WHEN total >= 40 THEN 'P2' ELSE 'P3' END AS level FROM s""")
 def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.datediff(F.lit("2001-08-01").cast("date"), F.col("o_orderdate").cast("date"))
     url = F.when(F.col("o_orderstatus") == "F", "http://www.ccgp.gov.cn/").when(F.col("o_orderstatus") == "O", "http://bidding.example").otherwise("")
     parts = classify.notice_score(F.col("o_totalprice") / 100, age, 8 * classify.hits(F.col("o_orderpriority"), ("URGENT", "HIGH")), url)
-    return read(spark, sf_dir, "orders").select("o_orderkey", parts["total"].alias("total"), parts["level"].alias("level")).orderBy(F.desc("total"), "o_orderkey").limit(500)
+    return read(spark, sf_dir, "orders").select("o_orderkey", parts["total"].alias("total"), parts["level"].alias("level"))
 
 
 _TF = """

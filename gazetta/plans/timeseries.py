@@ -59,9 +59,10 @@ def load_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORED = _ROLLING + """, l AS (SELECT r.*, coalesce(deviation / nullif(mean_response, 0), 0) AS variation FROM r WHERE place = 1), c AS (
-    SELECT source, ok, row_number() OVER (PARTITION BY source ORDER BY us DESC, event_id DESC) AS place, least(count(*) OVER (PARTITION BY source), 40) AS held FROM log), e AS (
-    SELECT source, avg((NOT ok)::INT) FILTER (WHERE place <= held / 2.0) - avg((NOT ok)::INT) FILTER (WHERE place > held / 2.0) AS trend FROM c WHERE place <= 40 GROUP BY source), s AS (
-    SELECT l.source, failures, trend, greatest(0, least(1, 0.5 + 0.5 * rate_long + 0.15 - greatest(0, least(0.15, variation * 0.15)) - greatest(0, least(0.2, trend * 0.5)) - least(0.15, failures * 0.03))) AS health,
+    SELECT source, max(us) AS last_us, count(*) AS held FROM log GROUP BY 1), e AS (
+    SELECT source, any_value(CASE WHEN held >= 20 THEN l.rate_long - l.rate_short ELSE 0 END) AS trend, count(*) FILTER (WHERE NOT g.ok AND g.response > 20 AND g.us > last_us - 86400000000) AS bans
+    FROM log g JOIN c USING (source) JOIN l USING (source) GROUP BY source), s AS (
+    SELECT l.source, failures, trend, greatest(0, least(1, 0.5 + 0.5 * rate_long + 0.15 - greatest(0, least(0.15, variation * 0.15)) - greatest(0, least(0.2, trend * 0.5)) - least(0.15, failures * 0.03) - least(0.10, bans * 0.025))) AS health,
         greatest(CASE WHEN failures >= 5 THEN 0.9 WHEN failures >= 3 THEN 0.6 WHEN failures >= 2 THEN 0.3 ELSE 0 END, CASE WHEN rate_short < 0.5 THEN least(0.8, (0.5 - rate_short) * 2) ELSE 0 END,
                  CASE WHEN trend > 0.3 THEN 0.7 WHEN trend > 0.15 THEN 0.4 ELSE 0 END, CASE WHEN variation > 1.0 THEN 0.5 WHEN variation > 0.5 THEN 0.25 ELSE 0 END) AS ban
     FROM l JOIN e USING (source))"""
@@ -72,11 +73,10 @@ _SCORED = _ROLLING + """, l AS (SELECT r.*, coalesce(deviation / nullif(mean_res
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
     latest = health.rolling(rows, _ORDER).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("us"), F.desc("event_id")))).where("place = 1")
-    cut, bad = health.recent(rows, _ORDER, 40), (~F.col("ok")).cast("double")
-    trend = cut.groupBy("source").agg((F.avg(F.when(F.col("place") <= F.col("held") / 2, bad)) - F.avg(F.when(F.col("place") > F.col("held") / 2, bad))).alias("trend"))
-    joined = latest.join(trend, "source")
+    # A failure with a slow response stands for a ban.
+    joined = latest.join(health.recent_bans(rows, ~F.col("ok") & (F.col("response") > 20)), "source")
     ban = health.ban_probability(F.col("failures"), F.col("rate_short"), F.col("trend"), F.col("variation"))
-    scored = joined.select("source", health.health_score(F.col("rate_long"), F.col("variation"), F.col("trend"), F.col("failures"), F.lit(0)).alias("health"), ban.alias("ban"))
+    scored = joined.select("source", health.health_score(F.col("rate_long"), F.col("variation"), F.col("trend"), F.col("failures"), F.col("bans")).alias("health"), ban.alias("ban"))
     level = health.risk_level(F.col("ban"))
     return scored.select("source", F.round("health", 6).alias("health"), F.round("ban", 6).alias("ban"), level.alias("level"), health.adjusted_interval(F.lit(100.0), level).alias("interval_s"))
 

@@ -35,10 +35,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_folder(context, name: str) -> str:
+    """A folder of this machine, for sessions in one JVM; on a cluster the executors would not see it."""
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), name)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     context = ship(df.sparkSession).sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "gazetta-checkpoints"))
+        context.setCheckpointDir(folder or local_folder(context, "gazetta-checkpoints"))
     return df.checkpoint(eager=True)

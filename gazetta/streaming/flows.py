@@ -5,8 +5,6 @@ Event times are timestamps with a watermark. State that has outlived its purpose
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.merge import apply_delta
+from ..session import local_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -131,7 +130,7 @@ def watchdog(stream: DataFrame, key: str, seconds: int, quiet: tuple[int, int] =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "gazetta-streams")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or local_folder(spark.sparkContext, "gazetta-streams")
     return f"{base}/{uuid.uuid4().hex}"
 
 

@@ -11,8 +11,14 @@ from tests.test_functions import values
 
 
 def test_winner_names(spark):
-    raw = ["1.重庆某建设有限公司 资质：一级", "某公司（联合体牵头人：甲）", "某设计院&nbsp;业绩：三项", "无", "", None, "某某公司，企业资质等级：甲级 第二中标候选人：乙"]
-    assert values(spark, extract.winner_name, raw) == ["重庆某建设有限公司", "某公司", "某设计院", None, None, None, "某某公司"]
+    cases = {
+        "重庆某建设有限公司 资质：一级": "重庆某建设有限公司", "某公司（联合体牵头人：甲）": "某公司", "某设计院&nbsp;业绩：三项": "某设计院", "无": None, "": None, "   ": None, None: None,
+        "甲有限公司，企业资质：甲级": "甲有限公司", "甲有限公司 1.中标候选人的资质：CMA": "甲有限公司", "甲有限公司 1．中标候选人的资质：CMA": "甲有限公司", "甲有限公司 公司业绩：道路": "甲有限公司",
+        "甲有限公司（联合体：乙公司） 资质等级：二级": "甲有限公司", "甲有限公司 资质：二级 第二中标候选人：乙公司 资质：三级": "甲有限公司", "北京城建联合体有限公司": "北京城建联合体有限公司",
+        "资质：建筑工程施工总承包二级": None, "甲有限公司 详见附表": "甲有限公司", "详见": None, "见附": None, "甲&amp;乙有限公司": "甲&乙有限公司", "甲有限公司，建筑工程施工总承包一级": "甲有限公司",
+        "甲有限公司 中标候选人资格：甲级": "甲有限公司", "甲有限公司 无 详细描述": "甲有限公司", "甲有限公司 1.": "甲有限公司", "某某": None, "甲店": "甲店", "甲有限公司 企业": "甲有限公司", "长" * 90 + "公司": "长" * 80,
+    }
+    assert dict(zip(cases, values(spark, extract.winner_name, list(cases)), strict=True)) == cases
     assert values(spark, extract.winners, ["甲公司、乙公司；丙公司：备注", "", None]) == [["甲公司", "乙公司", "丙公司"], [], []]
 
 
@@ -87,3 +93,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {r.target_table for r in spark.read.parquet(f"{tmp_path}/routed").collect()} == {"one", "other"}
     (tmp_path / "log.txt").write_text("2024-01-01 ERROR boom\nnoise\n2024-01-01 INFO fine\n")
     assert sorted(r.level for r in tables.log_lines(spark, f"{tmp_path}/log.txt", r"^(\S+) (ERROR|INFO) (.*)$", ("day", "level", "said")).collect()) == ["ERROR", "INFO"]
+
+
+def test_every_package_has_its_award(spark):
+    text = "".join(f"包号：{i}\n供应商名称：第{i}有限公司\n中标（成交）金额：{i}元\n" for i in range(1, 1301))
+    got = values(spark, extract.package_awards, [text])[0]
+    assert [x.package_no for x in got] == [str(i) for i in range(1, 1301)] and got[-1].winner == "第1300有限公司" and got[-1].amount == Decimal("1300.00")

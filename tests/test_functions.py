@@ -43,6 +43,9 @@ def test_project_names(spark):
     assert got == ["某路改造工程公告", "a楼一期", "设备", "", ""]
     numbers = values(spark, lambda c: text.project_number(c, F.lit("")), ["项目编号：ABC-123", "x [CQ2024-00012] y", "(ABC12345)", "AB-2024-001 x", "none", None])
     assert numbers == ["ABC-123", "CQ2024-00012", "ABC12345", "AB-2024-001", None, None]
+    # The order of the forms decides, not the place in the text.
+    several = ["项目编号：AAA-1 招标编号：BBB-2", "招标编号：BBB-2，项目编号：AAA-1", "采购编号：C-1 项目号：P-1，Q-2", "[CQ2024-0001] 编号：N-1", "项目 编码 500001202401 招标编号：X-1"]
+    assert values(spark, lambda c: text.project_number(c, F.lit("")), several) == ["BBB-2", "BBB-2", "P-1，Q-2", "N-1", "500001202401"]
 
 
 def test_masks(spark):
