@@ -353,26 +353,84 @@ def test_language_model_against_counts(spark, docs, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
-def test_unit_probabilities_are_normalised():
-    shares = np.random.default_rng(0).random(language_model.UNITS)
-    model = language_model.LogBilinear(shares / shares.sum())
-    context = np.array([3, 9, 200, 1])
-    total = sum(np.exp(model.log_probabilities(np.append(context, u), np.array([0, 5])))[-1] for u in range(language_model.UNITS))
-    assert abs(total - 1) < 1e-4
+def small_model(words=30, others=7):
+    rng = np.random.default_rng(0)
+    order, at = language_model.classes_of(rng.random((words, 6)), rng.integers(1, 50, words).astype(float))
+    return language_model.LogBilinear(rng.integers(0, 50, words + others), order, at)
+
+
+def test_probabilities_are_normalised_over_classes_and_words():
+    model = small_model()
+    assert len(model.at) - 1 == 4 and sorted(model.slot[:30].tolist()) == list(range(30)) and max(np.diff(model.at)) - min(np.diff(model.at)) <= 1
+    context = np.array([3, 9, 36, 1], np.uint16)
+    total = sum(np.exp(model.log_probabilities(np.append(context, np.uint16(u)), np.array([0, 5])))[-1] for u in range(37))
+    assert abs(total - 1) < 1e-5
+
+
+def test_log_probabilities_against_a_plain_loop():
+    model = small_model()
+    rng = np.random.default_rng(1)
+    for v in model.p.values():
+        v += 0.3 * rng.standard_normal(v.shape).astype(np.float32)
+    slots, at = rng.integers(0, 37, 60).astype(np.uint16), np.array([0, 1, 41, 60])
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    expected = []
+    for low, high in zip(at[:-1], at[1:], strict=True):
+        for i in range(low, high):
+            before = [int(s) for s in slots[low:i]]
+            far = before[-language_model.SPAN :]
+            h = p["weights"][-1] * (sum(p["context"][s] for s in far) / len(far) if far else 0)
+            for k in range(language_model.POSITIONS):
+                h = h + p["weights"][k] * (p["context"][before[-1 - k]] if k < len(before) else p["context"][-1])
+            soft = lambda z, own: z[own] - math.log(sum(math.exp(x) for x in z))
+            kind = int(model.kind[slots[i]])
+            value = soft(p["class"] @ h + p["class_bias"], kind)
+            if slots[i] < 30:
+                x, y = model.at[kind], model.at[kind + 1]
+                value += soft(p["word"][x:y] @ h + p["word_bias"][x:y], int(slots[i]) - x)
+            expected.append(value)
+    assert np.allclose(model.log_probabilities(slots, at), expected, atol=1e-4)
+
+
+def test_language_model_gradients_of_contexts():
+    model = small_model()
+    rng = np.random.default_rng(2)
+    slots, at = rng.integers(0, 37, 50).astype(np.uint16), np.array([0, 20, 22, 50])
+    start = np.repeat(at[:-1], np.diff(at))
+    target = rng.standard_normal((50, language_model.SIZE)).astype(np.float32)
+    _, c = model.hidden(slots, start, 0, 50)
+    before = {k: v.copy() for k, v in model.p.items()}
+    memory = {k: np.zeros_like(v) for k, v in model.p.items()}
+    model._step_contexts(c, target, memory)
+    found = {k: np.sign(before[k] - model.p[k]) * np.sqrt(memory[k]) for k in ("context", "weights")}
+    model.p = {k: v.astype(np.float64) for k, v in before.items()}
+    for name, cell in (("context", (int(slots[3]), 2)), ("context", (int(slots[21]), 5)), ("context", (-1, 0)), ("weights", (1, 4)), ("weights", (3, 7))):
+        values = []
+        for e in (1e-3, -2e-3):
+            model.p[name][cell] += e
+            values.append(float((model.hidden(slots, start, 0, 50)[0] * target).sum()))
+        model.p[name][cell] += 1e-3
+        assert abs((values[0] - values[1]) / 2e-3 - found[name][cell]) < 0.02 * abs(found[name][cell]) + 0.02
 
 
 def test_language_model_trains_on_every_position():
     rng = np.random.default_rng(3)
-    at = np.arange(0, 1401, 7)
-    units = rng.integers(0, language_model.UNITS, 1400)
-    model = language_model.LogBilinear(np.full(language_model.UNITS, 1 / language_model.UNITS))
-    memory = {k: np.zeros_like(v) for k, v in model.p.items()}
-    assert model.train(units, at, rng, memory) == 1400
-    # A word that occurs once has a position of its own, wherever it is, and its vector learns more than a noise word's.
+    model = small_model()
+    slots, at = rng.integers(0, 37, 1400).astype(np.uint16), np.arange(0, 1401, 7)
+    assert model.train(slots, at, rng, model.memory()) == 1400
+    # A word that occurs once learns, wherever it stands.
     for spot in range(4):
-        units = np.zeros(280, np.int64)
-        units[spot] = 5
-        model = language_model.LogBilinear(np.where(np.arange(language_model.UNITS) == 5, 1e-12, 1 / (language_model.UNITS - 1)))
-        before = model.p["bias"][5]
-        model.train(units, np.array([0, 280]), np.random.default_rng(spot), {k: np.zeros_like(v) for k, v in model.p.items()})
-        assert model.p["bias"][5] > before
+        slots = np.full(280, 1, np.uint16)
+        slots[spot] = 5
+        model = small_model()
+        before = model.p["word"][5].copy()
+        model.train(slots, np.array([0, 280]), np.random.default_rng(spot), model.memory())
+        assert (model.p["word"][5] != before).any()
+
+
+def test_language_model_beats_its_base_whatever_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, many = ({r.doc_id: r for r in language_model.score_documents(docs.repartition(n)).collect()} for n in (1, 8))
+    assert all(abs(one[i].score - many[i].score) <= 1e-6 * abs(one[i].score) and one[i].base_score == pytest.approx(many[i].base_score, rel=1e-12) for i in one)
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 100
