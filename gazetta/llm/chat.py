@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: What is escaped inside texts: this template's markers and those of other common templates, with any tildes already there.
 CONTROL, ESCAPED = r"([<\[])(~*)(\||/?s>|/?INST\])", r"([<\[])~(~*)(\||/?s>|/?INST\])"
-#: Turns of a block of the prefix sums.
-BLOCK = 64
+#: Turn numbers of a block. A block's turns meet in one row; a long conversation is many blocks.
+BLOCK = 512
+_TURNS = "array<struct<turn:{turn},role:string,body:string,tokens:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -22,62 +23,103 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
+def _tokens(turns: Column) -> Column:
+    return F.aggregate(turns, F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"])
+
+
+def _last_within(turns: Column, allowed: Column, most: int) -> Column:
+    """The last turns of the array that have at most ``allowed`` tokens together; a turn has four tokens at least."""
+    near = F.slice(turns, F.greatest(F.size(turns) - most // 4 + 1, F.lit(1)), most // 4 + 1)
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = a["open"] & (a["sum"] + x["tokens"] <= allowed)
+        return F.struct((a["sum"] + x["tokens"]).alias("sum"), (a["n"] + F.when(fits, 1).otherwise(0)).alias("n"), fits.alias("open"))
+
+    n = F.aggregate(F.reverse(near), start, step, lambda a: a["n"])
+    return F.slice(near, F.size(near) - n + 1, n)
+
+
+def _spans(turns: Column, first: Column, stride: Column) -> Column:
+    """Numbers of the turns with which spans begin: each span takes turns while their prefix sum stays within ``first`` tokens
+    (later spans: ``stride``), one turn at least."""
+    start = F.struct(F.array(F.lit(1)).alias("starts"), F.lit(0).cast("bigint").alias("used"), first.alias("limit"), F.lit(0).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        at, new = a["at"] + 1, (a["at"] > 0) & (a["used"] + x["tokens"] > a["limit"])
+        return F.struct(
+            F.when(new, F.concat(a["starts"], F.array(at))).otherwise(a["starts"]).alias("starts"), F.when(new, x["tokens"]).otherwise(a["used"] + x["tokens"]).alias("used"),
+            F.when(new, stride).otherwise(a["limit"]).alias("limit"), at.alias("at"),
+        )
+
+    return F.aggregate(turns, start, step, lambda a: a["starts"])
+
+
+def _rendered(turns: Column, skip: Column) -> Column:
+    """Struct of text and loss_spans of formatted turns; the first ``skip`` turns are masked."""
+    piece = lambda x: F.concat(F.lit(START), F.url_encode(x["role"]), F.lit("\n"), escape(x["body"]), F.lit(END))
+    pieces = F.transform(turns, lambda x, i: F.struct(piece(x).alias("piece"), (F.length(F.url_encode(x["role"])) + len(START) + 1).alias("head"), ((x["role"] == "assistant") & (i >= skip)).alias("loss")))
+
+    def step(a: Column, x: Column) -> Column:
+        span = F.struct((a["at"] + x["head"]).alias("start"), (F.length(x["piece"]) - x["head"] - len(END)).alias("length"))
+        return F.struct((a["at"] + F.length(x["piece"])).alias("at"), F.when(x["loss"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+
+    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")), step, lambda a: a["spans"])
+    return F.struct(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text"), spans.alias("loss_spans"))
+
+
 def format_windows(turns: DataFrame, budget: int = 512, history: int = 96) -> DataFrame:
     """Rows (conv_id, window, text, context_turns, n_tokens, loss_spans): formatted windows of each conversation.
 
     Input: conv_id, turn, role, text; further columns are ignored. Turns go by turn, then role and text (ties); null roles
-    and texts count as empty; a null conv_id is a conversation of its own. Tokens of a turn: its words plus four.
-
-    Prefix sums of tokens place each turn in cells of ``budget - history`` tokens less the system turn's share; turns inside
-    one cell form a span, a turn across cells is a span of its own, so a span never exceeds a cell unless one turn does;
-    no turn is cut. A window is the system turn (if the first turn is one), then the turns that begin at most ``history``
-    tokens before the span, then the span. ``context_turns`` counts the repeated turns. ``loss_spans`` are (start, length)
-    in characters of the texts of the span's assistant turns; repeated turns are masked. ``window`` is the span's first
-    token, so windows sort by it.
-
-    Sums are taken over blocks of turns and then over block totals, so a long conversation is not one task's work.
+    and texts count as empty; a null conv_id is a conversation of its own. Tokens of a turn: its words plus four. Repeated
+    rows are turns of their own. An empty table gives no windows.
+
+    The first span takes turns from the start while their prefix sum is within ``budget``; later spans while theirs is within
+    ``budget - history`` less the tokens of the system turn (the first turn, if its role is system). No turn is cut: a turn
+    over that bound is a span of its own. A window is the system turn, then the last turns before the span that have at most
+    ``history`` tokens and fit, then the span; so a window exceeds the budget only if one turn and the system turn do.
+    ``context_turns`` counts the repeated turns. ``loss_spans`` are (start, length) in characters of the texts of the span's
+    assistant turns; repeated turns are masked. Windows sort by ``window``.
+
+    A conversation is dealt to blocks of BLOCK turn numbers, each one row, so the hot one is many rows. A span doesn't cross
+    blocks; the system turn and the last turns of the block before are handed on. Turns without a number are in block 0.
     """
-    stride = budget - history
-    if not 0 <= history <= stride:
+    if not 0 <= history <= budget // 2:
         raise ValueError("history must be at most half of the budget")
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    base = turns.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k"), F.col("conv_id").isNull().alias("kn"), "turn", role.alias("role"), text.alias("body"))
+    kind, turn_kind = turns.schema["conv_id"].dataType, turns.schema["turn"].dataType.simpleString()
+    base = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k"), F.col("conv_id").isNull().alias("kn"), "turn", role.alias("role"), text.alias("body"))
     base = base.withColumn("tokens", F.regexp_count("body", F.lit(r"\S+")).cast("bigint") + 4).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / BLOCK))
-    conv, ordered = ["kn", "k"], [F.asc_nulls_first("turn"), F.asc("role"), F.asc("body")]
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = base.groupBy(*conv, "block").agg(F.sum("tokens").alias("held"))
-    blocks = blocks.withColumn("before", F.sum("held").over(upto(Window.partitionBy(*conv).orderBy("block"))) - F.col("held")).drop("held")
-    inside = upto(Window.partitionBy(*conv, "block").orderBy(*ordered))
-    placed = base.withColumn("end", F.sum("tokens").over(inside)).join(blocks, [*conv, "block"])
-    placed = placed.withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("tokens"))
-    placed = placed.withColumns({
-        "system": (F.col("start") == 0) & (F.col("role") == "system"),
-        "first": F.floor(F.col("start") / stride), "last": F.floor((F.col("end") - 1) / stride),
-        "piece": F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"), escape(F.col("body")), F.lit(END)),
-        "at": F.length(F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))),
-    })
-    span = F.min("start").over(Window.partitionBy(*conv, "first", "last"))
-    own = placed.withColumn("window", span).withColumn("mine", F.lit(True))
-    spans = own.where("start = window").select(*conv, "window")
-    ahead = F.sequence(F.floor((F.col("start") + 1) / stride), F.floor((F.col("start") + history) / stride))
-    past = placed.where(~F.col("system")).withColumn("cell", F.explode(ahead)) if history else placed.where(F.lit(False)).withColumn("cell", F.lit(0))
-    past = past.join(spans.withColumn("cell", F.floor(F.col("window") / stride)), [*conv, "cell"]).where((F.col("window") > F.col("start")) & (F.col("window") <= F.col("start") + history))
-    head = placed.where("system").join(spans.where("window > 0"), conv)
-    kept = ["conv_id", *conv, "window", "start", "mine", "role", "piece", "at", "tokens"]
-    rows = own.select(*kept).unionByName(past.withColumn("mine", F.lit(False)).select(*kept)).unionByName(head.withColumn("mine", F.lit(False)).select(*kept))
-    turn = F.struct("start", "mine", (F.col("mine") & (F.col("role") == "assistant")).alias("loss"), "piece", "at", "tokens")
-    grouped = rows.groupBy(*conv, "window").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(turn)).alias("turns"))
-    walk = F.aggregate(
-        "turns", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["piece"])).alias("at"),
-            F.when(x["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["at"]).alias("start"), (F.length(x["piece"]) - x["at"] - len(END)).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    return grouped.select(
-        "conv_id", "window", F.array_join(F.transform("turns", lambda x: x["piece"]), "").alias("text"),
-        F.size(F.filter("turns", lambda x: ~x["mine"])).alias("context_turns"),
-        F.aggregate("turns", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]).alias("n_tokens"), walk["spans"].alias("loss_spans"),
+    conv, keys = ["kn", "k"], ["kn", "k", "block"]
+    blocks = base.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "tokens"))).alias("turns"))
+    # Conversations of several blocks: what a block hands on. The list of blocks comes from the turn numbers alone.
+    by = Window.partitionBy(*conv).orderBy("block")
+    index = base.select(*keys).distinct().withColumns({"next": F.lead("block").over(by), "before": F.lag("block").over(by)})
+    last = _last_within(F.filter("turns", lambda x, i: ~((i == 0) & F.col("before").isNull() & (x["role"] == "system"))), F.lit(history), history)
+    tails = blocks.join(index.where("next is not null"), keys).select(*conv, F.col("next").alias("block"), last.alias("tail"))
+    heads = blocks.join(index.where("before is null and next is not null"), keys).where(F.col("turns")[0]["role"] == "system").select(*conv, F.slice("turns", 1, 1).alias("head"))
+    heads = index.where("before is not null").select(*keys).join(heads, conv)
+    none = F.array().cast(_TURNS.format(turn=turn_kind))
+    rows = blocks.join(tails, keys, "left").join(heads, keys, "left").withColumn("begins", F.col("tail").isNull())
+    rows = rows.withColumns({
+        "own_head": F.col("begins") & (F.col("turns")[0]["role"] == "system"), "tail": F.coalesce("tail", none),
+        "system": F.when(F.col("begins") & (F.col("turns")[0]["role"] == "system"), F.slice("turns", 1, 1)).otherwise(F.coalesce("head", none)),
+    }).withColumn("held", _tokens(F.col("system")))
+    stride = F.greatest(F.lit(budget - history) - F.col("held"), F.lit(1)).cast("bigint")
+    rows = rows.withColumn("starts", _spans(F.col("turns"), F.when(F.col("begins"), F.lit(budget).cast("bigint")).otherwise(stride), stride))
+    rows = rows.select("kn", "k", "block", "turns", "tail", "system", "held", "own_head", "begins", F.size("starts").alias("spans"), "starts", F.posexplode("starts").alias("number", "start"))
+    stop = F.when(F.col("number") + 1 < F.col("spans"), F.element_at("starts", F.col("number") + 2)).otherwise(F.size("turns") + 1)
+    rows = rows.withColumn("mine", F.slice("turns", F.col("start"), stop - F.col("start"))).withColumn("size", _tokens(F.col("mine")))
+    skip = F.when(F.col("own_head"), 1).otherwise(0)
+    earlier = F.concat("tail", F.slice("turns", skip + 1, F.greatest(F.col("start") - 1 - skip, F.lit(0))))
+    opening = F.col("begins") & (F.col("number") == 0)
+    past = _last_within(earlier, F.least(F.lit(history), F.lit(budget) - F.col("held") - F.col("size")), history)
+    rows = rows.withColumn("context", F.when(opening, none).otherwise(F.concat("system", past))).withColumn("context_turns", F.size("context"))
+    rows = rows.withColumn("made", _rendered(F.concat("context", "mine"), F.col("context_turns")))
+    return rows.select(
+        F.when(~F.col("kn"), F.col("k").cast(kind)).alias("conv_id"), F.struct("block", "number").alias("window"), F.col("made.text").alias("text"), "context_turns",
+        (_tokens(F.col("context")) + F.col("size")).alias("n_tokens"), F.col("made.loss_spans").alias("loss_spans"),
     )
 
 
@@ -96,12 +138,15 @@ def read_losses(windows: DataFrame) -> DataFrame:
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """One row a conversation, read back from formatted windows. A digest covers the whole conversation, whose windows meet here."""
-    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    back = read_losses(read_turns(windows)).select("conv_id", "window", turns.alias("said"), "loss_text", F.size("turns").alias("n"), F.length("text").alias("chars"))
-    grouped = back.groupBy("conv_id").agg(
-        F.sum("n").alias("n_turns"), F.sum(F.length("loss_text")).alias("loss_chars"), F.sum("chars").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"),
-        F.sort_array(F.collect_list(F.struct("window", "said", "loss_text"))).alias("parts"),
-    )
-    whole = lambda field: F.sha2(F.array_join(F.transform("parts", lambda x: x[field]), ""), 256)
-    return grouped.select("conv_id", "n_turns", whole("said").alias("turns_sha256"), "loss_chars", whole("loss_text").alias("loss_sha256"), "formatted_chars", "n_windows")
+    """One row a conversation, read back from formatted windows. A digest covers the whole conversation, whose windows meet here;
+    of each turn the text is sent once."""
+    said = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    back = read_losses(read_turns(windows)).select("conv_id", "window", said.alias("said"), "loss_text", F.size("turns").alias("n"), F.length("text").alias("chars"))
+    # What is under the mask is the assistants' texts of the window; it is sent on its own only where it differs from them.
+    spoken = F.array_join(F.transform(F.filter("said", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    back = back.select("conv_id", "n", "chars", F.struct("window", "said", F.when(F.col("loss_text") != spoken, F.col("loss_text")).alias("loss")).alias("part"))
+    grouped = back.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"), F.sort_array(F.collect_list("part")).alias("parts"))
+    whole = F.array_join(F.transform("parts", lambda p: F.array_join(F.transform(p["said"], lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")), "")
+    loss = lambda p: F.coalesce(p["loss"], F.array_join(F.transform(F.filter(p["said"], lambda x: x["role"] == "assistant"), lambda x: x["text"]), ""))
+    lost = grouped.withColumn("lost", F.array_join(F.transform("parts", loss), ""))
+    return lost.select("conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length("lost").cast("bigint").alias("loss_chars"), F.sha2("lost", 256).alias("loss_sha256"), "formatted_chars", "n_windows")

@@ -92,20 +92,26 @@ ORACLE_SQL = {
                coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
         FROM marked GROUP BY doc_id""",
     "op5_chat_formatting": r"""
-        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-             k AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\f\r\x0B]+')) + 4 AS tokens,
-                          12 + length(role) + 1 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\])', '\1~\2\3', 'g')) + 11 AS chars FROM t),
-             e AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM k),
-             c AS (SELECT *, stop - tokens AS start, (stop - tokens) // 416 AS a, (stop - 1) // 416 AS b FROM e),
-             w AS (SELECT *, min(start) OVER (PARTITION BY conv_id, a, b) AS win, start = 0 AND role = 'system' AS sys FROM c),
-             s AS (SELECT DISTINCT conv_id, win FROM w),
-             f AS (SELECT conv_id, chars FROM w UNION ALL SELECT s.conv_id, chars FROM s JOIN w ON w.conv_id = s.conv_id AND s.win > 0 AND w.sys
-                   UNION ALL SELECT s.conv_id, chars FROM s JOIN w ON w.conv_id = s.conv_id AND NOT w.sys AND s.win > w.start AND s.win <= w.start + 96),
+             k AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\f\r\x0B]+')) + 4 AS tokens, floor(coalesce(turn, 0) / 512) AS block,
+                          12 + length(role) + 1 + length(regexp_replace(text, '([<\[])(~*)(\||/?s>|/?INST\])', '\1~\2\3', 'g')) + 11 AS chars,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM t),
+             sys AS (SELECT conv_id, CASE WHEN role = 'system' THEN tokens ELSE 0 END AS held, CASE WHEN role = 'system' THEN chars ELSE 0 END AS sys_chars, role = 'system' AS has FROM k WHERE n = 1),
+             m AS (SELECT k.*, held, sys_chars, has, sum(tokens) OVER (PARTITION BY k.conv_id ORDER BY n) AS stop FROM k JOIN sys USING (conv_id)),
+             g AS (SELECT conv_id, n, block, n AS win, tokens AS used, 512 AS lim FROM m WHERE n = 1
+                   UNION ALL SELECT m.conv_id, m.n, m.block, CASE WHEN c.new THEN m.n ELSE g.win END, CASE WHEN c.new THEN m.tokens ELSE g.used + m.tokens END,
+                                    CASE WHEN c.new THEN greatest(416 - held, 1) ELSE g.lim END
+                   FROM g JOIN m ON m.conv_id = g.conv_id AND m.n = g.n + 1, LATERAL (SELECT m.block <> g.block OR g.used + m.tokens > g.lim AS new) c),
+             w AS (SELECT m.*, win FROM m JOIN g USING (conv_id, n)),
+             s AS (SELECT conv_id, win, sum(tokens) AS size, sum(chars) AS own, any_value(held) AS held, any_value(sys_chars) AS sys_chars, any_value(has) AS has, min(stop - tokens) AS begins FROM w GROUP BY ALL),
+             h AS (SELECT s.conv_id, s.win, sum(m.chars) AS past FROM s JOIN m ON m.conv_id = s.conv_id AND m.n < s.win AND NOT (m.n = 1 AND s.has)
+                   WHERE s.begins - (m.stop - m.tokens) <= least(96, 512 - s.held - s.size) GROUP BY ALL),
+             f AS (SELECT conv_id, sum(own + CASE WHEN win > 1 THEN sys_chars ELSE 0 END + coalesce(past, 0))::BIGINT AS formatted_chars, count(*) AS n_windows FROM s LEFT JOIN h USING (conv_id, win) GROUP BY 1),
              d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                           coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
                           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM t GROUP BY 1)
-        SELECT d.*, (SELECT sum(chars)::BIGINT FROM f WHERE f.conv_id = d.conv_id) AS formatted_chars, (SELECT count(*) FROM s WHERE s.conv_id = d.conv_id) AS n_windows FROM d""",
+        SELECT d.*, formatted_chars, n_windows FROM d JOIN f USING (conv_id)""",
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_FOLD} AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)

@@ -265,12 +265,56 @@ def test_chat_round_trip(spark):
         r = got[conv]
         assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    long = [w for w in windows.where("conv_id = 1").orderBy("window").collect()]
+    long = windows.where("conv_id = 1").orderBy("window").collect()
     assert len(long) > 1 and all(w.text.startswith("<|im_start|>system\n") and w.n_tokens <= 200 for w in long) and all(w.context_turns >= 1 for w in long[1:])
     assert sum(w.text.count("<|im_end|>\n") for w in long) == 40 + sum(w.context_turns for w in long)
     assert chat.digests(chat.format_windows(spark.createDataFrame([], TURNS))).count() == 0
 
 
+def greedy(sizes, system, budget, history):
+    """Windows of a sequential choice, as lists of own turns."""
+    out, used, limit = [[0]], sizes[0], budget
+    for i, n in enumerate(sizes[1:], 1):
+        if used + n > limit:
+            out.append([])
+            used, limit = 0, max(1, budget - history - system)
+        out[-1].append(i)
+        used += n
+    return out
+
+
+def test_chat_windows_hold_the_budget(spark):
+    rng, rows, expected = np.random.default_rng(4), [], {}
+    for conv in range(60):
+        n, system = int(rng.integers(1, 90)), int(rng.choice([0, 0, 3, 40, 100, 150, 210]))
+        sizes = [int(x) for x in rng.choice([1, 3, 20, 60, 97, 130, 190, 260], n)]
+        turns = ([("system", system)] if system else []) + [(("user", "assistant")[i % 2], s) for i, s in enumerate(sizes)]
+        rows += [(conv, i, r, " ".join(f"w{i}x{j}" for j in range(s))) for i, (r, s) in enumerate(turns)]
+        sizes = [s + 4 for _, s in turns]
+        expected[conv] = (greedy(sizes, system + 4 if system else 0, 200, 50), sizes, system + 4 if system else 0)
+    windows = chat.read_turns(chat.format_windows(spark.createDataFrame(rows, TURNS), budget=200, history=50)).collect()
+    for conv, (spans, sizes, system) in expected.items():
+        mine = sorted((w for w in windows if w.conv_id == conv), key=lambda w: tuple(w.window))
+        assert [len(w.turns) for w in mine] == [len(s) for s in spans]
+        for w, span in zip(mine, spans, strict=True):
+            assert w.n_tokens <= 200 or (len(span) == 1 and sizes[span[0]] + system > 200)
+            past = w.n_tokens - sum(sizes[i] for i in span) - (system if span[0] else 0)
+            assert 0 <= past <= 50
+            room, before = min(50, 200 - system - sum(sizes[i] for i in span)), [sizes[i] for i in range(1 if system else 0, span[0])]
+            while before and before[-1] <= room:
+                room -= before.pop()
+            assert not span[0] or past == sum(sizes[(1 if system else 0) : span[0]]) - sum(before)
+
+
+def test_a_conversation_of_many_blocks_hands_on_its_system_turn(spark):
+    rows = [(1, i, "system" if i == 0 else ("user", "assistant")[i % 2], f"turn {i} " + "w " * (i % 7)) for i in range(1300)]
+    windows = chat.format_windows(spark.createDataFrame(rows, TURNS), budget=200, history=50)
+    got = sorted(windows.collect(), key=lambda w: tuple(w.window))
+    assert all(w.text.startswith("<|im_start|>system\nturn 0") and w.n_tokens <= 200 for w in got) and all(w.context_turns >= 2 for w in got[1:])
+    said = "".join(f"{r}\n{x}\n" for _, _, r, x in rows)
+    assert chat.digests(windows).collect()[0].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def labelled(spark, n=700):
     rng, rows, marks = np.random.default_rng(3), [], []
     for i in range(n):
