@@ -76,6 +76,20 @@ def test_exact_dedup_of_a_hot_text(spark):
     assert len(got) == 2000 and {r.keep_id for r in got} == {3998} and {r.group_size for r in got} == {2000} and sum(r.kept for r in got) == 1
 
 
+def test_exact_dedup_of_hot_beginnings_and_texts(spark):
+    # Half of the rows are one text, without ids; a quarter are different texts with one long beginning.
+    start = "The same beginning of many documents, longer than what places a row. " * 2
+    text = F.when(F.col("id") % 2 == 0, "Same text").when(F.col("id") % 4 == 1, F.concat(F.lit(start), F.expr("id div 8").cast("string"))).otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+    rows = spark.range(100_000).select(F.when(F.col("id") % 2 == 1, F.col("id")).alias("doc_id"), text.alias("text")).repartition(16)
+    got = exact_dedup.exact_duplicates(rows).persist()
+    hot = got.where("doc_id is null")
+    assert hot.count() == 50_000 and hot.where("group_size = 50000 and keep_id is null").count() == 50_000 and hot.where("kept").count() == 1
+    pairs = got.where("doc_id % 4 = 1")
+    assert pairs.count() == 25_000 and pairs.where("group_size = 2").count() == 25_000 and pairs.where("kept").count() == 12_500 and pairs.where("keep_id = doc_id - doc_id % 8 + 1").count() == 25_000
+    assert got.where("doc_id % 4 = 3 and kept and group_size = 1").count() == 25_000
+    got.unpersist()
+
+
 def test_near_duplicates_against_brute_force(spark, docs, empty):
     got = sorted(((r.doc_id is None, r.doc_id, r.class_id, r.n_links, r.n_text_links) for r in ngram_join.near_duplicates(docs).collect()), key=repr)
     sets = [shingle_set(r[1]) for r in ROWS]
