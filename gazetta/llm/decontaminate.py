@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import fresh
+from .common import fresh, settle
 from .textvec import Words, batches, minhash_params, segment_minima, shingles
 
-#: Shingles of the smallest window block, and of the longest item that is looked up exactly; items that share one search pass, which bounds what is broadcast.
-UNIT, ITEMS_A_PASS = 16, 10_000
+#: Shingles of the smallest window block, and of the longest item that is looked up exactly.
+UNIT = 16
+#: Items and characters of items that share one index, which bounds what is broadcast: about 200 MB in a worker.
+ITEMS_A_PASS, CHARACTERS_A_PASS = 50_000, 32_000_000
 HIT = "array<struct<item_id:{id},containment:double>>"
 
 
@@ -30,6 +32,15 @@ def slots_for(threshold: float, recall: float = 0.999) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - least))
 
 
+def _matches(values: np.ndarray, owners: np.ndarray, keys: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """(owner, item) of every equal pair of a value and a key; keys are in order."""
+    low, high = np.searchsorted(keys, values, "left"), np.searchsorted(keys, values, "right")
+    hit = np.flatnonzero(high > low)
+    span = (high - low)[hit]
+    cells = np.repeat(low[hit], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+    return np.stack([np.repeat(owners[hit], span), items[cells]], 1)
+
+
 class ContainmentIndex:
     """Items by size class (up to 2 UNIT, 4 UNIT ... shingles), each with one MinHash sketch of single-value slots.
 
@@ -44,6 +55,7 @@ class ContainmentIndex:
         enough = np.diff(words.at) >= n
         self.sets = [np.unique(hashes[at[i] : at[i + 1]]) if enough[i] else hashes[:0] for i in range(len(ids))]
         self._index_short([i for i, s in enumerate(self.sets) if 0 < len(s) <= UNIT])
+        self._index_phrases(words)
         levels: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
             if len(s) > UNIT:
@@ -57,6 +69,26 @@ class ContainmentIndex:
             np.put_along_axis(seen, (values & np.uint64(0xFFFF)).astype(np.int64), True, 1)
             self.levels[level] = (values, np.array(items)[order], seen)
 
+    def _index_phrases(self, words: Words) -> None:
+        """Items of fewer than n words are phrases: each has one shingle of its own length, and is found as a whole."""
+        self.phrases = {}
+        counts = np.diff(words.at)
+        for size in range(1, self.n):
+            items = np.flatnonzero(counts == size)
+            if len(items):
+                hashes, at = shingles(words.hashes, words.at, size)
+                keys = hashes[at[items]]
+                order = np.argsort(keys, kind="stable")
+                self.phrases[size] = (keys[order], items[order])
+
+    def _phrases_in(self, words: Words) -> np.ndarray:
+        """(document, item) pairs of the phrases in the documents, each once."""
+        found = [np.empty((0, 2), np.int64)]
+        for size, (keys, items) in self.phrases.items():
+            hashes, at = shingles(words.hashes, words.at, size)
+            found.append(_matches(hashes, np.searchsorted(at, np.arange(len(hashes)), "right") - 1, keys, items))
+        return np.unique(np.concatenate(found), axis=0)
+
     def _index_short(self, items: list[int]) -> None:
         values, place, often = np.unique(np.concatenate([self.sets[i] for i in items] or [np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
         keys, owners, at = [], [], 0
@@ -76,11 +108,7 @@ class ContainmentIndex:
     def _short_candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         keys, owners, seen = self.short
         maybe = np.flatnonzero(seen[(hashes & np.uint64(0xFFFFF)).astype(np.int64)]) if len(keys) else np.empty(0, np.int64)
-        low, high = np.searchsorted(keys, hashes[maybe], "left"), np.searchsorted(keys, hashes[maybe], "right")
-        hit = np.flatnonzero(high > low)
-        span = (high - low)[hit]
-        cells = np.repeat(low[hit], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-        return np.stack([np.repeat(np.searchsorted(at, maybe[hit], "right") - 1, span), owners[cells]], 1)
+        return _matches(hashes[maybe], np.searchsorted(at, maybe, "right") - 1, keys, owners)
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (document, item) pairs that agree in a slot of some window or share an indexed shingle; ``hashes`` are the documents' shingles in order."""
@@ -108,12 +136,7 @@ class ContainmentIndex:
             values, items, seen = self.levels[level]
             for slot in range(len(values)):
                 maybe = np.flatnonzero(seen[slot][(windows[slot] & np.uint64(0xFFFF)).astype(np.int64)])
-                low = np.searchsorted(values[slot], windows[slot][maybe], "left")
-                high = np.searchsorted(values[slot], windows[slot][maybe], "right")
-                hit = np.flatnonzero(high > low)
-                span = (high - low)[hit]
-                cells = np.repeat(low[hit], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                found.append(np.stack([np.repeat(owner[maybe[hit]], span), items[slot][cells]], 1))
+                found.append(_matches(windows[slot][maybe], owner[maybe], values[slot], items[slot]))
         return np.unique(np.concatenate(found), axis=0)
 
     def search(self, texts: list) -> list[list[tuple]]:
@@ -130,6 +153,8 @@ class ContainmentIndex:
             part = float((own[place] == item).mean())
             if part >= self.threshold:
                 out[d].append((self.ids[i], part))
+        for d, i in self._phrases_in(words):
+            out[d].append((self.ids[i], 1.0))
         return out
 
 
@@ -145,33 +170,52 @@ def _searcher(shared):
     return search
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, text: Column, threshold: float = 0.8,
-                    id_col: str = "item_id", item_text: str = "text") -> Column:
-    """Column of the benchmark items contained in ``text``: those with at least ``threshold`` of their distinct five-word
-    shingles in it. Case of A-Z is ignored.
+def _passes(benchmark: DataFrame, text_col: str, items: int, characters: int) -> int:
+    row = benchmark.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text_col)).alias("c")).first()
+    return max(1, math.ceil(row["n"] / items), math.ceil((row["c"] or 0) / characters))
+
 
-    Documents don't move. Items are few and short beside documents; they are taken in passes of about ITEMS_A_PASS, dealt
-    by hash, each pass with one index shipped to the tasks, so the size of an index doesn't follow the size of the table.
-    Null or empty texts contain nothing; items under five words have no shingle and are never found; repeated items are
-    reported once; null item ids are reported as null. Documents of any length are searched as a whole.
+def with_items(docs: DataFrame, benchmark: DataFrame, name: str, text_col: str = "text", threshold: float = 0.8, id_col: str = "item_id",
+               item_text: str = "text", items_a_pass: int = ITEMS_A_PASS, characters_a_pass: int = CHARACTERS_A_PASS) -> DataFrame:
+    """Add the column ``name``: the benchmark items contained in the text (array of item_id and containment), those with at
+    least ``threshold`` of their distinct five-word shingles in it. Case of A-Z is ignored.
+
+    An item of one to four words is contained where its words stand in a row. Null or empty texts contain nothing, null or
+    empty items are in no text; repeated items are reported once; null item ids are reported as null. Documents of any length
+    are searched as a whole. An empty table on either side gives no items.
+
+    Items are few and short beside documents. As long as one index holds them, documents don't move: the index is shipped to
+    the tasks. More items than that are dealt by hash to passes of one index each; a pass writes only what it found, by two
+    64-bit hashes of the text, so one index is alive at a time; each pass reads the texts once more.
     """
-    passes = max(1, math.ceil(benchmark.count() / ITEMS_A_PASS))
+    passes = _passes(benchmark, item_text, items_a_pass, characters_a_pass)
     items = benchmark.select(F.col(id_col).alias("id"), F.col(item_text).alias("text"))
     kind = HIT.format(id=items.schema["id"].dataType.simpleString())
-    found = []
+    found = None
     for k in range(passes):
         table = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).toPandas()
         ids = [None if v is None or v != v else v for v in table["id"].tolist()]
         shared = ship(docs.sparkSession).sparkContext.broadcast(ContainmentIndex(ids, table["text"].tolist(), threshold))
-        found.append(F.pandas_udf(_searcher(shared), kind)(text))
-    return F.array_distinct(F.concat(*found)) if found[1:] else F.array_distinct(found[0])
+        column = F.array_distinct(F.pandas_udf(_searcher(shared), kind)(F.col(text_col)))
+        if passes == 1:
+            return docs.withColumn(name, column)
+        hits = docs.select(*_key(text_col), column.alias("_hits")).where(F.size("_hits") > 0)
+        hits = settle(hits.dropDuplicates(["_a", "_b"]))
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("_a", "_b").agg(F.array_distinct(F.flatten(F.collect_list("_hits"))).alias(name))
+    return docs.select("*", *_key(text_col)).join(found, ["_a", "_b"], "left").drop("_a", "_b").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+
+
+def _key(text_col: str) -> list[Column]:
+    return [F.xxhash64(text_col).alias("_a"), F.xxhash64(F.lit("text"), text_col).alias("_b")]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.8, **passes: int) -> DataFrame:
     """All rows of ``docs`` with a column ``leaks`` (array of item_id and containment); a column of that name is replaced."""
-    return fresh(docs, "leaks").withColumn("leaks", contained_items(docs, benchmark, F.col(text_col), threshold))
+    return with_items(fresh(docs, "leaks"), benchmark, "leaks", text_col, threshold, **passes)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.8, **passes: int) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item, with their columns."""
-    return docs.where(F.size(contained_items(docs, benchmark, F.col(text_col), threshold)) == 0)
+    return with_items(docs, benchmark, "_leaks", text_col, threshold, **passes).where(F.size("_leaks") == 0).drop("_leaks")

@@ -82,7 +82,9 @@ ORACLE_SQL = {
     "op2_decontamination": f"""
         WITH {_SHINGLES}, n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 'b' AND enough GROUP BY 1),
              hit AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM sh d JOIN sh b ON d.g = b.g AND d.kind = 'd' AND b.kind = 'b' AND b.enough GROUP BY ALL)
-        SELECT doc_id, item_id, shared / n::DOUBLE AS containment FROM hit JOIN n ON n.id = item_id WHERE shared / n::DOUBLE >= 0.8""",
+        SELECT doc_id, item_id, shared / n::DOUBLE AS containment FROM hit JOIN n ON n.id = item_id WHERE shared / n::DOUBLE >= 0.8
+        UNION SELECT d.id, b.id, 1.0 FROM words b JOIN words d ON b.kind = 'b' AND d.kind = 'd' AND len(b.t) BETWEEN 1 AND 4
+              AND contains(' ' || array_to_string(d.t, ' ') || ' ', ' ' || array_to_string(b.t, ' ') || ' ')""",
     "op3_line_dedup": """
         WITH lines AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line,
                               generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
