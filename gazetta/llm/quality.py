@@ -156,17 +156,18 @@ def _scorer(shared):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
     """(doc_id, text, y) of at most ``rows`` labelled documents, those of the least hash; ids and labels that are null are
-    left out, an id with several labels counts with the greatest. Only ids and labels are sorted; their list is bounded."""
+    left out, an id with several labels counts with the greatest, one with several texts with the least text. Only ids and
+    labels are sorted; their list is bounded."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(usable).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, held: Column, label: str = "quality", rows: int = SAMPLE) -> Trees:
     """Fit on statistics computed where the documents are; at most ``rows`` rows of numbers reach the driver."""
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, ~held, rows)
-    found = sample.select("doc_id", F.pandas_udf(_stats_udf, "array<double>")("text").alias("x"), "y").orderBy("doc_id").toPandas()
+    found = sample.select("doc_id", F.pandas_udf(_stats_udf, "array<double>")("text").alias("x"), "y").toPandas().sort_values("doc_id")
     if not len(found):
         return fit_trees(np.zeros((1, len(STATISTICS))), np.ones(1), trees=0)
     return fit_trees(np.stack(found["x"].to_numpy()), found["y"].to_numpy())

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import crc_split, fresh
+from .common import crc_split, fresh, settle
 from .quality import labelled_sample
 from .textvec import Words, batches, minhash_params, mix, range_hashes, runs, segment_minima, shingles
 
 #: Labelled documents that the network is fitted on at most; scoring covers every window of every document.
 SAMPLE = 4_000
-#: Documents of more characters are left out of the sample, so that its size is bounded; scoring reads texts of any length.
+#: A labelled document of more characters gives the sample its piece of about this length that looks worst, so that the
+#: sample's size is bounded; scoring reads texts of any length.
 LONGEST = 20_000
 #: Words of a window and the step between windows; windows overlap by a quarter.
 WINDOW, STEP = 32, 24
@@ -314,6 +315,27 @@ def fit(texts: list, y: np.ndarray, seed: int = 3) -> Network:
     return net
 
 
+def pieces(text: str, most: int = LONGEST) -> list[str]:
+    """The text in parts of at most ``most`` characters, cut at white space where there is any."""
+    out, low = [], 0
+    while len(text) - low > most:
+        cut = max(text.rfind(" ", low + 1, low + most), text.rfind("\n", low + 1, low + most))
+        cut = cut if cut > low else low + most
+        out.append(text[low:cut])
+        low = cut
+    return [*out, text[low:]]
+
+
+def worst_piece(text: str, evidence: dict[str, np.ndarray], most: int = LONGEST) -> str:
+    """The piece with the window of most evidence; the first one of equals."""
+    parts, best = pieces(text, most), []
+    for part in parts:
+        t = Tokens([part])
+        each = np.append(np.maximum(0, np.maximum(evidence["word"][t.word], _peaks(evidence["char"], t.cells, t.cell_at))), np.float32(0))
+        best.append(float(each[t.windows()[0]].sum(1).max()))
+    return parts[int(np.argmax(best))]
+
+
 class _Subset:
     """The distinct words of a training batch, with their character cells."""
 
@@ -324,11 +346,22 @@ class _Subset:
 
 
 def train(docs: DataFrame, labels: DataFrame, held: Column, label: str = "toxic", rows: int = SAMPLE) -> Network:
-    """Fit on at most ``rows`` labelled documents, half of them toxic if there are so many; those come to the driver."""
-    ship(docs.sparkSession)
-    docs = docs.where(F.length("text") <= LONGEST)
+    """Fit on at most ``rows`` labelled documents, half of them toxic if there are so many. Those come to the driver: whole up to
+    LONGEST characters; of longer ones, every window of which is weighed where they are, the piece that looks worst by the
+    evidence of the others. An id labelled both ways counts as toxic and as clean."""
+    spark = ship(docs.sparkSession)
     parts = [labelled_sample(docs, labels.where(F.col(label) == k), label, ~held, rows // 2) for k in (1, 0)]
-    found = parts[0].unionByName(parts[1]).orderBy("doc_id").toPandas()
+    sample = settle(parts[0].unionByName(parts[1]))
+    found = sample.where(F.length("text") <= LONGEST).toPandas()
+    if sample.where(F.length("text") > LONGEST).limit(1).count():
+        shared = spark.sparkContext.broadcast(_evidence(found["text"].tolist(), found["y"].to_numpy()))
+
+        def choose(column: pd.Series) -> pd.Series:
+            return column.map(lambda text: worst_piece(text, shared.value))
+
+        long = sample.where(F.length("text") > LONGEST).select("doc_id", F.pandas_udf(choose, "string")("text").alias("text"), "y")
+        found = pd.concat([found, long.toPandas()])
+    found = found.sort_values(["doc_id", "y"])
     return fit(found["text"].tolist(), found["y"].to_numpy())
 
 
