@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, settle
@@ -30,7 +30,7 @@ def bands_for(threshold: float, recall: float = 0.9999, most: int = 20) -> tuple
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, row, node, bands): row is a hash of id and text; node names the text's set of n-grams, so texts with equal sets share it; null for no words."""
+    """(doc_id, row, row2, node, bands): row and row2 are hashes of id and text, 128 bits together; node names the text's set of n-grams, so texts with equal sets share it; null for no words."""
     params = minhash_params(bands * rows)
 
     def sign(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +53,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     mine[d] = key[:, c].view(np.int64)
                 nodes += names
                 keys += mine
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "row2")), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "row2", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    return keyed.mapInArrow(sign, f"doc_id {kind}, row bigint, node string, bands array<bigint>")
+    return docs.select("doc_id", "text", *_row("doc_id", "text")).mapInArrow(sign, f"doc_id {kind}, row bigint, row2 bigint, node string, bands array<bigint>")
+
+
+def _row(id_col: str, text_col: str) -> list[Column]:
+    """Two columns that name a row by id and text."""
+    return [F.xxhash64(id_col, text_col).alias("row"), F.xxhash64(F.lit("row"), text_col, id_col).alias("row2")]
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, allowed: np.ndarray, threshold: float) -> np.ndarray:
@@ -163,12 +167,12 @@ def _grouped(n: int, threshold: float):
     return compare
 
 
-def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The signatures of ``source`` (doc_id, text), and a row per node: node, copies, least (its row of least id, null ids
     last), n_texts, n_docs (null without links) and root, the node that names its class."""
     bands, rows = bands_for(threshold, recall)
     signed = settle(signatures(source, n, bands, rows))
-    nodes = settle(signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.first("bands").alias("bands")))
+    nodes = settle(signed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2")).alias("least"), F.first("bands").alias("bands")))
 
     cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # Lists of buckets are written before they are joined, so that both sides of a join are plain exchanges and a large bucket
@@ -180,7 +184,7 @@ def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999)
     for s in same[1:]:
         met = met | s
     new = settle(cells.join(nodes.select("node", "bands"), "node").groupBy("band", "key").agg(met.alias("met")).where("not met").select("band", "key"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks.cast("bigint")).cast("int")
     members = (
         cells.join(new, ["band", "key"]).withColumn("block", mine)
@@ -189,8 +193,8 @@ def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999)
     )
     sent = members.groupBy("node").agg(F.collect_list("at").alias("ats"))
     # One row of each node brings its text; the row key also tells apart rows that repeat an id.
-    wanted = nodes.join(sent, "node").select(F.col("least.row").alias("row"), "node", "bands", "copies", "ats")
-    carried = source.withColumn("row", F.xxhash64("doc_id", "text")).drop("doc_id").join(wanted, "row").dropDuplicates(["row"])
+    wanted = nodes.join(sent, "node").select("least.row", "least.row2", "node", "bands", "copies", "ats")
+    carried = source.select("text", *_row("doc_id", "text")).join(wanted, ["row", "row2"]).dropDuplicates(["row", "row2"])
     groups = carried.select("node", "text", "bands", "copies", F.explode("ats").alias("at")).select("node", "text", "bands", "copies", "at.*")
     key = ["band", "key", "p", "q"]
     compared = groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_grouped(n, threshold), "node string, n_texts bigint, n_docs bigint, root string")
@@ -201,7 +205,7 @@ def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999)
     return signed, per_node
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links (other rows with Jaccard similarity of at least ``threshold`` on
     the sets of n-word shingles), n_text_links (those links that go to another set, each set once).
 
@@ -211,13 +215,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Rows with equal shingle sets collapse to one node with a count, so copies cost nothing further.
     2. Nodes are shuffled on band hashes. Buckets of one node, or whose members all met in one earlier band, are dropped.
-    3. Members go to the remaining buckets with their text; a bucket over BLOCK members is cut into blocks and each pair of
+    3. Members go to the remaining buckets with their text; a bucket over ``block`` members is cut into blocks and each pair of
        blocks is compared on its own. Pairs are never rows: each comparison emits at most one row per member, with
        the count of its links and one edge that keeps the group's links connected.
     4. Components of those edges are the classes.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed, per_node = _linked(source, n, threshold, recall)
+    signed, per_node = _linked(source, n, threshold, recall, block)
     per_class = per_node.groupBy("root").agg(F.min("least").alias("first"))
     per_node = per_node.join(per_class, "root").select("node", F.col("first.doc_id").alias("class_id"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"))
     zero = F.lit(0).cast("bigint")
@@ -232,8 +236,9 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of id and text. Of rows that repeat both id and text one stays; rows without words are classes of their own and all stay."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     _, per_node = _linked(source, n, threshold)
-    kept = per_node.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"))
+    kept = per_node.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"), F.col("first.row2").alias("_row2"))
     words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
     # One exchange by the hash serves both the join and the choice among repeated rows.
-    full = docs.where(words).withColumn("_row", F.xxhash64(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    key = ["_row", "_row2"]
+    full = docs.where(words).withColumns(dict(zip(key, _row(id_col, text_col), strict=True))).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
     return full.union(docs.where(~words))

@@ -135,6 +135,9 @@ def test_large_groups_of_near_copies_keep_all_links(spark):
     expected = {rows[i][0]: sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for s in sets) - 1 for i in range(len(rows))}
     got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert sum(expected.values()) > 30_000
+    many = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=150).collect()}
+    one = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert many == one
     assert all(got[k] <= expected[k] for k in expected) and sum(got.values()) >= 0.999 * sum(expected.values())
 
 
@@ -164,8 +167,15 @@ def test_decontamination_against_brute_force(spark, docs, empty):
             s = shingle_set(t)
             if len((t or "").split()) >= 5 and len(s & own) / len(s) >= 0.8:
                 found.add((i, round(len(s & own) / len(s), 9)))
+        for i, t in items:
+            w = (t or "").lower().split()
+            if 0 < len(w) < 5 and any((r[1] or "").lower().split()[k : k + len(w)] == w for k in range(len((r[1] or "").split()))):
+                found.add((i, 1.0))
         expected.append((r[0], sorted(found)))
-    assert got == sorted(expected, key=repr)
+    assert got == sorted(expected, key=repr) and any((3, 1.0) in found for _, found in expected)
+    several = decontaminate.find_leaks(clash, bench, items_a_pass=2)
+    assert sorted(((r.doc_id, sorted({(x.item_id, round(x.containment, 9)) for x in r.leaks})) for r in several.collect()), key=repr) == got and several.columns[-1] == "leaks"
+    assert decontaminate.drop_leaks(docs, bench, items_a_pass=3).count() == sum(not found for _, found in expected)
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.where("false")).where(F.size("leaks") > 0).count() == 0
@@ -189,11 +199,15 @@ def test_short_items_are_all_found_at_any_offset():
     index = decontaminate.ContainmentIndex(list(range(600)), items, 0.8)
     whole = shingle_set(" ".join(text))
     expected = {k: len(shingle_set(t) & whole) / len(shingle_set(t)) for k, t in enumerate(items) if len(t.split()) >= 5}
+    runs = {n: {tuple(text[i : i + n]) for i in range(len(text) - n + 1)} for n in range(1, 5)}
+    expected |= {k: 1.0 for k, t in enumerate(items) if len(t.split()) < 5 and tuple(t.split()) in runs[len(t.split())]}
     expected = {k: v for k, v in expected.items() if v >= 0.8}
     short = lambda found: {k: v for k, v in found.items() if len(items[k].split()) <= 20}
     got = dict(index.search(["", " ".join(text), "two words"])[1])
-    assert short(got) == short(expected) and len(short(expected)) > 250
-    assert all(got[k] == expected[k] for k in got) and index.search([None, "two words", " ".join(text[:4])]) == [[], [], []]
+    assert short(got) == short(expected) and len(short(expected)) > 250 and sum(len(items[k].split()) < 5 for k in expected) >= 50
+    assert all(got[k] == expected[k] for k in got)
+    beside = index.search([None, "two words", " ".join(text[:4]), items[3]])  # a phrase across two texts of a batch is in neither
+    assert beside[:2] == [[], []] and all(len(items[k].split()) < 5 and items[k] in " ".join(text[:4]) for k, _ in beside[2]) and 3 in dict(beside[3])
 
 
 def test_line_dedup(spark, empty):
@@ -377,6 +391,44 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(docs, labels.where("false")).where("predicted = 1").count() == 0
 
 
+def test_long_labelled_documents_give_their_worst_piece(spark):
+    text = prose(50, 9000)
+    assert "".join(toxicity.pieces(text, 1000)) == text and max(map(len, toxicity.pieces(text, 1000))) <= 1000 and toxicity.pieces("", 10) == [""] and toxicity.pieces("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    evidence = toxicity._evidence([prose(i, 40) + (" zounds" if i % 2 else "") for i in range(60)], np.arange(60) % 2)
+    words = text.split()
+    words.insert(7000, "zounds")
+    assert "zounds" in toxicity.worst_piece(" ".join(words), evidence, 5000)
+    docs, labels, marks = labelled(spark)
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(prose(60, 5000) + " "), "text", F.lit(" " + prose(61, 5000)))).otherwise(F.col("text")))
+    got = {r.doc_id: r for r in toxicity.toxicity(long, labels).collect()}
+    held = [(got[i].predicted, t) for i, _, t in marks if got[i].held_out]
+    assert sum(p == t for p, t in held) >= 0.9 * len(held)
+
+
+def test_network_forward_against_a_plain_recurrence():
+    net, texts = toxicity.Network(2), ["one two three zounds", "four"]
+    rng = np.random.default_rng(0)
+    for v in net.p.values():
+        v += 0.2 * rng.standard_normal(v.shape).astype(np.float32)
+    t = toxicity.Tokens(texts)
+    grid, _ = t.windows()
+    x, sigmoid, H = net.inputs(t).astype(float), lambda z: 1 / (1 + np.exp(-z)), toxicity.HIDDEN
+    expected = []
+    for row in grid:
+        cells, sides = [c for c in row if c >= 0], []
+        for side in "fb":
+            h, states = np.zeros(H), {}
+            for k in range(len(cells)) if side == "f" else reversed(range(len(cells))):
+                i, r = x[cells[k]] @ net.p[f"x{side}"] + net.p[f"c{side}"], h @ net.p[f"h{side}"]
+                z, s = sigmoid(i[:H] + r[:H]), sigmoid(i[H : 2 * H] + r[H : 2 * H])
+                h = states[k] = (1 - z) * np.tanh(i[2 * H :] + s * r[2 * H :]) + z * h
+            sides.append(states)
+        both = [np.concatenate((sides[0][k], sides[1][k])) for k in range(len(cells))]
+        energy = np.exp([b @ net.p["a"] for b in both])
+        expected.append(sum(e * b for e, b in zip(energy / energy.sum(), both, strict=True)) @ net.p["out"] + net.p["bias"][0])
+    assert np.allclose(net.forward(net.inputs(t), grid), expected, atol=1e-4) and np.allclose(net.logits(net.inputs(t), grid), expected, atol=1e-4)
+
+
 def test_network_gradients():
     net, texts = toxicity.Network(1), ["one two three zounds", "four five six"]
     t = toxicity.Tokens(texts)
