@@ -90,7 +90,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 96) -> Da
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     kind, turn_kind = turns.schema["conv_id"].dataType, turns.schema["turn"].dataType.simpleString()
     base = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k"), F.col("conv_id").isNull().alias("kn"), "turn", role.alias("role"), text.alias("body"))
-    base = base.withColumn("tokens", F.regexp_count("body", F.lit(r"\S+")).cast("bigint") + 4).withColumn("block", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / BLOCK))
+    base = base.withColumn("tokens", F.regexp_count("body", F.lit(r"\S+")).cast("bigint") + 4).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)))
     conv, keys = ["kn", "k"], ["kn", "k", "block"]
     blocks = base.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "tokens"))).alias("turns"))
     # Conversations of several blocks: what a block hands on. The list of blocks comes from the turn numbers alone.
