@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merge import scan_sorted
+
 #: Rows that a source's statistics look back on.
 SHORT, LONG = 20, 500
 
@@ -110,12 +113,17 @@ def sustained(log: DataFrame, flag: Column, at: str, seconds: int) -> DataFrame:
 
 def token_bucket(requests: DataFrame, at: str, capacity: float, rate: float) -> DataFrame:
     """(source, asked, granted): requests in order of time against a bucket of ``capacity`` tokens refilled at ``rate`` a second.
-    The state is folded over a source's request times."""
-    times = requests.groupBy("source").agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("times"))
-    state = F.struct(F.lit(float(capacity)).alias("tokens"), F.element_at("times", 1).alias("last"), F.lit(0).alias("granted"))
-
-    def step(s: Column, t: Column) -> Column:
-        filled = F.least(F.lit(float(capacity)), s["tokens"] + (t - s["last"]) * rate)
-        return F.struct(F.when(filled >= 1, filled - 1).otherwise(filled).alias("tokens"), t.alias("last"), (s["granted"] + F.when(filled >= 1, 1).otherwise(0)).alias("granted"))
-
-    return times.select("source", F.size("times").alias("asked"), F.aggregate("times", state, step, lambda s: s["granted"]).alias("granted"))
+    A partition is sorted by source and time, which spills, and scanned: of a source only the bucket is held. The scan says
+    which requests are granted (1, others 0), and these are summed."""
+
+    def take(times: np.ndarray, state: tuple[float, float] | None) -> tuple[np.ndarray, tuple[float, float]]:
+        tokens, last = state or (float(capacity), float(times[0]))
+        granted = np.zeros(len(times))
+        for i, t in enumerate(times.tolist()):
+            tokens, last = min(capacity, tokens + (t - last) * rate), t
+            if tokens >= 1:
+                tokens, granted[i] = tokens - 1, 1
+        return granted, (tokens, last)
+
+    scanned = scan_sorted(requests.select("source", F.col(at).cast("double").alias("granted")), ["source"], "granted", take)
+    return scanned.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("asked"), F.sum("granted").cast("int").alias("granted"))

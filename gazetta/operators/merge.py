@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,25 +48,59 @@ def patch(stored: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in allowed}).drop(*[f"_{c}" for c in allowed])
 
 
-def apply_delta(stored: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """Rows of the delta replace stored rows of their key or are added; one exchange by key."""
+def apply_delta(stored: DataFrame, delta: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the delta replace stored rows of their key or are added; one exchange by key. Of several delta rows of a key the
+    last by ``order`` counts (by default the one of greatest hash, so that reruns agree)."""
     tagged = stored.withColumn("_delta", F.lit(0)).unionByName(delta.withColumn("_delta", F.lit(1)), allowMissingColumns=True)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_delta")))
+    by = [F.desc(o) for o in order] if order else [F.desc(F.xxhash64(*[c for c in tagged.columns if c != "_delta"]))]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_delta"), *by))
     return tagged.withColumn("_place", place).where("_place = 1").drop("_place", "_delta")
 
 
+def without(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Stored rows whose key is not among ``gone``."""
+    return stored.join(gone.select(key), key, "left_anti")
+
+
 def suppress(events: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
     """Keep an event only if the last kept one of its key is at least ``seconds`` older (not merely the last event).
 
-    The state is the time of the last kept event; it is folded over a key's events in order, so a key's times meet in one row.
+    A partition is sorted by key and time, which spills, and scanned: of a key only the time of the last kept event is held.
     """
-    ordered = F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp"))))
-    gap = F.lit(seconds * 1_000_000).cast("bigint")
-    fold = F.aggregate(
-        "times", F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    return events.groupBy(*keys).agg(ordered.alias("times")).select(*keys, F.explode(fold).alias("sent_us"))
+    gap = seconds * 1_000_000
+
+    def keep(column: np.ndarray, state: int | None) -> tuple[np.ndarray, int | None]:
+        kept, i = [], 0
+        while i < len(column):  # from one kept event to the next
+            i = i if state is None else max(i, int(np.searchsorted(column, state + gap)))
+            if i < len(column):
+                state = int(column[i])
+                kept.append(state)
+        return np.array(kept, np.int64), state
+
+    rows = events.select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("sent_us"))
+    return scan_sorted(rows, keys, "sent_us", keep)
+
+
+def scan_sorted(rows: DataFrame, keys: list[str], value: str, step) -> DataFrame:
+    """Scan each key's values in order with ``step(values, state) -> (values to emit, state)``: a run of a key's sorted values
+    at a time, first with the state None. Rows are (keys, value); values of all keys but the current one's state are dropped."""
+
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in stream:
+            named, values = [batch.column(k).to_pylist() for k in keys], batch.column(value).to_numpy(zero_copy_only=False)
+            names = list(zip(*named, strict=True))
+            cuts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if names[a] != now:
+                    now, state = names[a], None
+                kept, state = step(values[a:b], state)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(kept), batch.schema.field(k).type) for k, x in zip(keys, now, strict=True)), pa.array(kept)], [*keys, value])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, value).mapInArrow(scan, kinds)
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
 from ..operators import conversations, dedup, relevance
+from ..session import settle
 from ..sources.tables import read
 from .registry import query
 
@@ -73,9 +74,9 @@ def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TF = """
-    w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(left(text, 2000000)), '[\\s!-/:-@\\[-`{-~]+')) AS term FROM documents WHERE lang = 'en'),
+    w AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[\\s!-/:-@\\[-`{-~]+')) AS term FROM documents),
     c AS (SELECT id, term, count(*) AS n FROM w WHERE length(term) >= 2 GROUP BY ALL), tf AS (SELECT id, term, n / sum(n) OVER (PARTITION BY id) AS tf FROM c),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nd AS (SELECT count(*) AS nd FROM documents WHERE lang = 'en'),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), nd AS (SELECT count(*) AS nd FROM documents),
     v AS (SELECT id, term, tf * ln(nd / (df + 1)::DOUBLE) AS w FROM tf JOIN df USING (term), nd)"""
 
 
@@ -84,8 +85,9 @@ _TF = """
     r AS (SELECT query, s.id, coalesce(dot / nullif(a.norm * b.norm, 0), 0) AS similarity FROM s JOIN norms a ON a.id = s.id JOIN norms b ON b.id = query)
     SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 6) DESC, id) AS place FROM r QUALIFY place <= 5""")
 def tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'")
-    w = relevance.weights(relevance.terms(docs, "doc_id", "text"), docs.count())
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # Term shares and weights are used several times: written once each.
+    w = settle(relevance.weights(settle(relevance.terms(docs, "doc_id", "text")), docs.count()))
     found = relevance.similar(w, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"))).withColumn("similarity", F.round("similarity", 6))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where("place <= 5")
 

@@ -196,6 +196,10 @@ def suppressed_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.suppress(read(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 86_400)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LOG}, o AS (SELECT source, us / 1e6 AS s, row_number() OVER (PARTITION BY source ORDER BY us) AS n FROM log),
+    b AS (SELECT source, n, s, 2.0::DOUBLE AS tokens, 1 AS granted FROM o WHERE n = 1
+          UNION ALL SELECT o.source, o.n, o.s, CASE WHEN f.filled >= 1 THEN f.filled - 1 ELSE f.filled END, b.granted + (f.filled >= 1)::INT
+          FROM b JOIN o ON o.source = b.source AND o.n = b.n + 1, LATERAL (SELECT least(3.0::DOUBLE, b.tokens + (o.s - b.s) * (1 / 36000.0::DOUBLE)) AS filled) f)
+    SELECT source, max(n)::INT AS asked, max(granted)::INT AS granted FROM b GROUP BY 1""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.token_bucket(log(spark, sf_dir).withColumn("s", F.col("us") / 1e6), "s", 3, 1 / 36_000)

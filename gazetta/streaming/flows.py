@@ -39,11 +39,6 @@ def hourly_health(stream: DataFrame, at: str = "ts") -> DataFrame:
     return hours.select(F.unix_micros("w.start").alias("from_us"), "n", "failures")
 
 
-def sessions(stream: DataFrame, key: str, at: str = "ts", gap: str = "30 minutes") -> DataFrame:
-    """(key, from_us, n) of runs of events without a gap."""
-    return stream.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.unix_micros("w.start").alias("from_us"), "n")
-
-
 def suppress(stream: DataFrame, keys: list[str], seconds: int, at: str = "ts") -> DataFrame:
     """Keep an event only if the last kept one of its key is at least ``seconds`` older; that time is the key's state."""
     gap = seconds * 1_000_000
