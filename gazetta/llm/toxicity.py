@@ -51,20 +51,20 @@ class Tokens:
         s, length = starts[first], (ends - starts)[first]
         self.word = (self.hashes % np.uint64(EVIDENCE_ROWS)).astype(np.int64)
         # Character inputs of distinct words: beginnings of several lengths, then every run of GRAM bytes.
-        padded = np.concatenate((folded, np.zeros(8, np.uint8))).astype(np.uint64)
+        padded = np.concatenate((folded, np.zeros(8, np.uint8)))
         cells, owners = [], []
         for k in PREFIXES:
             long = np.flatnonzero(length >= k)
             code = np.full(len(long), k, np.uint64)
             for i in range(k):
-                code = code * np.uint64(0x100000001B3) + padded[s[long] + i]
+                code = code * np.uint64(0x100000001B3) + padded[s[long] + i].astype(np.uint64)
             cells.append(mix(code)), owners.append(long)
         grams = np.maximum(length - GRAM + 1, 0)
         owner = np.repeat(np.arange(len(s)), grams)
         spot = s[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams)
         code = np.full(len(spot), 99, np.uint64)
         for i in range(GRAM):
-            code = code * np.uint64(0x100000001B3) + padded[spot + i]
+            code = code * np.uint64(0x100000001B3) + padded[spot + i].astype(np.uint64)
         cells.append(mix(code)), owners.append(owner)
         cells, owners = np.concatenate(cells), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
