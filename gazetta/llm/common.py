@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,11 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns of the input whose names the operator is about to add."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns that an operator would replace (``names``) under other names, and how to get the columns of
+    ``df`` back from what the operator returns."""
+    taken = {n.lower() for n in names}
+    away = {c: f"_own_{c}" for c in df.columns if c.lower() in taken}
+    return df.withColumnsRenamed(away), lambda out: out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns])
