@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from gazetta.llm.common import crc_split, read, settle
+from gazetta.llm.common import aside, crc_split, read, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the network learns from labelled documents of this input."""
     held = crc_split(F.col("doc_id"), 5, 0)
     net = toxicity.train(docs, read(spark, sf_dir, "labels"), held)
-    return toxicity.score_toxicity(docs, net).where("predicted = 0").select(*docs.columns)
+    renamed, back = aside(docs, "score", "predicted")
+    return back(toxicity.score_toxicity(renamed, net).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: up to three times, or not at all."""
-    return mixing.repeat_copies(mixing.mix(docs)).select(*docs.columns)
+    renamed, back = aside(docs, *mixing.ADDED)
+    return back(mixing.repeat_copies(mixing.mix(renamed)))
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
