@@ -168,8 +168,8 @@ def test_decontamination_against_brute_force(spark, docs, empty):
             if len((t or "").split()) >= 5 and len(s & own) / len(s) >= 0.8:
                 found.add((i, round(len(s & own) / len(s), 9)))
         for i, t in items:
-            w = (t or "").lower().split()
-            if 0 < len(w) < 5 and any((r[1] or "").lower().split()[k : k + len(w)] == w for k in range(len((r[1] or "").split()))):
+            w, said = (t or "").lower().split(), (r[1] or "").lower().split()
+            if 0 < len(w) < 5 and any(said[k : k + len(w)] == w for k in range(len(said))):
                 found.add((i, 1.0))
         expected.append((r[0], sorted(found)))
     assert got == sorted(expected, key=repr) and any((3, 1.0) in found for _, found in expected)
