@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .merge import scan_sorted
 
 #: Rows that a source's statistics look back on.
@@ -19,17 +20,50 @@ def clamp(x: Column, low: float, high: float) -> Column:
 def rolling(log: DataFrame, order: list[str]) -> DataFrame:
     """Add per row: success rate of the last SHORT and LONG rows, mean, deviation and variation of response times over LONG rows,
     the number of failures in a row up to here, and ``trend``: how much the error rate of the last SHORT rows is above that of
-    the last LONG rows, 0 while there are fewer than SHORT."""
-    by = Window.partitionBy("source").orderBy(*order)
+    the last LONG rows, 0 while there are fewer than SHORT. ``n`` is the row's number in its source.
+
+    Windows run over blocks of a source's rows; a block also sees the LONG - 1 rows before it and the last success of earlier blocks.
+    """
+    rows = blocks.blocked(blocks.numbered(log, "source", order), LONG - 1)
+    by = Window.partitionBy("source", "block").orderBy("n")
     short, long = by.rowsBetween(1 - SHORT, 0), by.rowsBetween(1 - LONG, 0)
     ok = F.col("ok").cast("double")
-    out = log.withColumns({
+    out = rows.withColumns({
         "rate_short": F.avg(ok).over(short), "rate_long": F.avg(ok).over(long), "mean_response": F.avg("response").over(long), "deviation": F.stddev_pop("response").over(long),
-        "held": F.count(F.lit(1)).over(long), "island": F.sum(F.col("ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)),
+        "succeeded": F.max(F.when(F.col("ok"), F.col("n"))).over(by.rowsBetween(Window.unboundedPreceding, 0)),
     })
-    streak = F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(Window.partitionBy("source", "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    trend = F.when(F.col("held") >= SHORT, F.col("rate_long") - F.col("rate_short")).otherwise(0.0)
-    return out.withColumns({"failures": streak, "variation": F.coalesce(F.try_divide("deviation", "mean_response"), F.lit(0.0)), "trend": trend}).drop("island", "held")
+    upto = Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.where("own").groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("earlier"))
+    last = last.withColumn("earlier", F.max("earlier").over(upto))
+    joined = out.where("own").join(last, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source")))
+    trend = F.when(F.col("n") >= SHORT, F.col("rate_long") - F.col("rate_short")).otherwise(0.0)
+    return joined.withColumns({
+        "failures": F.col("n") - F.coalesce("succeeded", "earlier", F.lit(0)), "variation": F.coalesce(F.try_divide("deviation", "mean_response"), F.lit(0.0)), "trend": trend,
+    }).drop("_source", "_block", "block", "own", "succeeded", "earlier")
+
+
+def running_mean(log: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """Add ``running``: the mean of the value over the source's rows up to here; nulls don't count."""
+    upto = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.with_earlier(blocks.ranged(log, "source", order), "source", before=F.sum(value), held=F.count(value))
+    total = F.col("before") + F.coalesce(F.sum(value).over(upto), F.lit(0))
+    return rows.withColumn("running", F.try_divide(total, F.col("held") + F.count(value).over(upto))).drop("part", "before", "held")
+
+
+def demand(log: DataFrame, at: str, span: int) -> DataFrame:
+    """Add ``demand``: rows of the source in the last ``span`` units of time, this moment's included. Blocks are spans of time."""
+    within = Window.partitionBy("source", "block").orderBy(at).rangeBetween(-span, 0)
+    return blocks.timed(log, at, span).withColumn("demand", F.count(F.lit(1)).over(within)).where("own").drop("block", "own")
+
+
+def steady(log: DataFrame, at: str, order: list[str], variation: float = 0.2) -> DataFrame:
+    """Rows whose last three gaps vary by less than ``variation`` of their mean."""
+    rows = blocks.blocked(blocks.numbered(log, "source", order), 3)
+    by = Window.partitionBy("source", "block").orderBy("n")
+    last = by.rowsBetween(-2, 0)
+    gaps = rows.withColumn("gap", F.col(at) - F.lag(at).over(by))
+    told = gaps.withColumns({"cv": F.try_divide(F.stddev_pop("gap").over(last), F.avg("gap").over(last)), "k": F.count("gap").over(last)})
+    return told.where(F.col("own") & (F.col("k") == 3) & (F.col("cv") < variation)).drop("block", "own", "n", "gap", "cv", "k")
 
 
 def recent_bans(log: DataFrame, banned: Column, seconds: int = 86_400) -> DataFrame:
@@ -99,14 +133,18 @@ def load_trend(log: DataFrame, value: Column, order: list[str]) -> DataFrame:
 
 def edges(log: DataFrame, flag: Column, order: list[str]) -> DataFrame:
     """Rows where an alert begins: the flag is set and wasn't in the row before of the source."""
-    before = F.lag("flag", 1, False).over(Window.partitionBy("source").orderBy(*order))
-    return log.withColumn("flag", flag).withColumn("begins", F.col("flag") & ~before).where("begins").drop("flag", "begins")
+    rows = blocks.blocked(blocks.numbered(log.withColumn("flag", flag), "source", order), 1)
+    before = F.lag("flag", 1, False).over(Window.partitionBy("source", "block").orderBy("n"))
+    return rows.withColumn("begins", F.col("flag") & ~before).where("own AND begins").drop("flag", "begins", "n", "block", "own")
 
 
 def sustained(log: DataFrame, flag: Column, at: str, seconds: int) -> DataFrame:
-    """(source, since_s, until_s, held_s) of spells in which the flag stays set for at least ``seconds``."""
-    by = Window.partitionBy("source").orderBy(at)
-    marked = log.withColumn("flag", flag).withColumn("spell", F.sum(F.when(F.col("flag"), 0).otherwise(1)).over(by))
+    """(source, since_s, until_s, held_s) of spells in which the flag stays set for at least ``seconds``.
+
+    A spell is known by the number of rows without the flag up to it, counted per range of the source's times and carried on."""
+    unset = F.when(F.col("flag"), 0).otherwise(1)
+    rows = blocks.with_earlier(blocks.ranged(log.withColumn("flag", flag), "source", [at]), "source", spell=F.sum(unset))
+    marked = rows.withColumn("spell", F.col("spell") + F.sum(unset).over(Window.partitionBy("source", "part").orderBy(at)))
     spells = marked.where("flag").groupBy("source", "spell").agg(F.min(at).alias("since_s"), F.max(at).alias("until_s"))
     return spells.withColumn("held_s", F.col("until_s") - F.col("since_s")).where(F.col("held_s") >= seconds).drop("spell")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import active_hours, is_quiet
@@ -72,7 +72,8 @@ _SCORED = _ROLLING + """, l AS (SELECT r.*, coalesce(deviation / nullif(mean_res
        (CASE WHEN ban >= 0.8 THEN least(600, 100 * 10) WHEN ban >= 0.6 THEN least(300, 100 * 3) WHEN ban >= 0.3 THEN 100 * 1.5 ELSE 100 END)::DOUBLE AS interval_s FROM s""")
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    latest = health.rolling(rows, _ORDER).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("us"), F.desc("event_id")))).where("place = 1")
+    parts = ("rate_long", "rate_short", "trend", "failures", "variation")
+    latest = health.rolling(rows, _ORDER).groupBy("source").agg(F.max_by(F.struct(*parts), "n").alias("x")).select("source", "x.*")
     # A failure with a slow response stands for a ban.
     joined = latest.join(health.recent_bans(rows, ~F.col("ok") & (F.col("response") > 20)), "source")
     ban = health.ban_probability(F.col("failures"), F.col("rate_short"), F.col("trend"), F.col("variation"))
@@ -83,14 +84,12 @@ def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LOG} SELECT source, event_id, count(*) OVER (PARTITION BY source ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS demand FROM log")
 def demand_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hour = Window.partitionBy("source").orderBy("us").rangeBetween(-3_600_000_000, 0)
-    return log(spark, sf_dir).select("source", "event_id", F.count(F.lit(1)).over(hour).alias("demand"))
+    return health.demand(log(spark, sf_dir), "us", 3_600_000_000).select("source", "event_id", "demand")
 
 
 @query(f"WITH {_LOG} SELECT source, event_id, round(avg(response) OVER (PARTITION BY source ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running FROM log")
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upto = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return log(spark, sf_dir).select("source", "event_id", F.round(F.avg("response").over(upto) + 1e-9, 6).alias("running"))
+    return health.running_mean(log(spark, sf_dir), "response", _ORDER).select("source", "event_id", F.round(F.col("running") + 1e-9, 6).alias("running"))
 
 
 @query(f"WITH {_LOG} SELECT source, event_id FROM (SELECT *, lag(ok, 1, true) OVER (PARTITION BY source ORDER BY us, event_id) AS before FROM log) WHERE NOT ok AND before")
@@ -108,11 +107,7 @@ def alert_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     v AS (SELECT source, event_id, n, stddev_pop(gap) OVER w / nullif(avg(gap) OVER w, 0) AS cv, count(gap) OVER w AS k FROM d WINDOW w AS (PARTITION BY source ORDER BY n ROWS 2 PRECEDING))
     SELECT source, event_id FROM v WHERE k = 3 AND cv < 0.2""")
 def oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("source").orderBy(*_ORDER)
-    last = by.rowsBetween(-2, 0)
-    gaps = log(spark, sf_dir).withColumn("gap", F.col("us") - F.lag("us").over(by))
-    steady = gaps.withColumns({"cv": F.try_divide(F.stddev_pop("gap").over(last), F.avg("gap").over(last)), "k": F.count("gap").over(last)})
-    return steady.where("k = 3 AND cv < 0.2").select("source", "event_id")
+    return health.steady(log(spark, sf_dir), "us", _ORDER).select("source", "event_id")
 
 
 @query("""SELECT strftime(d, '%Y-%m-%d') AS day, (SELECT count(*) FROM events WHERE ts::DATE = d) AS n FROM (SELECT unnest(range(DATE '2024-01-29', DATE '2024-02-05', INTERVAL 1 DAY)) AS d)""")
