@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionaries import PROJECT_TYPES, TRADES
 from .predicates import any_of
 
 #: Forms that say a tender was called off (fixed values).
@@ -158,3 +159,14 @@ def notice_score(budget_wan: Column, age_days: Column, words: Column, source_url
     }
     total = parts["budget_points"] + parts["urgency_points"] + parts["keyword_points"] + parts["source_points"]
     return parts | {"total": total, "level": F.when(total >= 80, "P0").when(total >= 60, "P1").when(total >= 40, "P2").otherwise("P3")}
+
+
+def trade(text: Column) -> Column:
+    """The trade of most words in the text, ``其他`` without any."""
+    return best_label(text, TRADES, "其他")
+
+
+def project_types(title: Column, content: Column, seen: int = 500) -> Column:
+    """Types of a project from its title and the start of its content, in order; none without a title."""
+    text = F.concat(title, F.when(F.coalesce(content, F.lit("")) != "", F.concat(F.lit("\n"), F.left(content, F.lit(seen)))).otherwise(""))
+    return F.when(F.coalesce(title, F.lit("")) == "", F.array().cast("array<string>")).otherwise(labels(text, PROJECT_TYPES))

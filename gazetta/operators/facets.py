@@ -39,3 +39,26 @@ def tail_days(df: DataFrame, day: str, days: int) -> DataFrame:
     """Rows per day over the last ``days`` days that have any."""
     counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("matched"))
     return counts.withColumn("_place", F.row_number().over(Window.orderBy(F.desc(day)))).where(F.col("_place") <= days).drop("_place")
+
+
+def dated_facets(df: DataFrame, columns: list[str], day: str, days: int, unnamed: str) -> DataFrame:
+    """(facet, value, n): rows of each value of each column (``unnamed`` for null), of the last ``days`` days that have any, and of all
+    rows with their first and last day, in one pass over GROUPING SETS. ``day`` is a text like 2024-01-31."""
+    named = [*columns, day]
+    grouped = df.groupingSets([[F.col(c)] for c in named] + [[]], *named).agg(
+        *[F.grouping(c).alias(f"_{c}") for c in named], F.count(F.lit(1)).alias("n"), F.concat_ws(" ", F.min(day), F.max(day)).alias("_range"))
+    facet, value = F.lit("all"), F.col("_range")
+    for c in reversed(named):
+        facet, value = F.when(F.col(f"_{c}") == 0, F.lit(c)).otherwise(facet), F.when(F.col(f"_{c}") == 0, F.col(c) if c == day else F.coalesce(c, F.lit(unnamed))).otherwise(value)
+    counts = grouped.select(facet.alias("facet"), value.alias("value"), "n")
+    last = counts.where((F.col("facet") == day) & F.col("value").isNotNull()).orderBy(F.desc("value")).limit(days)
+    return counts.where(F.col("facet") != day).unionByName(last)
+
+
+def host_dashboard(df: DataFrame, url: str, day: str, full: str, today: str, days: int = 7) -> DataFrame:
+    """One row (total, hosts, recent, complete): all rows, distinct hosts of urls, rows of the last ``days`` days up to ``today`` and later,
+    and the percentage of those that are ``full``, null without any."""
+    host = F.nullif(F.regexp_extract(F.lower(url), r"^[a-z]+://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))
+    recent = F.col(day) >= F.date_sub(F.lit(today).cast("date"), days - 1)
+    share = F.try_divide(100.0 * F.count_if(recent & F.col(full)), F.count_if(recent).cast("double"))
+    return df.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(host).alias("hosts"), F.count_if(recent).alias("recent"), F.round(share, 1).alias("complete"))

@@ -118,3 +118,16 @@ def latest_of(df: DataFrame, key: Column, order: list) -> DataFrame:
     """The last row of each key in a total order; rows without a key go."""
     place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
     return df.withColumn("_key", key).where("_key IS NOT NULL").withColumn("_place", place).where("_place = 1").drop("_place", "_key")
+
+
+def changes_since(tables: list[DataFrame], key: str, updated: str, tie: str, since: Column | None, most: int) -> DataFrame:
+    """Rows of several tables that changed after ``since``, the ``most`` oldest changes of each (all rows of all tables where ``since``
+    is None), one a key: that of the earliest table, there the oldest. Adds ``place``, the table's number. Rows without a key go."""
+    parts = []
+    for place, table in enumerate(tables):
+        changed = table if since is None else table.where(F.col(updated) > since).orderBy(updated, tie).limit(most)
+        parts.append(changed.withColumn("place", F.lit(place)))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    return latest_of(both, F.col(key), ["place", updated, tie])

@@ -37,7 +37,7 @@ def similar_titles(titles: DataFrame, threshold: float = 0.8) -> DataFrame:
     return dots.where(F.col("similarity") >= threshold - 1e-9)
 
 
-def _around_first(links: DataFrame) -> DataFrame:
+def around_first(links: DataFrame) -> DataFrame:
     """(id, head) of every node that a first node takes, from links (a, b), a < b: nodes go by id; one that no earlier head
     takes is a head and takes its later neighbours that are still free.
 
@@ -64,7 +64,7 @@ def title_groups(rows: DataFrame, id_col: str, title_col: str, threshold: float
     no group yet starts one and takes the later free titles similar to it. Rows without a title and unlike any other are left out.
     """
     titles = settle(distinct_titles(rows, id_col, title_col))
-    heads = _around_first(similar_titles(titles, threshold))
+    heads = around_first(similar_titles(titles, threshold))
     named = titles.join(heads, "id", "left").select("title", F.coalesce("head", "id").alias("group_id"))
     grouped = rows.select(F.col(id_col).alias("id"), _plain(title_col).alias("title")).join(named, "title")
     sizes = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")

@@ -69,7 +69,7 @@ def codes_in_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey, c_mktsegment, substr(sha256(c_name || 'salt'), 1, 16) AS member FROM customer""")
 def public_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("member"), F.col("c_acctbal").alias("bank_balance"), F.col("c_name").alias("Contact_Phone"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_name").alias("member"), F.col("c_acctbal").alias("bank_account"), F.col("c_name").alias("Contact_Phone"))
     return text.publishable(rows, digested=("member",), salt="salt")
 
 

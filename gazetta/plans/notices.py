@@ -213,10 +213,12 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said")).select("o_orderkey", dates.parse_date(F.col("said")).cast("string").alias("day"), dates.deadline(F.col("said")).alias("due"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Za-z0-9_.-])[A-Za-z0-9_.-]+([A-Za-z0-9_.-])@([A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+)', '\\1***\\2@\\3', 'g'),
-          '(^|[^A-Za-z0-9_.*-])([A-Za-z0-9_.-])[A-Za-z0-9_.-]?@([A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+)', '\\1\\2***@\\3', 'g') AS masked FROM documents""")
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(text || ' 138' || (10000000 + doc_id) || ' 023-' || (1000000 + doc_id), '([0-9]{3})[0-9]?[-\s]?[0-9]{3,4}([0-9]{4})', '\1****\2', 'g') AS t FROM documents)
+    SELECT doc_id, regexp_replace(t, '([\p{L}\p{N}_.-])(?:[\p{L}\p{N}_.-]+([\p{L}\p{N}_.-])|[\p{L}\p{N}_.-]?)@([\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+)', '\1***\2@\3', 'g') AS masked FROM p""")
 def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.mask_email(F.col("text")).alias("masked"))
+    k = F.col("doc_id")
+    message = F.concat("text", F.lit(" 138"), (k + 10_000_000).cast("string"), F.lit(" 023-"), (k + 1_000_000).cast("string"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.mask_message(message).alias("masked"))
 
 
 @query("""SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?href\\s*=\\s*["'']([^"''>]*)["''][^>]*>(.*?)</a>', 1), lambda x: x <> ''))) AS links FROM pages""")

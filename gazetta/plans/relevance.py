@@ -167,7 +167,20 @@ def compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.compact(read(spark, sf_dir, "conversations"), budget=300, keep=3)
 
 
+def _duplicable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as notices: titles with few forms, budgets with and without unit, days of one month or another."""
+    key = F.col("p_partkey")
+    title = F.concat_ws(" ", "p_name", "p_brand")
+    budget = F.when(key % 7 == 0, "").otherwise(F.concat(F.format_string("%.2f", "p_retailprice"), F.lit("元")))
+    day = F.concat(F.lit("2024-0"), (key % 2 + 1).cast("string"), F.lit("-1"), (key % 3).cast("string"))
+    return read(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), budget.alias("budget"), F.col("p_type").alias("kind"), day.alias("day"))
+
+
 @query()
 def blocked_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.concat(F.format_string("%.2f", "p_retailprice"), F.lit("元")).alias("budget"), F.col("p_type").alias("kind"), F.lit("2024-01-01").alias("day"))
-    return dedup.duplicate_pairs(rows, 0.6)
+    return dedup.duplicate_pairs(_duplicable(spark, sf_dir), 0.6)
+
+
+@query()
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicate_groups(_duplicable(spark, sf_dir), 0.6)

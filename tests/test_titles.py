@@ -23,12 +23,12 @@ def walk(links, nodes):
 def test_groups_around_first_titles(spark, seed):
     rng = random.Random(seed)
     links = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(45)}
-    found = titles._around_first(spark.createDataFrame(sorted(links), "a bigint, b bigint"))
+    found = titles.around_first(spark.createDataFrame(sorted(links), "a bigint, b bigint"))
     assert {r.id: r.head for r in found.collect()} == walk(links, range(40))
 
 
 def test_no_links(spark):
-    assert titles._around_first(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert titles.around_first(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_groups_of_rows(spark):
