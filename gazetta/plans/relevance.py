@@ -86,8 +86,7 @@ _TF = """
     SELECT query, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 6) DESC, id) AS place FROM r QUALIFY place <= 5""")
 def tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    # Term shares and weights are used several times: written once each.
-    w = settle(relevance.weights(settle(relevance.terms(docs, "doc_id", "text")), docs.count()))
+    w = relevance.weights(settle(relevance.terms(docs, "doc_id", "text")), docs.count())
     found = relevance.similar(w, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"))).withColumn("similarity", F.round("similarity", 6))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where("place <= 5")
 
@@ -153,8 +152,8 @@ def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = relevance.fuzzy_score("steel bolt")
-    return read(spark, sf_dir, "part").select("p_partkey", "p_name", F.round(score(F.col("p_name")), 6).alias("score")).where("score >= 0.5")
+    keywords = [("Steel bolt", "fuzzy", 0.5), ("red", "partial", 0.3), ("copper", "exact", 0.8), ("blue steel widget", "partial", 0.6)]
+    return relevance.keyword_scores(read(spark, sf_dir, "part"), "p_partkey", "p_name", keywords).withColumn("score", F.round("score", 6))
 
 
 @query("""

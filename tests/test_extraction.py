@@ -1,6 +1,7 @@
 """Literal cases of extraction, scheduling, sources and sinks."""
 
 from decimal import Decimal
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -70,7 +71,20 @@ def test_first_match_prefers_the_earlier_rule(spark):
 
 
 def test_fuzzy_and_jaccard(spark):
-    assert values(spark, relevance.fuzzy_score("steel bolt"), ["Steel bolt M8", "steel bold", None])[::2] == [1.0, 0.0]
+    rows = spark.createDataFrame([(1, "Steel bolt M8"), (2, "steel bold"), (3, None), (4, ""), (5, "a red bolt"), (6, "Red"), (7, "reed")], "id int, t string")
+    asked = [("Steel bolt", "fuzzy", 0.85), ("red", "partial", 0.8), ("bolt", "exact", 0.5), ("bolt m8", "partial", 0.9)]
+    wanted = set()
+    for r in rows.collect():
+        for k, mode, least in asked:
+            word, t = k.lower(), (r.t or "").lower()
+            ratio = SequenceMatcher(None, word, t).ratio()
+            if mode != "partial":
+                score = 1.0 if word in t else ratio if mode == "fuzzy" and ratio >= least else None
+            else:
+                score = 1.0 if len(word) <= 3 and t.startswith(word) else 0.95 if len(word) <= 3 and word in t else ratio if ratio >= least else None
+            if t and score is not None:
+                wanted.add((r.id, k, round(score, 6)))
+    assert {(r.id, r.keyword, round(r.score, 6)) for r in relevance.keyword_scores(rows, "id", "t", asked).collect()} == wanted
     row = spark.range(1).select(relevance.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("j")).first()
     assert row.j == 0.5
 
