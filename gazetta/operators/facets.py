@@ -62,3 +62,15 @@ def host_dashboard(df: DataFrame, url: str, day: str, full: str, today: str, day
     recent = F.col(day) >= F.date_sub(F.lit(today).cast("date"), days - 1)
     share = F.try_divide(100.0 * F.count_if(recent & F.col(full)), F.count_if(recent).cast("double"))
     return df.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(host).alias("hosts"), F.count_if(recent).alias("recent"), F.round(share, 1).alias("complete"))
+
+
+def bucket_quantile(share: float, bounds: list[float], names: list[str], total: str) -> Column:
+    """The quantile read from cumulative counts ``names`` up to ``bounds`` and of all rows: linear within the bucket where it falls, from 0 in
+    the first; the last bound beyond it; null without rows."""
+    rank = F.col(total) * share
+    out = F.lit(float(bounds[-1]))
+    for k in reversed(range(len(bounds))):
+        low, before = (float(bounds[k - 1]), F.col(names[k - 1])) if k else (0.0, F.lit(0))
+        within = F.coalesce(F.try_divide(rank - before, (F.col(names[k]) - before).cast("double")), F.lit(0.0))
+        out = F.when(F.col(names[k]) >= rank, low + (bounds[k] - low) * within).otherwise(out)
+    return F.when(F.col(total) > 0, out)

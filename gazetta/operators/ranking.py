@@ -27,6 +27,14 @@ def top_per_group(awards: DataFrame, group: list[str], limit: int) -> DataFrame:
     return grouped.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
+def with_types(top: DataFrame, awards: DataFrame, types: str) -> DataFrame:
+    """The ranked winners with ``types``: the distinct types of all their awards, sorted; none where no award has one. Only awards
+    of ranked winners are looked at, of whom there are as many as the rank's limit says."""
+    theirs = awards.join(F.broadcast(top.select("winner")), "winner", "left_semi")
+    found = theirs.select("winner", F.explode(types).alias("_type")).distinct().groupBy("winner").agg(F.array_sort(F.collect_list("_type")).alias("types"))
+    return top.join(found, "winner", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+
+
 def nest_children(parents: DataFrame, children: DataFrame, key: str, newest: str, unique: str, fields: list[str], limit: int = 10) -> DataFrame:
     """Parents with an array of their newest children, at most ``limit``; the children are cut by rank, then collected."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(newest), F.desc(unique)))

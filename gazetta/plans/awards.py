@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import period
@@ -86,8 +86,19 @@ def award_rank_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("types"))
     typed = awards(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("type", F.explode("types"))
     top = ranking.top_per_group(typed, ["type"], 5)
-    totals = top.groupBy("type").agg(F.round(F.sum("total_amount"), 2).alias("type_amount"))
-    return top.join(totals, "type")
+    return top.withColumn("type_amount", F.round(F.sum("total_amount").over(Window.partitionBy("type")), 2))
+
+
+@query(f"""
+    WITH {_TYPED}, g AS (SELECT winner, round(sum(amount), 2) AS total_amount FROM a WHERE day BETWEEN DATE '1997-04-01' AND DATE '1997-06-30' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
+    y AS (SELECT winner, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM t WHERE day BETWEEN DATE '1997-04-01' AND DATE '1997-06-30' GROUP BY 1)
+    SELECT winner, total_amount, types FROM g JOIN y USING (winner)""")
+def award_rank_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, last, _ = period("quarter", 1997, 2)
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("types"))
+    rows = awards(spark, sf_dir).where(F.col("day").between(first, last))
+    top = ranking.rank_winners(rows, "amount")
+    return ranking.with_types(top, rows.join(parts, F.col("l_partkey") == F.col("p_partkey")), "types").select("winner", "total_amount", F.array_join("types", ",").alias("types"))
 
 
 @query(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..functions.predicates import any_of
 from ..operators import facets, matching, merge
 from ..sources.tables import read
 from .registry import query
@@ -90,3 +91,9 @@ def changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = orders.select((F.col("o_orderkey") % 700).alias("url"), F.col("o_orderdate").alias("updated"), F.col("o_orderkey").alias("id"))
     b = lines.select((F.col("l_orderkey") % 900).alias("url"), F.col("l_shipdate").alias("updated"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     return merge.changes_since([a, b], "url", "updated", "id", F.lit("1997-01-01").cast("date"), 300).select("url", "place", "id")
+
+
+@query("""SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'red') OR contains(lower(p_brand), '#13') OR contains(lower(p_type), 'economy')) AND contains(lower(p_brand), lower('BRAND#1'))""")
+def any_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = any_of([F.contains(F.lower("p_name"), F.lit("red")), F.contains(F.lower("p_brand"), F.lit("#13")), F.contains(F.lower("p_type"), F.lit("economy"))])
+    return read(spark, sf_dir, "part").where(found & F.contains(F.lower("p_brand"), F.lower(F.lit("BRAND#1")))).select("p_partkey")

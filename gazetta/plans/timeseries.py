@@ -161,6 +161,15 @@ def histogram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.histogram(read(spark, sf_dir, "events"), "value", [5, 10, 50], ["event_type"])
 
 
+@query("""WITH h AS (SELECT event_type, (epoch_us(ts) // 3600000000)::BIGINT AS hour, count(*) FILTER (WHERE value <= 5) AS a, count(*) FILTER (WHERE value <= 10) AS b, count(*) FILTER (WHERE value <= 50) AS c, count(*) AS n FROM events GROUP BY ALL)
+    SELECT event_type, hour, round(n / 3600.0 + 1e-12, 9) AS rate, round(CASE WHEN a >= 0.95 * n THEN 5 * (0.95 * n) / a WHEN b >= 0.95 * n THEN 5 + 5 * (0.95 * n - a) / (b - a) WHEN c >= 0.95 * n THEN 10 + 40 * (0.95 * n - b) / (c - b) ELSE 50 END + 1e-9, 6) AS p95 FROM h""")
+def bucket_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").withColumn("hour", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000))
+    counts = facets.histogram(rows, "value", [5, 10, 50], ["event_type", "hour"])
+    p95 = facets.bucket_quantile(0.95, [5, 10, 50], ["le_0", "le_1", "le_2"], "n")
+    return counts.select("event_type", "hour", F.round(F.col("n") / 3600.0 + 1e-12, 9).alias("rate"), F.round(p95 + 1e-9, 6).alias("p95"))
+
+
 @query("""SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def hist_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
