@@ -12,6 +12,12 @@ from .merge import scan_sorted
 #: Rows that a source's statistics look back on.
 SHORT, LONG = 20, 500
 
+#: What to do at a level of risk (fixed values).
+ADVICE = {
+    "critical": "立即暂停采集，进入恢复冷却期（15-30min）", "high": "大幅降低采集频率，切换备用站点或代理", "medium": "适度降低采集密度，密切监控指标变化",
+    "low": "正常运行，保持当前采集节奏", "recovering": "站点尚未完全恢复，保持观察",
+}
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -108,6 +114,15 @@ def degradation_probability(trend: Column, response_trend: Column, variation: Co
     )
 
 
+def outlook(ban: Column, degradation: Column, held: Column, healthy: Column) -> dict[str, Column]:
+    """Level of the greater of two probabilities, what to do about it, and how far to trust it (a hundred rows: fully)."""
+    level = risk_level(F.greatest(ban, degradation))
+    advice = F.when(healthy, ADVICE["low"]).otherwise(ADVICE["recovering"])
+    for name in ("medium", "high", "critical"):
+        advice = F.when(level == name, F.lit(ADVICE[name])).otherwise(advice)
+    return {"level": level, "advice": advice, "confidence": F.least(F.lit(1.0), held / 100)}
+
+
 def risk_level(score: Column) -> Column:
     return F.when(score >= 0.8, "critical").when(score >= 0.6, "high").when(score >= 0.3, "medium").otherwise("low")
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import blocked, numbered
+
 #: What a column of the merged row is, given the stored and the incoming value (both keys exist).
 POLICIES = {
     "overwrite": lambda old, new: new,
@@ -82,6 +84,19 @@ def suppress(events: DataFrame, keys: list[str], at: str, seconds: int) -> DataF
     return scan_sorted(rows, keys, "sent_us", keep)
 
 
+def admitted(adds: DataFrame, key: str, at: str, tie: str, span: int) -> DataFrame:
+    """Adds that a queue takes: those of keys it hasn't seen for ``span`` units of time, every add counting as seen (also one that
+    isn't taken). ``tie`` orders adds of the same time. A hot key's rows are shared by tasks in blocks."""
+    rows = blocked(numbered(adds, key, [at, tie]), 1)
+    before = F.lag(at).over(Window.partitionBy(key, "block").orderBy("n"))
+    return rows.withColumn("_before", before).where(F.col("own") & (F.col("_before").isNull() | (F.col(at) - F.col("_before") >= span))).select(*adds.columns)
+
+
+def affected(stored: DataFrame, changed: DataFrame, code: str) -> DataFrame:
+    """Stored rows that changes make stale: those of the codes that occur among the changed rows. Rows without a code stay valid."""
+    return stored.join(changed.select(code).where(F.col(code).isNotNull()).distinct(), code, "left_semi")
+
+
 def scan_sorted(rows: DataFrame, keys: list[str], value: str, step) -> DataFrame:
     """Scan each key's values in order with ``step(values, state) -> (values to emit, state)``: a run of a key's sorted values
     at a time, first with the state None. Rows are (keys, value); values of all keys but the current one's state are dropped."""

@@ -52,3 +52,10 @@ def interleave(df: DataFrame, group: str, order: list, quota: int, limit: int) -
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """A page of the ordered rows; the order must be total."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def ordered_page(df: DataFrame, orders: dict[str, tuple[str, bool]], asked: str | None, unique: str, number: int, size: int) -> DataFrame:
+    """A page in one of the stated orders (name -> column, descending); an unknown name means the first. Nulls last, ties by the
+    greatest ``unique``, which has no repeats."""
+    column, falling = orders.get(asked, next(iter(orders.values())))
+    return page(df, [F.desc_nulls_last(column) if falling else F.asc_nulls_last(column), F.desc(unique)], number, size)

@@ -34,9 +34,21 @@ def log_lines(spark: SparkSession, path: str, pattern: str, fields: tuple[str, .
     return lines.select(*[F.regexp_extract("value", pattern, k + 1).alias(f) for k, f in enumerate(fields)])
 
 
-def csv_sink(df: DataFrame, path: str, columns: dict[str, Column]) -> None:
-    """CSV with a header, columns chosen and renamed."""
-    df.select(*[c.alias(n) for n, c in columns.items()]).write.mode("errorifexists").option("header", True).csv(path)
+def levels_of_late(lines: DataFrame, at: Column, level: Column, levels: tuple[str, ...], seconds: int) -> DataFrame:
+    """(level, n) for every one of ``levels``, also those without lines: lines of the last ``seconds`` before the newest one. Lines
+    whose time can't be read (null) and other levels don't count."""
+    timed = lines.select(at.alias("at"), F.upper(level).alias("level")).where("at IS NOT NULL")
+    last = timed.agg(F.max("at").alias("last"))
+    late = timed.join(F.broadcast(last)).where(F.col("at") >= F.col("last") - F.make_dt_interval(secs=F.lit(seconds))).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    every = lines.sparkSession.createDataFrame([(name,) for name in levels], "level string")
+    return every.join(late, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def csv_sink(df: DataFrame, path: str, columns: dict[str, Column], mark: bool = False) -> None:
+    """CSV with a header, columns chosen, renamed and put in order. ``mark``: files start with the byte order mark that spreadsheets
+    look for, which is part of the first header, since every file has one."""
+    shown = [c.alias(("\ufeff" if mark and k == 0 else "") + n) for k, (n, c) in enumerate(columns.items())]
+    df.select(*shown).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def ndjson_sink(df: DataFrame, path: str) -> None:
@@ -44,6 +56,13 @@ def ndjson_sink(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def snapshot_sink(df: DataFrame, path: str, totals: dict[str, Column]) -> None:
+    """Records as JSON in ``records``, and one JSON object with their totals (aggregates by name) in ``totals``, counted over what was written."""
+    ndjson_sink(df, f"{path}/records")
+    written = df.sparkSession.read.schema(df.schema).json(f"{path}/records")
+    ndjson_sink(written.agg(*[total.alias(name) for name, total in totals.items()]), f"{path}/totals")
+
+
 def routed_sink(df: DataFrame, path: str, route: Column) -> None:
     """Parquet in one folder a target table; the target is an expression over the row."""
     df.withColumn("target_table", route).write.mode("errorifexists").partitionBy("target_table").parquet(path)
