@@ -87,8 +87,7 @@ _TF = """
 def tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     w = relevance.weights(settle(relevance.terms(docs, "doc_id", "text")), docs.count())
-    found = relevance.similar(w, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"))).withColumn("similarity", F.round("similarity", 6))
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where("place <= 5")
+    return relevance.top_similar(w, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id")), 5)
 
 
 @query("""WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS k FROM part)
