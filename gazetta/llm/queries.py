@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_model, line_dedup, mixing, ngram_join, quality, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, filter_audit, language_model, line_dedup, mixing, ngram_join, quality, sharding, spelling, toxicity, vector_search
 from .common import read
 
 
@@ -56,6 +56,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.exact_topk(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_decontamination, op3_line_dedup, op4_toxicity, op5_chat_formatting, op6_exact_dedup, op7_ngram_join, op8_sharding,
-        op9_mixing, op10_lm_scoring, pipeline,
+        op9_mixing, op10_lm_scoring, op11_spelling, op12_filter_audit, op13_exact_topk, pipeline,
     )
 }
 
@@ -146,4 +158,48 @@ ORACLE_SQL = {
                    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
              c AS (SELECT *, least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT AS copies FROM p)
         SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size::BIGINT AS taken, copies FROM c""",
+    "op11_spelling": r"""
+        WITH RECURSIVE run AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+                   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents)),
+             held AS (SELECT id, w, count(*) AS times FROM run WHERE length(w) >= 7 GROUP BY ALL),
+             crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+             h AS (SELECT s.*, xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(id || ':' || w)), '..'), lambda x: ('0x' || x)::BIGINT),
+                       lambda c, x: xor(t[xor(c, x) % 256 + 1], c >> 8)), 4294967295) AS h FROM held s, crc),
+             cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, times FROM h),
+             v AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2),
+             d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+             near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                      UNION SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.rest = b.word),
+             best AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS first FROM near GROUP BY 1),
+             f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -first[1] >= 10 * n THEN first[2] END AS form, CASE WHEN -first[1] >= 10 * n THEN -first[1] END AS form_n
+                   FROM v LEFT JOIN best ON v.word = best.word),
+             chain AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM f JOIN chain c ON c.word = f.word JOIN f e ON e.word = c.root WHERE e.form IS NULL""",
+    "op12_filter_audit": r"""
+        WITH x AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+             first AS (SELECT text, min(doc_id) AS least FROM x GROUP BY 1),
+             w AS (SELECT doc_id, part, x.text, coalesce(doc_id > least, false) AS again, regexp_extract_all(x.text, '[^\x20\x09-\x0D]+') AS words FROM x JOIN first USING (text)),
+             m AS (SELECT w.doc_id, part, (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+                       || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END)
+                       || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN again THEN 'E' ELSE '' END) AS fails FROM w),
+             l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+             g AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY ALL),
+             k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+             o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM k a JOIN k b ON b.k <> a.k JOIN k c ON c.k NOT IN (a.k, b.k) JOIN k d ON d.k NOT IN (a.k, b.k, c.k)
+                   JOIN k e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+             s AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+             r AS (SELECT part, filter_order, step, f, sum(CASE WHEN translate(fails, before || f, '') = fails THEN n ELSE 0 END)::BIGINT AS kept,
+                       sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n ELSE 0 END)::BIGINT AS removed,
+                       sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') <> fails THEN n ELSE 0 END)::BIGINT AS redundant,
+                       sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                       sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+                       sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+                   FROM g, s GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r""",
+    "op13_exact_topk": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.r AS qr, q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.r <> v.r),
+             k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 20""",
 }
