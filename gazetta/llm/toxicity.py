@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -14,11 +14,9 @@ from .common import crc_split, fresh, settle
 from .quality import labelled_sample
 from .textvec import Words, batches, minhash_params, mix, range_hashes, runs, segment_minima, shingles
 
-#: Labelled documents that the network is fitted on at most; scoring covers every window of every document.
-SAMPLE = 4_000
-#: A labelled document of more characters gives the sample its piece of about this length that looks worst, so that the
-#: sample's size is bounded; scoring reads texts of any length.
-LONGEST = 20_000
+#: Labelled documents that the network is fitted on at most, and characters that they have together at most: a document is in
+#: the sample whole or not at all, and scoring covers every window of every document.
+SAMPLE, SAMPLE_CHARS = 4_000, 32_000_000
 #: Words of a window and the step between windows; windows overlap by a quarter.
 WINDOW, STEP = 32, 24
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 6, 10
@@ -238,21 +236,27 @@ def _evidence(texts: list, y: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _unlike(texts: list, y: np.ndarray) -> np.ndarray:
-    """Numbers of the texts that are no near copies of an earlier one of their class, by four MinHash values of five-word
-    shingles; copies would make every word of their text look like evidence."""
+def _unlike(texts: list, y: np.ndarray, threshold: float = 0.8) -> np.ndarray:
+    """Numbers of the texts that are no near copies (five-word shingles, Jaccard similarity of ``threshold``) of an earlier one of
+    their class; copies would make every word of their text look like evidence. Four MinHash values find the earlier texts
+    to compare with."""
     words = Words(texts)
     hashes, at = shingles(words.hashes, words.at)
     full = np.flatnonzero(np.diff(at))
     mins = segment_minima(hashes, at[full], minhash_params(4)) if len(full) else np.empty((4, 0), np.uint64)
-    seen: set[tuple] = set()
-    keep = []
+    seen: dict[tuple, list[int]] = {}
+    sets: dict[int, np.ndarray] = {}
     for c, d in enumerate(full):
-        own = {(bool(y[d] > 0), k, int(v)) for k, v in enumerate(mins[:, c])}
-        if not own & seen:
-            keep.append(d)
-        seen |= own
-    return np.array(keep, np.int64)
+        own, keys = np.unique(hashes[at[d] : at[d + 1]]), [(bool(y[d] > 0), k, int(v)) for k, v in enumerate(mins[:, c])]
+        for e in {e for key in keys for e in seen.get(key, ())}:
+            both = len(np.intersect1d(own, sets[e], assume_unique=True))
+            if both >= threshold * (len(own) + len(sets[e]) - both):
+                break
+        else:
+            sets[int(d)] = own
+            for key in keys:
+                seen.setdefault(key, []).append(int(d))
+    return np.array(list(sets), np.int64)
 
 
 def fit(texts: list, y: np.ndarray, seed: int = 3) -> Network:
@@ -315,27 +319,6 @@ def fit(texts: list, y: np.ndarray, seed: int = 3) -> Network:
     return net
 
 
-def pieces(text: str, most: int = LONGEST) -> list[str]:
-    """The text in parts of at most ``most`` characters, cut at white space where there is any."""
-    out, low = [], 0
-    while len(text) - low > most:
-        cut = max(text.rfind(" ", low + 1, low + most), text.rfind("\n", low + 1, low + most))
-        cut = cut if cut > low else low + most
-        out.append(text[low:cut])
-        low = cut
-    return [*out, text[low:]]
-
-
-def worst_piece(text: str, evidence: dict[str, np.ndarray], most: int = LONGEST) -> str:
-    """The piece with the window of most evidence; the first one of equals."""
-    parts, best = pieces(text, most), []
-    for part in parts:
-        t = Tokens([part])
-        each = np.append(np.maximum(0, np.maximum(evidence["word"][t.word], _peaks(evidence["char"], t.cells, t.cell_at))), np.float32(0))
-        best.append(float(each[t.windows()[0]].sum(1).max()))
-    return parts[int(np.argmax(best))]
-
-
 class _Subset:
     """The distinct words of a training batch, with their character cells."""
 
@@ -345,23 +328,15 @@ class _Subset:
         self.word, self.cells, self.cell_at = t.word[keep], t.cells[cells], np.concatenate(([0], np.cumsum(per)))
 
 
-def train(docs: DataFrame, labels: DataFrame, held: Column, label: str = "toxic", rows: int = SAMPLE) -> Network:
-    """Fit on at most ``rows`` labelled documents, half of them toxic if there are so many. Those come to the driver: whole up to
-    LONGEST characters; of longer ones, every window of which is weighed where they are, the piece that looks worst by the
-    evidence of the others. An id labelled both ways counts as toxic and as clean."""
-    spark = ship(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, held: Column, label: str = "toxic", rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Network:
+    """Fit on at most ``rows`` labelled documents, half of them toxic if there are so many. Those come to the driver as whole texts,
+    in order of a hash of their ids as long as ``chars`` lasts; so the sample is bounded, and no text is cut. An id labelled both
+    ways counts as toxic and as clean."""
     parts = [labelled_sample(docs, labels.where(F.col(label) == k), label, ~held, rows // 2) for k in (1, 0)]
     sample = settle(parts[0].unionByName(parts[1]))
-    found = sample.where(F.length("text") <= LONGEST).toPandas()
-    if sample.where(F.length("text") > LONGEST).limit(1).count():
-        shared = spark.sparkContext.broadcast(_evidence(found["text"].tolist(), found["y"].to_numpy()))
-
-        def choose(column: pd.Series) -> pd.Series:
-            return column.map(lambda text: worst_piece(text, shared.value))
-
-        long = sample.where(F.length("text") > LONGEST).select("doc_id", F.pandas_udf(choose, "string")("text").alias("text"), "y")
-        found = pd.concat([found, long.toPandas()])
-    found = found.sort_values(["doc_id", "y"])
+    drawn = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y").rowsBetween(Window.unboundedPreceding, 0)
+    within = sample.select("doc_id", "y", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(drawn).alias("used")).where(F.col("used") <= chars)  # of at most ``rows`` rows
+    found = sample.join(F.broadcast(within.select("doc_id", "y")), ["doc_id", "y"]).toPandas().sort_values(["doc_id", "y"])
     return fit(found["text"].tolist(), found["y"].to_numpy())
 
 
