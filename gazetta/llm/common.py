@@ -55,6 +55,22 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with lines under them put before each until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def row_name(id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes that name a row by id and text."""
+    return [F.xxhash64(id_col, text_col), F.xxhash64(F.lit("row"), text_col, id_col)]
+
+
 def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``df`` with the columns that an operator would replace (``names``) under other names, and how to get the columns of
     ``df`` back from what the operator returns."""

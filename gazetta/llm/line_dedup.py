@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle
+from .common import free, fresh, row_name, settle
 
 #: log2 of the sketch's registers, and its relative standard error.
 LG_K = 10
@@ -41,20 +41,28 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """All columns of ``docs`` with the boilerplate lines taken out of the text, plus n_lines and n_removed (bigint).
 
     A line is what stands between newlines; lines are compared without outer spaces; blank lines are never removed. The
-    rest of the text is unchanged, null texts stay null with zero lines. Rows with equal ids share the list of lines to
-    remove, which is right for each, as a line is boilerplate everywhere or nowhere. Clashing columns are replaced.
+    rest of the text is unchanged, null texts stay null with zero lines. Columns n_lines and n_removed are replaced, others stay.
+
+    Positions of the lines to remove are listed per row, a row being named by hashes of id and text; rows without ids, or of one
+    id, have lists of their own, and rows that repeat both have equal lines.
     """
     # Written first, so that the join below is between plain exchanges and a line of many documents can be split.
     found = settle(boilerplate_lines(docs, text_col, site_col, min_sites))
-    own = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line")).where(F.trim("line") != "")
+    docs = fresh(docs, "n_lines", "n_removed")
+    one, two, bad, kept = free(docs, "_one", "_two", "_bad", "_kept")
+    named = docs.withColumns(dict(zip((one, two), row_name(id_col, text_col), strict=True)))
+    own = named.select(F.col(one).alias("one"), F.col(two).alias("two"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line")).where(F.trim("line") != "")
     a, b = line_key(F.col("line"))
-    hits = own.select("id", a.alias("a"), b.alias("b")).join(found, ["a", "b"])
-    lists = hits.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("_bad"))
-    out = fresh(docs, "n_lines", "n_removed", "_bad").join(lists, F.col(id_col).eqNullSafe(F.col("id")), "left").drop("id")
+    hits = own.select("one", "two", "at", a.alias("a"), b.alias("b")).join(found, ["a", "b"])
+    lists = hits.groupBy(F.col("one").alias(one), F.col("two").alias(two)).agg(F.collect_set("at").alias(bad))
+    out = named.join(lists, [one, two], "left")
     split = F.split(F.col(text_col), "\n")
-    bad = lambda x: F.array_contains("_bad", F.struct(*(k.alias(n) for k, n in zip(line_key(x), "ab", strict=True))))
-    kept = F.when(F.col("_bad").isNull(), split).otherwise(F.filter(split, lambda x: ~bad(x)))
-    out = out.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(split).cast("bigint"), F.lit(0).cast("bigint")))
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("bigint"))
-    out = out.withColumn("n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("bigint"))
-    return out.withColumn(text_col, F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))).drop("_bad", "_kept")
+    # Both lists are bound once; what stays is the difference of two lists of positions, in order.
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(bad))
+    lines = F.transform(F.array(F.struct(split.alias("lines"), left.alias("left"))), lambda s: F.transform(s["left"], lambda i: F.get(s["lines"], i)))[0]
+    out = out.withColumn(kept, F.when(F.col(bad).isNotNull(), lines))
+    none = F.lit(0).cast("bigint")
+    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), none).otherwise(F.size(split).cast("bigint")))
+    out = out.withColumn("n_removed", F.when(F.col(bad).isNull(), none).otherwise(F.size(bad).cast("bigint")))
+    text = F.when(F.col(bad).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return out.withColumn(text_col, text).drop(one, two, bad, kept)
