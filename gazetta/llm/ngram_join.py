@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, free, row_name, settle
 from .components import components
 from .textvec import Words, batches, minhash_params, mix, segment_minima, shingles
 
@@ -56,12 +56,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "row2")), pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "row2", "node", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", *_row("doc_id", "text")).mapInArrow(sign, f"doc_id {kind}, row bigint, row2 bigint, node string, bands array<bigint>")
+    return docs.select("doc_id", "text", *_named("doc_id", "text")).mapInArrow(sign, f"doc_id {kind}, row bigint, row2 bigint, node string, bands array<bigint>")
 
 
-def _row(id_col: str, text_col: str) -> list[Column]:
-    """Two columns that name a row by id and text."""
-    return [F.xxhash64(id_col, text_col).alias("row"), F.xxhash64(F.lit("row"), text_col, id_col).alias("row2")]
+def _named(id_col: str, text_col: str) -> list[Column]:
+    return [c.alias(n) for c, n in zip(row_name(id_col, text_col), ("row", "row2"), strict=True)]
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, allowed: np.ndarray, threshold: float) -> np.ndarray:
@@ -194,7 +193,7 @@ def _linked(source: DataFrame, n: int, threshold: float, recall: float = 0.9999,
     sent = members.groupBy("node").agg(F.collect_list("at").alias("ats"))
     # One row of each node brings its text; the row key also tells apart rows that repeat an id.
     wanted = nodes.join(sent, "node").select("least.row", "least.row2", "node", "bands", "copies", "ats")
-    carried = source.select("text", *_row("doc_id", "text")).join(wanted, ["row", "row2"]).dropDuplicates(["row", "row2"])
+    carried = source.select("text", *_named("doc_id", "text")).join(wanted, ["row", "row2"]).dropDuplicates(["row", "row2"])
     groups = carried.select("node", "text", "bands", "copies", F.explode("ats").alias("at")).select("node", "text", "bands", "copies", "at.*")
     key = ["band", "key", "p", "q"]
     compared = groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_grouped(n, threshold), "node string, n_texts bigint, n_docs bigint, root string")
@@ -236,9 +235,9 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of id and text. Of rows that repeat both id and text one stays; rows without words are classes of their own and all stay."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     _, per_node = _linked(source, n, threshold)
-    kept = per_node.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("_row"), F.col("first.row2").alias("_row2"))
+    key = free(docs, "_row", "_row2")
+    kept = per_node.groupBy("root").agg(F.min("least").alias("first")).select(*[F.col(f"first.{c}").alias(k) for c, k in zip(("row", "row2"), key, strict=True)])
     words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
     # One exchange by the hash serves both the join and the choice among repeated rows.
-    key = ["_row", "_row2"]
-    full = docs.where(words).withColumns(dict(zip(key, _row(id_col, text_col), strict=True))).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+    full = docs.where(words).withColumns(dict(zip(key, row_name(id_col, text_col), strict=True))).join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
     return full.union(docs.where(~words))
