@@ -114,6 +114,8 @@ def test_one_row_of_every_class_stays_without_ids_or_with_repeated_ids(spark):
     rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (5, c, "en", "s", 1), (5, d, "en", "s", 1), (3, c, "en", "s", 1), (7, a, "en", "s", 1)]
     rows += [(None, None, "en", "s", 0), (None, " ", "en", "s", 0), (8, "", "en", "s", 0), (8, "\n", "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
+    kept = ngram_join.one_per_class(docs.withColumn("_ROW", F.lit(1)).withColumn("_row2", F.lit(2)).withColumn("node", F.lit(3)))
+    assert kept.columns == [*docs.columns, "_ROW", "_row2", "node"] and kept.where("_row = 1 and _row2 = 2 and node = 3").count() == 8
     kept = ngram_join.one_per_class(docs)
     assert kept.columns == docs.columns
     expected = [(7, a), (None, b), (3, c), (5, d), (None, None), (None, " "), (8, ""), (8, "\n")]
@@ -220,6 +222,26 @@ def test_line_dedup(spark, empty):
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_with_clashing_columns_hot_nulls_and_long_texts(spark):
+    # A third of the rows have no id; each keeps a list of its own lines. A line on five sites is at the bound, one on four under it.
+    rows = [(None if i % 3 else i, f"at the bound\nevery site\nown {i}\n\nevery site" if i % 12 < 5 else f"every site\nunder it {i % 12 - 5 if i % 12 < 9 else i}", "en", f"s{i % 12}", 1) for i in range(360)]
+    rows += [(400, "\n".join(["every site", *[f"line {k}" for k in range(40_000)], "at the bound "]), "en", "s0", 1), (400, "every site", "en", "s0", 1), (400, "every site", "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(c).alias(c) for c in ("id", "a", "b", "_bad", "_one", "_kept", "at")])
+    got = line_dedup.remove_boilerplate(docs, min_sites=5)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"] and got.where("id = 'id' and _bad = '_bad' and _one = '_one' and at = 'at'").count() == len(rows)
+    sites = collections.defaultdict(set)
+    for _, text, _, site, _ in rows:
+        for line in text.split("\n"):
+            sites[line.strip(" ")].add(site)
+    bad = {line for line, s in sites.items() if line and len(s) >= 5}
+    assert bad == {"at the bound", "every site"}
+    expected = []
+    for i, text, *_ in rows:
+        kept = [x for x in text.split("\n") if x.strip(" ") not in bad]
+        expected.append((i, "\n".join(kept), text.count("\n") + 1, text.count("\n") + 1 - len(kept)))
+    assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.text, r.n_lines, r.n_removed)) for r in got.collect())
+
+
 def test_sharding(docs, empty):
     table = sharding.fill_table(7, 1009)
     counts = collections.Counter(table)
@@ -391,13 +413,7 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(docs, labels.where("false")).where("predicted = 1").count() == 0
 
 
-def test_long_labelled_documents_give_their_worst_piece(spark):
-    text = prose(50, 9000)
-    assert "".join(toxicity.pieces(text, 1000)) == text and max(map(len, toxicity.pieces(text, 1000))) <= 1000 and toxicity.pieces("", 10) == [""] and toxicity.pieces("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
-    evidence = toxicity._evidence([prose(i, 40) + (" zounds" if i % 2 else "") for i in range(60)], np.arange(60) % 2)
-    words = text.split()
-    words.insert(7000, "zounds")
-    assert "zounds" in toxicity.worst_piece(" ".join(words), evidence, 5000)
+def test_long_labelled_documents_are_fitted_on_whole(spark):
     docs, labels, marks = labelled(spark)
     long = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(prose(60, 5000) + " "), "text", F.lit(" " + prose(61, 5000)))).otherwise(F.col("text")))
     got = {r.doc_id: r for r in toxicity.toxicity(long, labels).collect()}
@@ -405,6 +421,28 @@ def test_long_labelled_documents_give_their_worst_piece(spark):
     assert sum(p == t for p, t in held) >= 0.9 * len(held)
 
 
+def test_the_sample_of_labelled_texts_has_no_part_of_a_text(spark, monkeypatch):
+    rows = [(i, "x" * (100 + i)) for i in range(50)] + [(7, "x" * 107)] * 2 + [(50, "y" * 10_000), (51, None), (None, "z")]
+    docs, seen = spark.createDataFrame(rows, "doc_id bigint, text string"), []
+    labels = spark.createDataFrame([(i, i % 2) for i in range(52)] + [(3, 0), (None, 1)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((texts, y.tolist())))
+    for chars in (3_000, 10**6):
+        toxicity.train(docs, labels, F.lit(False), chars=chars)
+    few, every = seen
+    assert sum(len(t or "") for t in few[0]) <= 3_000 and 10 < len(few[0]) < 30 and set(few[0]) <= {t for _, t in rows}
+    assert sorted(t or "" for t in every[0]) == sorted([t or "" for i, t in {r[0]: r for r in rows}.values() if i is not None] + ["x" * 103]) and sum(every[1]) == 26
+
+
+def test_only_near_copies_are_left_out_of_the_fit():
+    base = prose(70, 200).split()
+    half = base[:100] + prose(71, 100).split()  # similar at about a third
+    near = list(base)
+    near[50] = "changed"
+    texts = [" ".join(base), " ".join(half), " ".join(near), " ".join(base), "", None, " ".join(base[150:] + prose(72, 150).split())]
+    assert toxicity._unlike(texts, np.zeros(7)).tolist() == [0, 1, 6]
+    assert toxicity._unlike(texts[:4], np.array([0, 0, 1, 1])).tolist() == [0, 1, 2]
+
+
 def test_network_forward_against_a_plain_recurrence():
     net, texts = toxicity.Network(2), ["one two three zounds", "four"]
     rng = np.random.default_rng(0)

@@ -71,8 +71,9 @@ def test_pipeline_stages(spark, sf_dir):
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     """Nulls in all columns, repeated rows and ids, clashing columns, and no rows at all."""
     text = " ".join(f"word{i}" for i in range(40))
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, copies string, Score int"
-    rows = [(1, text, "en", "a", 1, "s", "c", 1)] * 2 + [(None,) * 8, (2, "", None, "b", 0, None, None, 5), (None, text + " more", "en", None, 1, "s", None, 1), (3, "short one", "en", "a", 2, None, "c", None)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, copies string, Score int, _row int"
+    rows = [(1, text, "en", "a", 1, "s", "c", 1, 7)] * 2 + [(None,) * 9, (2, "", None, "b", 0, None, None, 5, 7), (None, text + " more", "en", None, 1, "s", None, 1, 7), (3, "short one", "en", "a", 2, None, "c", None, 7)]
+    rows += [(4, "x" * 300_000, "en", "a", 1, None, None, None, None), (5, " ".join(f"long{i}" for i in range(60_000)), "en", "a", 1, None, None, None, None)]
     spark.createDataFrame([(1, 0, 0), (2, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(None, None), (1, ""), (2, "not in any text of these")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for given in (rows, []):
@@ -80,7 +81,7 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.settle(stage(spark, docs, str(tmp_path)))
             if name == "near_copies":
-                assert docs.count() == (4 if given else 0) and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "copies", "Score"]
+                assert docs.count() == (6 if given else 0) and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "slot", "copies", "Score", "_row"]
         assert "shard" in docs.columns and (docs.count() > 0) == bool(given)
 
 
