@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .amounts import parse_amount
 from .classify import is_aborted
-from .extract import candidate_awards, package_awards, winner_name
+from .extract import NUMERALS, candidate_awards, package_awards, unnumbered_awards, winner_name, winners
 
 #: A row of a score table: rank, bidder, price, any number, score (fixed value).
 TABLE_ROW = r"第([一二三四五六七八九十]+|\d+)名\s+(\S+?(?:公司|集团|企业|联合体|事务所|院))\s+([\d.]+)\s+[\d.]+\s+([\d.]+)"
@@ -18,7 +18,6 @@ WINNER_FORMS = (
 )
 AMOUNT_FORMS = (r"中标金额[（(][^）)]*[)）]?\s*([0-9.,]+\s*(?:万元|元))", r"中标金额[：:]?\s*([0-9.,]+\s*(?:万元|元))", r"中标金额[：:]\s*([^\n]{1,80})", r"中标[（(]成交[)）]价[：:]\s*([^\n]{1,80})")
 BRACKETED_UNIT = r"中标金额\s*[(（]\s*(万元|元)\s*[)）]\s*([0-9.,]+)"
-NUMERALS = "一二三四五六七八九十"
 
 
 def table_candidates(content: Column) -> Column:
@@ -42,9 +41,8 @@ def announced_amount(content: Column) -> Column:
 def result_awards(content: Column) -> Column:
     """Array of (rank, winner, amount, score) of the announced winners; several are members of one bid, so all rank first."""
     content = F.coalesce(content, F.lit(""))
-    said = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(content, f, 1)), F.lit("")) for f in WINNER_FORMS])
-    parts = F.split(F.coalesce(said, F.lit("")), "[、,，;；]")
-    names = F.filter(F.transform(parts, lambda x: winner_name(F.left(F.trim(F.regexp_replace(x, "[：:].*$", "")), F.lit(50)))), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[winners(F.regexp_extract(content, f, 1)) for f in WINNER_FORMS]), lambda x: F.size(x) > 0)
+    names = F.filter(F.transform(F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>")), winner_name), lambda x: x.isNotNull())
     amount = announced_amount(content)
     return F.transform(names, lambda x: F.struct(F.lit(1).alias("rank"), x.alias("winner"), amount.alias("amount"), F.lit(None).cast("decimal(6,2)").alias("score")))
 
@@ -52,12 +50,13 @@ def result_awards(content: Column) -> Column:
 def awards(content: Column, info_type: Column) -> Column:
     """Array of (rank, winner, amount, score) by the grammar of the type of notice; none for other types and called-off tenders.
 
-    Candidates stand in a score table or in lines of their own; lines are read only where there is no table.
+    Candidates stand in rows of a score table and under headings that name their rank; lines without a rank are read only where
+    there are neither.
     """
     plain = lambda rows, rank: F.transform(rows, lambda x: F.struct(rank(x).alias("rank"), x["winner"].alias("winner"), x["amount"].cast("decimal(18,2)").alias("amount"), F.lit(None).cast("decimal(6,2)").alias("score")))
-    table = table_candidates(content)
-    candidates = F.when(F.size(table) > 0, table).otherwise(plain(candidate_awards(content), lambda x: x["rank"]))
-    none = F.filter(table, lambda x: F.lit(False))
+    ranked = F.concat(table_candidates(content), candidate_awards(content))
+    candidates = F.transform(F.array(ranked), lambda x: F.when(F.size(x) > 0, x).otherwise(unnumbered_awards(content)))[0]
+    none = F.filter(ranked, lambda x: F.lit(False))
     found = (
         F.when(info_type == "采购结果公告", plain(package_awards(content), lambda x: F.lit(1))).when(info_type == "中标候选人公示", candidates)
         .when(info_type == "中标结果公示", F.transform(result_awards(content), lambda x: F.struct(x["rank"], x["winner"], x["amount"].cast("decimal(18,2)").alias("amount"), x["score"]))).otherwise(none)

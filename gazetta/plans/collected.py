@@ -82,15 +82,26 @@ def certificate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", *[F.col(f"f.{n}") for n in ("certificate_type", "name", "certificate_no", "valid_to")])
 
 
-@query("""SELECT o_orderkey, 1 AS rank, '客户' || o_custkey || '公司' AS winner, (CASE o_orderkey % 3 WHEN 2 THEN 10000 ELSE 1 END * o_custkey)::DOUBLE AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 98.5::DOUBLE END AS score FROM orders
-    UNION ALL SELECT o_orderkey, 2, '乙公司', 7::DOUBLE, 90::DOUBLE FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 1, '丙公司', o_custkey::DOUBLE, NULL FROM orders WHERE o_orderkey % 3 = 1""")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 5 AS k, '客户' || o_custkey || '公司' AS who FROM orders)
+    SELECT o_orderkey, 1 AS rank, who AS winner, CASE k WHEN 2 THEN 10000 * o_custkey WHEN 4 THEN NULL ELSE o_custkey END::DOUBLE AS amount, CASE WHEN k = 0 THEN 98.5 END::DOUBLE AS score FROM o WHERE k <> 3
+    UNION ALL SELECT o_orderkey, 2, '乙公司', 7::DOUBLE, 90::DOUBLE FROM o WHERE k = 0 UNION ALL SELECT o_orderkey, 12, '丁公司', 5::DOUBLE, 88.25::DOUBLE FROM o WHERE k = 0
+    UNION ALL SELECT o_orderkey, 1, '丙公司', o_custkey::DOUBLE, NULL FROM o WHERE k = 1
+    UNION ALL SELECT o_orderkey, r, who || r || '厂', CASE WHEN r % 4 > 0 THEN 10000 * (o_custkey + r) END::DOUBLE, CASE WHEN r % 3 > 0 THEN 100 - r * 1.5 END::DOUBLE FROM o, range(1, 11) AS t(r) WHERE k = 3
+    UNION ALL SELECT o_orderkey, 1, '戊公司', NULL, NULL FROM o WHERE k = 4""")
 def award_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, who, sum_ = F.col("o_orderkey") % 3, F.concat(F.lit("客户"), F.col("o_custkey").cast("string"), F.lit("公司")), F.col("o_custkey").cast("string")
+    k, said = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    who = F.concat(F.lit("客户"), said, F.lit("公司"))
+    ten = []
+    for r, word in enumerate("一二三四五六七八九十", 1):
+        price = [F.lit("\n投标报价："), (F.col("o_custkey") + r).cast("string"), F.lit("万元（含税）")] if r % 4 else []
+        ten += [F.lit(f"\n第{word}中标候选人（名称）："), who, F.lit(f"{r}厂\n地址：某路{r}号"), *price, F.lit(f"\n评审得分：{100 - r * 1.5}" if r % 3 else "\n无")]
     text = (
-        F.when(k == 0, F.concat(F.lit("第一名 "), who, F.lit(" "), sum_, F.lit(" 12 98.5\n第2名 乙公司 7 3 90"))).when(k == 1, F.concat(F.lit("中标人信息\n单位名称 "), who, F.lit("、丙公司\n中标金额："), sum_, F.lit("元")))
-        .otherwise(F.concat(F.lit("拟 中 标 人 "), who, F.lit(" 中标金额 (万元) "), sum_, F.lit(" 工商注册号 1")))
+        F.when(k == 0, F.concat(F.lit("第一名 "), who, F.lit(" "), said, F.lit(" 12 98.5\n第2名 乙公司 7 3 90\n第十二中标候选人：丁公司 投标报价：5元 评审得分：88.25")))
+        .when(k == 1, F.concat(F.lit("中标人信息\n单位名称 "), who, F.lit("、丙公司（联合体成员单位） 法定代表人：某人 电话：1\n中标金额："), said, F.lit("元")))
+        .when(k == 2, F.concat(F.lit("拟 中 标 人 "), who, F.lit(" 中标金额 (万元) "), said, F.lit(" 工商注册号 1")))
+        .when(k == 3, F.concat(F.lit("三、中标候选人公示内容"), *ten)).otherwise(F.concat(F.lit("中标候选人："), who, F.lit("\n投标单位：戊公司")))
     )
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.explode(award_text.awards(text, F.when(k == 0, "中标候选人公示").otherwise("中标结果公示"))).alias("a"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.explode(award_text.awards(text, F.when(k.isin(1, 2), "中标结果公示").otherwise("中标候选人公示"))).alias("a"))
     return rows.select("o_orderkey", "a.rank", "a.winner", F.col("a.amount").cast("double").alias("amount"), F.col("a.score").cast("double").alias("score"))
 
 

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from gazetta.functions import extract
+from gazetta.functions import text as text_functions
 from gazetta.operators import conversations, facets, health, matching, relevance, scheduling
 from gazetta.sources import tables
 from tests.test_functions import values
@@ -20,16 +21,30 @@ def test_winner_names(spark):
         "甲有限公司 中标候选人资格：甲级": "甲有限公司", "甲有限公司 无 详细描述": "甲有限公司", "甲有限公司 1.": "甲有限公司", "某某": None, "甲店": "甲店", "甲有限公司 企业": "甲有限公司", "长" * 90 + "公司": "长" * 80,
     }
     assert dict(zip(cases, values(spark, extract.winner_name, list(cases)), strict=True)) == cases
-    assert values(spark, extract.winners, ["甲公司、乙公司；丙公司：备注", "", None]) == [["甲公司", "乙公司", "丙公司"], [], []]
+    assert values(spark, extract.winners, ["甲公司、乙公司;丙公司：备注,无", "", None, "甲公司 社会信用代码：91500000MA5U000000 法定代表人：某", "甲公司(联合体成员) 电话：1", "企业资质：甲,详见附件", "长" * 60]) == [
+        ["甲公司", "乙公司", "丙公司"], [], [], ["甲公司"], ["甲公司"], [], ["长" * 50]]
 
 
 def test_awards(spark):
     text = "包号：1 供应商名称：甲有限公司 供应商地址：x\n中标（成交）金额：12.5万元\n包号：2\n供应商名称：乙公司\n中标（成交）金额：￥1,000元\n包号：3\n无"
     got = values(spark, extract.package_awards, [text, "", None])
     assert [(x.package_no, x.winner, x.amount) for x in got[0]] == [("1", "甲有限公司", Decimal("125000.00")), ("2", "乙公司", Decimal("1000.00"))] and got[1:] == [[], []]
-    text = "第一中标候选人：甲公司 投标报价：100万元\n第二中标候选人：乙公司\n第三中标候选人：丙公司，报价：3元"
-    got = values(spark, extract.candidate_awards, [text, None])
-    assert [(x.rank, x.winner, x.amount) for x in got[0]] == [(1, "甲公司", Decimal("1000000.00")), (2, "乙公司", None), (3, "丙公司", Decimal("3.00"))] and got[1] == []
+    text = "三、内容:\n第一中标候选人：甲公司 投标报价：100万元\n评审得分：98.87\n第二中标候选人（名称）：乙公司\n地址：某路\n得分：1.2.3\n第三中标候选人:丙公司"
+    got = values(spark, extract.candidate_awards, [text, None, "第六中标候选人：某公司 第十一中标候选人：另一公司 投标报价：3元", "第一中标候选人无"])
+    assert [(x.rank, x.winner, x.amount, x.score) for x in got[0]] == [(1, "甲公司", Decimal("1000000.00"), Decimal("98.87")), (2, "乙公司", None, None), (3, "丙公司", None, None)] and got[1] == got[3] == []
+    assert [(x.rank, x.amount) for x in got[2]] == [(6, None), (11, Decimal("3.00"))]
+    assert values(spark, extract.numeral, ["一", "十", "十二", "二十", "九十九", "", "百", "二三"]) == [1, 10, 12, 20, 99, None, None, None]
+    assert [x.winner for x in values(spark, extract.unnumbered_awards, ["中标候选人：甲公司\n投标单位：乙公司"])[0]] == ["甲公司", "乙公司"]
+
+
+def test_letters_and_links(spark):
+    plain = lambda t: sorted(f"{c}{t[:i].count(c)}" for i, c in enumerate(t))
+    texts = ["", "a", "aabbbca", "第一 第二 第一", "x" * 50 + "y" * 12]
+    assert [sorted(x) for x in values(spark, text_functions.letters, texts)] == [plain(t) for t in texts]
+    html = '<a href="/b"><b>B</b></a><a class=x href=\'/a\'>A1</a><a href="">none</a><a href="/b">B2</a> <A HREF = "/c" >C</A><a href="/a">A2</a>'
+    assert [(x.href, x.label) for x in values(spark, text_functions.anchors, [html])[0]] == [("/b", "<b>B</b>"), ("/a", "A1"), ("/c", "C")]
+    many = "".join(f'<a href="/{i % 3000}">{i}</a>' for i in range(6000))
+    assert [(x.href, x.label) for x in values(spark, text_functions.anchors, [many])[0]] == [(f"/{i}", str(i)) for i in range(3000)]
 
 
 def test_types_and_intents(spark):
