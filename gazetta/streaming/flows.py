@@ -5,19 +5,16 @@ Event times are timestamps with a watermark. State that has outlived its purpose
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
-from ..operators.merge import apply_delta
 from ..session import local_folder
+from .delta_log import DeltaLog
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -139,55 +136,16 @@ def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-class Snapshots:
-    """A table by key in buckets, each of which has versions in a shared folder: ``snap_bucket=b/snap_version=v``.
-
-    A merge reads and writes only buckets that the delta touches. Which version of a bucket is the last is found in the folder,
-    so that nothing is lost with the driver. A version written again replaces itself."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: str, buckets: int = 64):
-        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, schema, key, buckets
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _last(self, before: int | None = None) -> dict[int, int]:
-        """Bucket -> its last version (before the given one), from the names of the files."""
-        last: dict[int, int] = {}
-        form = re.compile(r"snap_bucket=(\d+)/snap_version=(\d+)/")
-        try:
-            files = self.spark.read.schema(self.schema).parquet(self.folder).inputFiles()
-        except AnalysisException:  # no version yet
-            return last
-        for bucket, version in (map(int, found.groups()) for f in files if (found := form.search(f))):
-            if before is None or version < before:
-                last[bucket] = max(version, last.get(bucket, version))
-        return last
-
-    def _read(self, versions: dict[int, int]) -> DataFrame:
-        paths = [f"{self.folder}/snap_bucket={b}/snap_version={v}" for b, v in sorted(versions.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        tagged = rows.withColumns({"snap_bucket": self._bucket(), "snap_version": F.lit(version)})
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snap_bucket", "snap_version").parquet(self.folder)
-
-    def merge(self, delta: DataFrame, version: int) -> None:
-        """Apply the delta to the versions before this one."""
-        touched = {r[0] for r in delta.select(self._bucket()).distinct().collect()}  # at most as many as buckets
-        if touched:
-            before = {b: v for b, v in self._last(version).items() if b in touched}
-            self.write(apply_delta(self._read(before), delta, self.key).select(*self.schema.names), version)
-
-    def read(self) -> DataFrame:
-        return self._read(self._last())
+def merge_into_log(spark: SparkSession, stream: DataFrame, stored: DataFrame, key: str, keep: int = 3) -> DataFrame:
+    """Merge every micro-batch into a log of runs by key, whose versions are named by the batches. Returns the last state."""
+    folder = shared_folder(spark)
+    log = DeltaLog(spark, f"{folder}/table", stored.schema, key)
+    log.merge(stored, 0)
 
+    def merge(batch: DataFrame, number: int) -> None:
+        log.merge(batch, number + 1)
+        log.clean(keep)
 
-def merge_into_snapshots(spark: SparkSession, stream: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Merge every micro-batch into a table by key, whose versions are named by the batches. Returns the last state."""
-    folder = shared_folder(spark)
-    snapshots = Snapshots(spark, f"{folder}/table", stored.schema, key)
-    snapshots.write(stored, 0)
-    merging = stream.writeStream.foreachBatch(lambda batch, number: snapshots.merge(batch, number + 1))
+    merging = stream.writeStream.foreachBatch(merge)
     merging.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return snapshots.read()
+    return log.read()
