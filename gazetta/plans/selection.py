@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import selection, vectors
-from ..operators import merge, relevance
+from ..operators import merge, relevance, vector_index
+from ..session import settle
 from ..sources.tables import read
 from .registry import query
 
@@ -107,3 +108,19 @@ def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = [float(x) for x in table.where("vec_id = 1").first()["embedding"]]  # one query vector
     hits = relevance.nearest(table, F.col("embedding"), F.array(*[F.lit(x) for x in target]), 50, "vec_id")
     return read(spark, sf_dir, "documents").join(hits, F.col("doc_id") == F.col("vec_id")).select("doc_id", "source", "score").orderBy(F.desc("score"), "doc_id")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v q JOIN v ON q.vec_id % 100 = 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM s)
+    SELECT query, id, score, place::INT AS place, true AS enough FROM k WHERE place <= 20""")
+def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks the index for 20, with as many lists as were measured to do and with all; the latter's exact hits, and
+    whether the former had nine of ten of them."""
+    table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = table.where("vec_id % 100 = 0")
+    index = vector_index.build(table, "vec_id", "embedding")
+    found = settle(index.search(asked, "vec_id", "embedding", 20, index.probes_for(20)))
+    exact = settle(index.search(asked, "vec_id", "embedding", 20, len(index.centroids)))
+    enough = vector_index.recall(found, exact) >= 0.9
+    return exact.withColumn("enough", F.lit(enough))
