@@ -19,11 +19,20 @@ def resized(a: Column, size: int) -> Column:
     return F.slice(F.concat(a.cast("array<double>"), F.array_repeat(F.lit(0.0), size)), 1, size)
 
 
+def grams(text: Column, low: int, high: int) -> Column:
+    """Runs of ``low`` to ``high`` characters of a text, the short ones first."""
+
+    def of_size(n: int) -> Column:
+        spots = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.substring(text, i, F.lit(n)))
+
+    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
+
+
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Runs of ``low`` to ``high`` characters of the text without white space."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")
-    spots = lambda n: F.when(F.length(plain) >= n, F.sequence(F.lit(1), F.length(plain) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.array(*[F.transform(spots(n), lambda i, n=n: F.substring(plain, i, F.lit(n))) for n in range(low, high + 1)]))
+    return F.transform(F.array(plain), lambda x: grams(x, low, high))[0]
 
 
 def hashed_vector(terms: Column, size: int = 256) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
-from ..operators import conversations, dedup, relevance
+from ..operators import conversations, dedup, relevance, text_vectors
 from ..session import settle
 from ..sources.tables import read
 from .registry import query
@@ -124,9 +124,15 @@ def char_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.size(vectors.char_grams(F.col("p_name"))).alias("grams"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT p_partkey, regexp_replace(lower(p_name), '\s\s+', ' ', 'g') AS t FROM part),
+    g AS (SELECT p_partkey, substr(t, i, n) AS gram FROM t, (SELECT unnest([2, 3, 4]) AS n), LATERAL (SELECT unnest(range(1, length(t) - n + 2)) AS i)),
+    c AS (SELECT p_partkey, gram, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT gram, sum(n) AS n, count(*) AS df FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 256),
+    w AS (SELECT p_partkey, gram, c.n * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)) + 1) AS w FROM c JOIN f USING (gram))
+    SELECT p_partkey, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)), 6) AS w FROM w""")
 def gram_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", vectors.hashed_vector(vectors.char_grams(F.col("p_name"), 2, 3), 32).alias("vector"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    model = text_vectors.fit(rows, "p_name")
+    return model.weights(rows, "p_partkey", "p_name").select(F.col("id").alias("p_partkey"), "gram", F.round("w", 6).alias("w"))
 
 
 @query("""WITH q AS (SELECT label, embedding AS q FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..operators import titles
 from ..sources.tables import read
 from .registry import query
@@ -29,3 +30,30 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.title_groups(_titled(spark, sf_dir), "page_id", "title", 0.3)
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM documents),
+    n AS (SELECT doc_id, term, count(*) AS n FROM w WHERE length(term) >= 2 GROUP BY ALL)
+    SELECT term, sum(n)::BIGINT AS n, count(*) AS documents, max(n) AS most FROM n GROUP BY term""")
+def plain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all texts by the tokeniser of titles: how often, in how many texts, how often in one."""
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(segment.plain_words(F.col("text"))).alias("term"))
+    counts = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"), F.max("n").alias("most"))
+
+
+#: Words of stand-in titles with their counts; some overlap others.
+_WORDS = {"道路": 90, "改造": 80, "园林": 60, "绿化": 60, "养护": 40, "路改": 2, "造园": 1, "林绿": 1, "化养": 1, "医院": 50, "设备": 70, "院设": 1, "购置费": 30}
+
+
+@query("""WITH t AS (SELECT p_partkey, regexp_extract_all(p_brand, '[A-Za-z0-9]+') || CASE p_partkey % 4 WHEN 0 THEN ['道路', '改造', '园林', '绿化', '养护'] WHEN 1 THEN ['医院', '设备', '招标', '采购', '购置费']
+              WHEN 2 THEN ['改造', '道路', '改造', '升级', '养护'] ELSE ['软件', '平台', '软件', '系统', '软件', '平台', '软件', '系统', '软件', '平台'] END || [p_size::VARCHAR] AS words FROM part)
+    SELECT p_partkey, array_to_string(list_filter(words, lambda w: length(w) >= 2), '|') AS words FROM t""")
+def segmented_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles cut into words by a dictionary, with the synonyms of what they say."""
+    k, said = F.col("p_partkey") % 4, F.when
+    core = said(k == 0, "道路改造园林绿化养护").when(k == 1, "医院设备，购置费").when(k == 2, "改造道路，升级养护").otherwise("系统；平台")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_brand"), F.lit("："), core, F.lit(" "), F.col("p_size").cast("string")).alias("title"))
+    extra = {"升级": 20, "采购": 20, "购置": 5, "系统": 30, "平台": 30, "软件": 20, "招标": 20}
+    dictionary = spark.createDataFrame(list((_WORDS | extra).items()), "word string, n int")
+    return segment.with_words(rows, "title", dictionary).select("p_partkey", F.array_join("words", "|").alias("words"))
