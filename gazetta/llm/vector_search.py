@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, shuffle_width
 
-#: Bits of a component's cell; queries that share one scan; approximations bounded at once.
-BITS, BLOCK, CHUNK = 5, 1024, 2048
+#: Bits of a component's cell; queries that share one scan; vectors of a part at least; approximations bounded at once.
+BITS, BLOCK, PART, CHUNK = 6, 1024, 16_384, 2048
 #: Positions that have cells of their own; later ones share them, so that the table of cells is bounded.
 POSITIONS = 4096
 #: Whole components from here on could take a score out of the range of a long.
@@ -28,15 +28,18 @@ def whole_vectors(rows: DataFrame, vector_col: str, scale: int) -> Column:
 def fit_cells(vectors: DataFrame, bits: int = BITS) -> np.ndarray:
     """[POSITIONS used, 2^bits + 1] borders: cell c of a position holds the whole numbers from border c up to border c + 1, less one.
 
-    Quantiles of all vectors, found by mergeable sketches per position; the outer borders are the least and the largest
-    value, so a cell always bounds its components. The table follows the number of positions, not of vectors.
+    Half of the inner borders are quantiles of all vectors, found by mergeable sketches per position, half cut the range evenly, so that
+    rare large components have narrow cells too. The outer borders are the least and the largest value, so a cell always
+    bounds its components. The table follows the number of positions, not of vectors.
     """
-    parts = [k / (1 << bits) for k in range(1, 1 << bits)]
+    half = 1 << (bits - 1)
+    parts = [k / half for k in range(1, half)]
     seen = vectors.select(F.posexplode("vec").alias("at", "x")).groupBy((F.col("at") % POSITIONS).alias("at"))
     found = seen.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.percentile_approx("x", parts, 1000).alias("inner")).collect()
     borders = np.zeros((max((r["at"] for r in found), default=0) + 1, (1 << bits) + 1), np.int64)
     for r in found:
-        borders[r["at"]] = np.array([r["low"], *np.clip(r["inner"], r["low"], r["high"]), r["high"] + 1])
+        even = np.linspace(r["low"], r["high"] + 1, half + 1)[:-1].round().astype(np.int64)
+        borders[r["at"]] = np.sort([*even, *np.clip(r["inner"], r["low"], r["high"]), r["high"], r["high"] + 1])
     return borders
 
 
@@ -100,11 +103,10 @@ class _Scan:
         codes = _unpacked(data, self.dims, self.bits) if self.dims else np.zeros((len(data), 0), np.int64)
         low, high = (x.astype(self.above.dtype) for x in _bounds(self.borders, codes))
         most, least = self.above @ high.T + self.below @ low.T, self.above @ low.T + self.below @ high.T
-        reach = most >= self.sure[:, -1:]
-        q, v = np.nonzero(reach)
-        self.found.append((q, np.array(nodes)[v], most[q, v], least[q, v]))
         merged = np.concatenate([self.sure, least], 1)
         self.sure = -np.sort(-np.partition(merged, merged.shape[1] - self.k, axis=1)[:, -self.k:], axis=1)
+        q, v = np.nonzero(most >= self.sure[:, -1:])
+        self.found.append((q, np.array(nodes)[v], most[q, v], least[q, v]))
 
     def result(self) -> pa.RecordBatch:
         parts = [np.concatenate(x) for x in zip(*self.found, strict=True)] if self.found else [np.empty(0, np.int64)] * 4
@@ -166,13 +168,14 @@ def candidates(vectors: DataFrame, queries: DataFrame, k: int, bits: int = BITS,
     """(query, node, most, least): for every query all vectors whose upper bound reaches the k-th largest lower bound, from
     (node, vec) of all vectors and of the queries.
 
-    Queries are dealt into blocks of about ``block``; each block meets the file of approximations part by part, in as many
-    cells as there are tasks. A cell streams its part past its queries and holds the k largest lower bounds of each.
+    Queries are dealt into blocks of about ``block``; each block meets the file of approximations part by part. A cell of block and
+    part streams the part past the queries and holds the k largest lower bounds of each. Parts are as many as give every
+    task four cells, so blocks that are many enough meet the file whole; each part costs k rows a query.
     """
     borders = fit_cells(vectors, bits)
-    n, width = queries.count(), shuffle_width(vectors.sparkSession)
+    n, all_vectors, width = queries.count(), vectors.count(), shuffle_width(vectors.sparkSession)
     blocks = max(1, -(-n // block))
-    parts = max(1, -(-2 * width // blocks))
+    parts = max(1, min(-(-all_vectors // PART), -(-4 * width // blocks)))
     deal = lambda count: F.pmod(F.xxhash64("node"), F.lit(count)).cast("int")
     file = settle(approximate(vectors, borders, bits))
     none = F.lit(None)
