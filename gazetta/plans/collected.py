@@ -10,7 +10,7 @@ from ..functions import award_text, certificates, notice_text, overview
 from ..functions.text import strip_markup
 from ..sources import json_pages
 from ..sources.tables import read
-from ..streaming import flows
+from ..streaming import collectors, flows
 from .registry import query
 
 
@@ -140,3 +140,37 @@ def stream_collector_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = flows.timed(flows.table_stream(spark, sf_dir, "events"))
     return flows.drained(spark, flows.watchdog(events, "user_id", 9_000, quiet=(2, 7)))
+
+
+_STATES = """
+    WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'failed' ELSE 'ok' END AS kind, event_type AS source FROM events),
+         l AS (SELECT *, count(*) FILTER (WHERE kind = 'start') OVER w AS life, lead(us) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+         i AS (SELECT *, count(*) FILTER (WHERE kind = 'ok') OVER w AS island, count(*) FILTER (WHERE kind = 'ok') OVER w AS ok, count(*) FILTER (WHERE kind = 'failed') OVER w AS fail,
+                   CASE WHEN max((source = 'click')::INT) OVER w = 1 THEN 1 ELSE 0 END + CASE WHEN max((source = 'view')::INT) OVER w = 1 THEN 1 ELSE 0 END
+                   + CASE WHEN max((source = 'purchase')::INT) OVER w = 1 THEN 1 ELSE 0 END + CASE WHEN max((source = 'error')::INT) OVER w = 1 THEN 1 ELSE 0 END AS sources
+               FROM l WINDOW w AS (PARTITION BY user_id, life ORDER BY us, event_id)),
+         f AS (SELECT *, count(*) FILTER (WHERE kind = 'failed') OVER (PARTITION BY user_id, life, island ORDER BY us, event_id) AS failures FROM i),
+         now AS (SELECT (epoch_ms(max(ts)) - 600000) AS ms FROM events)
+    SELECT user_id, us AS at_us, CASE WHEN failures >= 3 THEN 'degraded' ELSE 'ok' END AS status, failures::INT AS failures, ok::INT AS total_ok, fail::INT AS total_fail, sources::INT AS sources FROM f
+    UNION ALL SELECT user_id, us + 72000000000, 'idle', 0, 0, 0, 0 FROM l, now WHERE kind = 'start' AND coalesce(next > us + 72000000000, (us + 72000000000) // 1000 + 1 <= ms)"""
+
+
+def _collector(events: DataFrame) -> dict:
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "failed").otherwise("ok")
+    return {"key": "user_id", "kind": kind, "source": F.col("event_type"), "idle": 72_000}
+
+
+@query(_STATES)
+def stream_collector_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collectors that start, run, fail, fall idle and recover, as a state machine with timers; twenty hours without a run are idle."""
+    events = flows.timed(flows.table_stream(spark, sf_dir, "events"))
+    with collectors.timers_kept(spark):
+        return flows.drained(spark, collectors.collector_states(events, **_collector(events)))
+
+
+@query(_STATES)
+def collector_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the whole log by windows."""
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.unix_micros(F.max("ts")).alias("last")).first()["last"] or 0
+    return collectors.states_of_log(events, now_us=F.lit(last - 600_000_000), **_collector(events))
