@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import award_text, certificates, notice_text, overview
 from ..functions.text import strip_markup
-from ..sources import json_pages
+from ..sources import html_pages, json_pages
 from ..sources.tables import read
 from ..streaming import collectors, flows
 from .registry import query
@@ -47,10 +47,47 @@ def publish_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("o_orderkey", F.date_format(notice_text.publish_date(text), "yyyy-MM-dd").alias("day"))
 
 
-@query("""SELECT page_id, count(*) AS n FROM pages WHERE contains(html, '<div class="ad">') GROUP BY 1""")
+@query(r"""SELECT page_id, (page_id % 4 + 1) * len(regexp_extract_all(html, '<div class="ad">')) AS n, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS said FROM pages WHERE contains(html, '<div class="ad">')""")
 def page_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").where(notice_text.div_text(F.col("html"), "ad") != "")
-    return pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    """Advertisements of pages that stand one to four times behind each other: how many, and the text of the last."""
+    pages = read(spark, sf_dir, "pages").select("page_id", html_pages.tree(F.expr("repeat(html, cast(page_id % 4 + 1 as int))")).alias("t"))
+    ads = pages.select("page_id", "t", html_pages.select(F.col("t"), "div", "ad").alias("ads")).where(F.size("ads") > 0)
+    return ads.select("page_id", F.size("ads").cast("bigint").alias("n"), html_pages.said(F.col("t"), F.element_at("ads", -1)).alias("said"))
+
+
+@query(r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>|<!--.*?-->', '', 'g'), '<([a-z0-9]+)[^>]*>', 1)) AS tag FROM pages)
+    SELECT page_id, tag, count(*) AS n FROM e WHERE tag NOT IN ('script', 'style') GROUP BY ALL""")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of whole pages by tag."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.explode(html_pages.tree("html")["nodes"]).alias("n"))
+    return pages.where(~F.col("n.tag").isin("script", "style")).groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS titles FROM pages),
+    l AS (SELECT page_id, origin, unnest(hrefs) AS href, unnest(titles) AS title, generate_subscripts(hrefs, 1) AS place FROM p),
+    f AS (SELECT * FROM l WHERE length(title) > 3 AND (contains(title, 'th') OR contains(lower(href), 'en')) AND NOT contains(lower(href), 'ion') QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY place) = 1)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) AS place, title, origin || href AS url FROM f""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages that words of their titles or targets recommend, in order, each target once."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", html_pages.tree("html").alias("t"))
+    found = html_pages.keyword_links(F.col("t"), F.col("url"), ("th",), ("en",), ("ion",), least=3)
+    return pages.select("page_id", F.posexplode(found).alias("at", "x")).select("page_id", (F.col("at") + 1).cast("bigint").alias("place"), "x.title", "x.url")
+
+
+@query("""SELECT o_orderkey // 40 AS page, '项目' || o_orderkey AS title, CASE WHEN o_orderkey % 3 = 1 THEN '/a/' || strftime(o_orderdate, '%Y%m%d') || '/' || o_orderkey || '.html' ELSE '/doc?id=' || o_orderkey || '&x=1' END AS href,
+       CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders WHERE o_orderkey % 7 <> 0""")
+def notice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages of notices, composed with entities, separators and tags left open, read back as rows."""
+    k, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    day = F.to_date("o_orderdate")
+    href = F.when(k == 1, F.concat(F.lit("/a/"), F.date_format(day, "yyyyMMdd"), F.lit("/"), key, F.lit(".html"))).otherwise(F.concat(F.lit("/doc?id="), key, F.lit("&amp;x=1")))
+    shown = F.when(k == 0, F.concat(F.lit('<span class="date">'), F.date_format(day, "yyyy-MM-dd"), F.lit("</span>"))).when(k == 1, '<span class="date">近日</span>').otherwise("<span>无")
+    entry = F.concat(F.when(F.col("o_orderkey") % 7 == 0, '<li class="line">').otherwise("<li>"), F.lit('<i><a title="a>b" href="'), href, F.lit('"> 项目<b>'), key, F.lit("</b></a>"), shown, F.lit("</li>"))
+    rows = read(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 40).alias("page"), "o_orderkey", entry.alias("entry"))
+    pages = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "entry"))), lambda x: x["entry"]), "\n").alias("entries"))
+    html = F.concat(F.lit('<div><ul><li><a href="/">首页</a></li></ul></p><ul class="ul-news">'), "entries", F.lit("</ul></div><footer>"))
+    found = pages.select("page", html_pages.tree(html).alias("t")).select("page", F.explode(html_pages.list_rows(F.col("t"), "ul-news")).alias("x"))
+    return found.select("page", "x.title", "x.href", F.date_format("x.day", "yyyy-MM-dd").alias("day"))
 
 
 @query("""SELECT p_partkey, '项目名称：' || p_name || ' 内容' AS text FROM part""")
