@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SIZE, POSITIONS, SPAN = 16, 3, 16
 BATCH, CLASS_NOISE, WORD_NOISE, LEARN = 4096, 32, 6, 0.1
 #: Tokens of a shard, and the sixteenths of its documents after which the shards' models are averaged.
 SHARD, ROUNDS = 4_000_000, (1, 4, 16)
+#: Vectors that one task adds at most for each of their parts.
+FAN = 64
 #: The token that ends each document.
 END = np.uint64(0xE0D0_F0D0_C0DE_0001)
 _HELD, _PART, _CHUNK = 1_000_000, 1 << 14, 1 << 16
@@ -179,25 +182,44 @@ def _parts(vector: np.ndarray, owner: int, weight: float) -> pa.RecordBatch:
 _PARTS = "part int, owner bigint, w double, v binary"
 
 
-def summed(parts: DataFrame, kind: str) -> np.ndarray | None:
-    """Weighted mean of vectors that came as rows of _PARTS (``kind``: type of a value), always in order of their owners. The
-    vectors are added where their parts meet; one vector reaches the driver. None without rows."""
+def summed(parts: DataFrame, kind: str, owners: int, fan: int = FAN) -> np.ndarray | None:
+    """Weighted mean of vectors that came as rows of _PARTS (``kind``: type of a value) from owners 0 to ``owners`` - 1, always in order
+    of their owners. None without rows.
 
-    def add(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in stream:
-            for part, w, v in zip(*[batch.column(c).to_pylist() for c in ("part", "w", "v")], strict=True):
-                value = np.frombuffer(v, kind).astype(np.float64) * w
-                held = sums.setdefault(part, [0.0, np.zeros(len(value))])
-                held[0] += w
-                held[1] += value
-        for part, (w, v) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array([w]), pa.array([v.tobytes()], pa.binary())], ["part", "owner", "w", "v"])
-
-    rows = parts.repartition("part").sortWithinPartitions("part", "owner").mapInArrow(add, _PARTS).toPandas().sort_values("part")
+    Vectors are added in levels, ``fan`` owners of neighbouring numbers at a time, where the parts of these owners meet; so the rows of a
+    key don't grow with the number of owners, and one vector reaches the driver.
+    """
+
+    def add(first: bool):
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total, sums = None, 0.0, None
+            for batch in stream:
+                for part, group, w, v in zip(*[batch.column(c).to_pylist() for c in ("part", "group", "w", "v")], strict=True):
+                    if now != (part, group):
+                        if now:
+                            yield _row(*now, total, sums)
+                        now, total, sums = (part, group), 0.0, 0.0
+                    value = np.frombuffer(v, kind).astype(np.float64) * w if first else np.frombuffer(v)
+                    total, sums = total + w, sums + value
+            if now:
+                yield _row(*now, total, sums)
+
+        return run
+
+    level = 0
+    while level == 0 or owners > 1:
+        grouped = parts.withColumn("group", F.floor(F.col("owner") / fan).cast("bigint"))
+        key = ["part", "group"]
+        parts = grouped.repartition(*key).sortWithinPartitions(*key, "owner").mapInArrow(add(level == 0), _PARTS)
+        owners, level = -(-owners // fan), level + 1
+    rows = parts.toPandas().sort_values("part")
     return np.concatenate([np.frombuffer(v) / w for v, w in zip(rows["v"], rows["w"], strict=True)]) if len(rows) else None
 
 
+def _row(part: int, owner: int, weight: float, vector: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([owner], pa.int64()), pa.array([weight]), pa.array([vector.tobytes()], pa.binary())], ["part", "owner", "w", "v"])
+
+
 def company(encoded: DataFrame, words: int) -> np.ndarray:
     """How often each of the first COMPANY words stands right before and right after each word, as a matrix of a row a word;
     all cells divided by one number."""
@@ -215,9 +237,10 @@ def company(encoded: DataFrame, words: int) -> np.ndarray:
                 code, n = np.unique(word[fit] * 2 * COMPANY + shift + near[fit], return_counts=True)
                 cells[code] += n
         if cells.any():
-            yield _parts(cells.astype(np.int32), 0, 1.0)
+            yield _parts(cells.astype(np.int32), TaskContext.get().partitionId(), 1.0)
 
-    found = summed(encoded.select("_units").mapInArrow(count, _PARTS), "i4")
+    told = encoded.select("_units")
+    found = summed(told.mapInArrow(count, _PARTS), "i4", told.rdd.getNumPartitions())
     return np.zeros((words, 2 * COMPANY)) if found is None else found.reshape(words, 2 * COMPANY)
 
 
@@ -451,19 +474,19 @@ def _by_shard(model_of: Callable[[], LogBilinear], seed: int):
     return fit
 
 
-def train(encoded: DataFrame, key: Column, corpus: Corpus) -> LogBilinear:
-    """Rounds over the encoded training documents: every shard trains on its next part from the mean of all shards' models, which
-    is weighted by positions. Every document is in one round."""
+def train(encoded: DataFrame, key: Column, corpus: Corpus, shard: int = SHARD, fan: int = FAN) -> LogBilinear:
+    """Rounds over the encoded training documents: every shard of about ``shard`` tokens trains on its next part from the mean of all
+    shards' models, which is weighted by positions. Every document is in one round."""
     spark = ship(encoded.sparkSession)
     order, at = classes_of(company(encoded, corpus.words), corpus.unit_total[: corpus.words])
     model = LogBilinear(corpus.unit_total, order, at)
-    shards = max(1, -(-corpus.total // SHARD))
+    shards = max(1, -(-corpus.total // shard))
     rows = encoded.select(F.xxhash64(key, "_units").alias("key"), "_units")
     rows = rows.select(F.pmod("key", F.lit(shards)).alias("shard"), F.pmod(F.shiftright("key", 40), F.lit(ROUNDS[-1])).alias("turn"), "key", "_units")
     for number, (low, high) in enumerate(zip((0, *ROUNDS[:-1]), ROUNDS, strict=True)):
         shared = spark.sparkContext.broadcast(model)
         mine = rows.where((F.col("turn") >= low) & (F.col("turn") < high)).repartition("shard").sortWithinPartitions("shard", "key")
-        found = summed(mine.select("shard", "_units").mapInArrow(_by_shard(_copier(shared), number), _PARTS), "f4")
+        found = summed(mine.select("shard", "_units").mapInArrow(_by_shard(_copier(shared), number), _PARTS), "f4", shards, fan)
         if found is not None:
             model = model.load(found)
     return model
@@ -520,7 +543,7 @@ def score_texts(encoded: DataFrame, counts: DataFrame, corpus: Corpus, model: Lo
     )
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, shard: int = SHARD, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learned from the rows not held out.
 
     Null texts count as empty and have one token, the end. Repeated rows count as often as they occur. Scores are log10 of
@@ -531,5 +554,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = settle(count_tokens(rows.where(~F.col("held_out"))))
     corpus = corpus_of(counts)
     encoded = settle(encode(rows, corpus))
-    model = train(encoded.where(~F.col("held_out")), F.col("doc_id"), corpus)
+    model = train(encoded.where(~F.col("held_out")), F.col("doc_id"), corpus, shard, fan)
     return score_texts(encoded, counts, corpus, model)

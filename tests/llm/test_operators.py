@@ -582,3 +582,24 @@ def test_language_model_beats_its_base_whatever_the_layout(spark, sf_dir):
     assert all(abs(one[i].score - many[i].score) <= 1e-6 * abs(one[i].score) and one[i].base_score == pytest.approx(many[i].base_score, rel=1e-12) for i in one)
     held = [r for r in one.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 100
+
+
+def test_models_of_many_shards_are_added_in_levels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    total = language_model.score_documents(docs).first().train_tokens
+    shard = -(-total // 8)  # eight shards
+    some = [{r.doc_id: r for r in language_model.score_documents(docs.repartition(n), shard=shard, fan=fan).collect()} for n, fan in ((1, 64), (6, 2), (3, 3))]
+    for other in some[1:]:
+        assert all(abs(some[0][i].score - r.score) < 1e-6 * abs(r.score) and some[0][i].base_score == pytest.approx(r.base_score) for i, r in other.items())
+    held = [r for r in some[0].values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+@pytest.mark.parametrize("fan", (2, 5, 64))
+def test_sums_of_vectors_in_levels(spark, fan):
+    rng = np.random.default_rng(fan)
+    vectors, weights = rng.standard_normal((37, 20_000)).astype(np.float32), rng.random(37)
+    rows = [(p, o, float(weights[o]), v[i : i + language_model._PART].tobytes()) for o, v in enumerate(vectors) for p, i in enumerate(range(0, 20_000, language_model._PART))]
+    table = spark.createDataFrame(rows, language_model._PARTS).repartition(5)
+    assert np.allclose(language_model.summed(table, "f4", 37, fan), np.average(vectors.astype(float), 0, weights), atol=1e-12)
+    assert language_model.summed(table.where("false"), "f4", 37, fan) is None
