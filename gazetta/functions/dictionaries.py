@@ -61,3 +61,23 @@ PROJECT_TYPES = [
         ("纯维修", "仅维修", "零星维修", "应急维修"),
     ),
 ]
+
+#: Classes of titles and their words (fixed values); the first class with a word in the title counts.
+TITLE_CLASSES = {
+    "result_notice": (
+        "中标候选人公示表", "中标候选人公示", "成交结果公示", "成交结果公告", "谈判结果公示", "中选人确认公示表", "中选结果公示", "结果公示表", "结果公告", "结果公示", "成交结果确认公告", "中标结果公示", "成交候选人公示", "成交候选人公示表",
+        "中选候选人公示", "中选人公示", "中选人公告", "拟中选候选人公示", "询价结果公示", "直接采购结果公示", "中选人确认公示", "成交候选人公告",
+    ),
+    "purchase_notice": (
+        "采购公告", "询价公告", "采购邀请函", "竞争性谈判公告", "竞争谈判公告", "公开招标公告", "直接采购邀请", "招标公告", "询比公告", "谈判邀请", "邀请书", "单一来源",
+    ),
+    "change_notice": (
+        "变更公告", "暂停招投标活动的公告", "变更公示", "变更补遗", "澄清补遗", "澄清说明", "更正公告", "澄清公告", "终止公告", "补遗", "补充通知", "澄清",
+    ),
+    "failed_notice": (
+        "流标公示", "流标公示表", "流标公告",
+    ),
+    "rental_notice": (
+        "招租公告", "招租结果公示", "拍卖公告",
+    ),
+}

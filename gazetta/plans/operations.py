@@ -62,13 +62,6 @@ def expiry_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("category").agg(F.count_if(left < 0).alias("expired"), F.count_if(left.between(0, 7)).alias("week"), F.count_if(left.between(0, 30)).alias("month"))
 
 
-@query("""WITH e AS (SELECT user_id, event_type, ts, event_id FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00')
-    SELECT user_id, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, arg_max(event_id, epoch_us(ts)::HUGEINT * 100000 + event_id) AS latest FROM e WHERE user_id % 10 <> 0 GROUP BY 1""")
-def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where((F.col("ts") > F.lit("2024-01-30").cast("timestamp_ntz")) & (F.col("user_id") % 10 != 0))
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
-
-
 @query("""WITH q AS (SELECT doc_id, least(100, n_chars / 50.0) AS score FROM documents)
     SELECT CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS grade, count(*) AS n, round(avg(score) + 1e-9, 4) AS mean FROM q GROUP BY 1""")
 def quality_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
