@@ -238,7 +238,7 @@ def certificate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", *[F.col(f"f.{n}") for n in names])
 
 
-_STEPS = (("vector", 0, "stold widlt"), ("terms", 1_000_000, "stold widlt"), ("words", 1_000_000, "ld wid"))
+_STEPS = (("vector", 0, "steel bolt"), ("terms", 1_000_000, "steel bolt"), ("words", 1_000_000, "ld wid"))
 
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 3), v AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS best FROM embeddings, q ORDER BY best DESC, vec_id LIMIT 50),
