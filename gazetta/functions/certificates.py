@@ -61,7 +61,7 @@ def fields(text: Column) -> Column:
     holder = F.coalesce(*[F.when(~F.coalesce(_first(text, p), F.lit("0")).rlike(r"\d"), _first(text, p)) for p in HOLDERS])
     number = _first(text, *NUMBERS)
     credit = _first(text, r"(?<![0-9A-Za-z])([0-9A-Z]{18})(?![0-9A-Za-z])")
-    names = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[^\n：:]{0,20}名称\s*[：:]\s*([^\n]{3,50})"), 1), F.trim)
+    names = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[^\n：:]{0,20}名称\s*[：:]\s*([^\n]{3,50})"), 1), lambda x: F.trim(x))
     longest = F.get(F.array_sort(F.transform(names, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("name")))), F.lit(0))["name"]
     end = lambda c: F.regexp_replace(c, "[。,，]+$", "")
     return F.struct(

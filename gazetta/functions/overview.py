@@ -66,7 +66,7 @@ def field(content: Column, mark: str, patterns: tuple[str, ...], most: int) -> C
 
 def lines_with(content: Column, words: tuple[str, ...], most: int) -> Column:
     """The first lines of five characters or more that contain one of the words."""
-    kept = F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: (F.length(x) >= 5) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w)))
+    kept = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 5) & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w)))
     return F.slice(F.transform(kept, _clean), 1, most)
 
 

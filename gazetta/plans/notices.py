@@ -231,11 +231,20 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query()
+_SPACES = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
+    q AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '{_SPACES}', ' ', 'g'), ' ') AS text FROM p)
+    SELECT page_id, text, left(concat_ws(' | ', nullif(url, ''), nullif(left(text, 500), '')), 2000) AS for_vector FROM q""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"), text.vector_text(F.col("url"), body=text.strip_markup(F.col("html"))).alias("for_vector"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？\n]'), lambda x: trim(x, ' ')), lambda x: length(x) >= 10) AS cut FROM documents),
+    u AS (SELECT doc_id, unnest(cut) AS said, generate_subscripts(cut, 1) - 1 AS i FROM s),
+    r AS (SELECT doc_id, said, i, CASE WHEN i < 3 THEN 3 - i ELSE 0 END + 2 * (contains(lower(said), 'licensed')::INT + contains(lower(said), 'copyright')::INT + contains(lower(said), 'version')::INT) + (length(said) BETWEEN 20 AND 100)::INT + regexp_matches(said, '[0-9]')::INT AS score FROM u),
+    b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) <= 3), j AS (SELECT doc_id, string_agg(said, '. ' ORDER BY i) AS summary FROM b GROUP BY 1)
+    SELECT s.doc_id, coalesce(summary, '') AS summary FROM s LEFT JOIN j ON j.doc_id = s.doc_id""")
 def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.best_sentences(F.col("text"), ("licensed", "copyright", "version")).alias("summary"))
