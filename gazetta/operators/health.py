@@ -86,6 +86,19 @@ def recent(log: DataFrame, order: list[str], rows: int) -> DataFrame:
     return cut.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("source")))
 
 
+def latest(log: DataFrame, order: list[str]) -> DataFrame:
+    """(source, held, rate_short, rate_long, mean_response, variation, trend, failures): what ``rolling`` says of the newest row of each source, where
+    ``held`` and ``failures`` count up to LONG rows. Only the last LONG rows of a source leave a task, nothing is written or numbered."""
+    cut = recent(log, order, LONG)
+    ok = F.col("ok").cast("double")
+    told = cut.groupBy("source").agg(
+        F.max("held").alias("held"), F.avg(F.when(F.col("place") <= SHORT, ok)).alias("rate_short"), F.avg(ok).alias("rate_long"), F.avg("response").alias("mean_response"),
+        F.coalesce(F.try_divide(F.stddev_pop("response"), F.avg("response")), F.lit(0.0)).alias("variation"), F.min(F.when(F.col("ok"), F.col("place"))).alias("_good"),
+    )
+    trend = F.when(F.col("held") >= SHORT, F.col("rate_long") - F.col("rate_short")).otherwise(0.0)
+    return told.withColumns({"trend": trend, "failures": F.coalesce(F.col("_good") - 1, F.col("held"))}).drop("_good")
+
+
 def half_trend(log: DataFrame, value: Column, order: list[str], rows: int = 40) -> DataFrame:
     """(source, trend): relative change from the older to the newer half of the last rows; 0 under ten rows."""
     cut = recent(log, order, rows)

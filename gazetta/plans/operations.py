@@ -99,8 +99,7 @@ def task_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
        CASE WHEN failures >= 3 THEN 3600 WHEN rate_long >= 0.95 THEN 300 WHEN rate_long >= 0.8 THEN 600 WHEN rate_long >= 0.5 THEN 1200 ELSE 1800 END AS seconds,
        round(greatest(0.5, least(60, mean_response * (1 + coalesce(deviation / nullif(mean_response, 0), 0)) * CASE WHEN 1 - rate_short > 0.1 THEN 1 + 5 * (1 - rate_short) ELSE 1 END)), 6) AS pause FROM r WHERE place = 1""")
 def collection_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("us"), F.desc("event_id")))
-    last = health.rolling(log(spark, sf_dir), ["us", "event_id"]).withColumn("place", newest).where("place = 1")
+    last = health.latest(log(spark, sf_dir), ["us", "event_id"])
     tier = scheduling.interval_tier(F.col("rate_long"), F.col("failures"))
     pause = health.adaptive_interval(F.col("mean_response"), F.col("variation"), 1 - F.col("rate_short"))
     return last.select("source", tier["mode"].alias("mode"), tier["seconds"].alias("seconds"), F.round(pause, 6).alias("pause"))

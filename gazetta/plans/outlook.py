@@ -21,8 +21,7 @@ from .timeseries import _ORDER, _SCORED, log
            CASE WHEN p >= 0.8 THEN '立即暂停采集，进入恢复冷却期（15-30min）' WHEN p >= 0.6 THEN '大幅降低采集频率，切换备用站点或代理' WHEN p >= 0.3 THEN '适度降低采集密度，密切监控指标变化' WHEN health >= 0.7 THEN '正常运行，保持当前采集节奏' ELSE '站点尚未完全恢复，保持观察' END AS advice FROM g""")
 def risk_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    parts = ("rate_long", "rate_short", "trend", "failures", "variation")
-    latest = health.rolling(rows, _ORDER).groupBy("source").agg(F.max_by(F.struct(*parts), "n").alias("x"), F.max("n").alias("held")).select("source", "held", "x.*")
+    latest = health.latest(rows, _ORDER)
     rise = health.half_trend(rows, F.col("response"), _ORDER).withColumnRenamed("trend", "rise")
     joined = latest.join(rise, "source").join(health.recent_bans(rows, ~F.col("ok") & (F.col("response") > 20)), "source")
     ban = health.ban_probability(F.col("failures"), F.col("rate_short"), F.col("trend"), F.col("variation"))

@@ -72,10 +72,8 @@ _SCORED = _ROLLING + """, l AS (SELECT r.*, coalesce(deviation / nullif(mean_res
        (CASE WHEN ban >= 0.8 THEN least(600, 100 * 10) WHEN ban >= 0.6 THEN least(300, 100 * 3) WHEN ban >= 0.3 THEN 100 * 1.5 ELSE 100 END)::DOUBLE AS interval_s FROM s""")
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log(spark, sf_dir)
-    parts = ("rate_long", "rate_short", "trend", "failures", "variation")
-    latest = health.rolling(rows, _ORDER).groupBy("source").agg(F.max_by(F.struct(*parts), "n").alias("x")).select("source", "x.*")
     # A failure with a slow response stands for a ban.
-    joined = latest.join(health.recent_bans(rows, ~F.col("ok") & (F.col("response") > 20)), "source")
+    joined = health.latest(rows, _ORDER).join(health.recent_bans(rows, ~F.col("ok") & (F.col("response") > 20)), "source")
     ban = health.ban_probability(F.col("failures"), F.col("rate_short"), F.col("trend"), F.col("variation"))
     scored = joined.select("source", health.health_score(F.col("rate_long"), F.col("variation"), F.col("trend"), F.col("failures"), F.col("bans")).alias("health"), ban.alias("ban"))
     level = health.risk_level(F.col("ban"))

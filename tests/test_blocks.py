@@ -64,3 +64,18 @@ def test_empty_log(events):
     nothing = events[1].where("false")
     assert health.rolling(nothing, ["us", "event_id"]).count() == 0
     assert health.sustained(nothing, F.col("ok"), "us", 5).count() == 0
+
+
+def test_latest_is_the_newest_row_of_the_rolling_statistics(spark):
+    from pyspark.sql import functions as F
+
+    from gazetta.operators import health
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("source"), F.col("id").alias("us"), (F.xxhash64("id") % 5 != 0).alias("ok"), (F.abs(F.xxhash64("id")) % 90).cast("double").alias("response"))
+    rows = rows.unionByName(spark.createDataFrame([(9, i, i < 2, 1.0) for i in range(7)] + [(8, 1, False, None)], rows.schema))
+    columns = ("rate_short", "rate_long", "mean_response", "variation", "trend", "failures")
+    whole = {r.source: r.x for r in health.rolling(rows, ["us"]).groupBy("source").agg(F.max_by(F.struct(*columns), "n").alias("x")).collect()}
+    quick = {r.source: r for r in health.latest(rows, ["us"]).collect()}
+    assert set(whole) == set(quick) == {None, 1, 2, 8, 9} and quick[1].held == 500 and quick[9].held == 7
+    for source, r in quick.items():
+        assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in ((r[c], whole[source][c]) for c in columns))
