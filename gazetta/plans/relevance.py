@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, vectors
-from ..operators import conversations, dedup, relevance, text_vectors
+from ..operators import conversations, dedup, relevance, set_search, text_vectors
 from ..session import settle
 from ..sources.tables import read
 from .registry import query
@@ -90,17 +90,13 @@ def tfidf_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.top_similar(w, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id")), 5)
 
 
-@query("""WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS k FROM part)
-    SELECT a.p_partkey AS query, b.p_partkey, round(len(list_intersect(a.k, b.k)) / len(list_distinct(a.k || b.k))::DOUBLE, 6) AS similarity
-    FROM p a JOIN p b ON a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey WHERE len(list_intersect(a.k, b.k)) >= 2""")
+@query("""WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS k FROM part),
+    s AS (SELECT a.p_partkey AS query, b.p_partkey AS id, round(len(list_intersect(a.k, b.k)) / len(list_distinct(a.k || b.k))::DOUBLE, 6) AS similarity FROM p a JOIN p b ON a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey WHERE len(list_intersect(a.k, b.k)) > 0)
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id)::INT AS place FROM s QUALIFY place <= 20""")
 def jaccard_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("k"))
-    words = parts.select("p_partkey", F.explode("k").alias("word"))
-    q = words.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query"), "word")
-    shared = words.join(q, "word").where("query <> p_partkey").groupBy("query", "p_partkey").agg(F.count(F.lit(1)).alias("both")).where("both >= 2")
-    size = parts.select("p_partkey", F.size("k").alias("n"))
-    sized = shared.join(size, "p_partkey").join(size.select(F.col("p_partkey").alias("query"), F.col("n").alias("m")), "query")
-    return sized.select("query", "p_partkey", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("similarity"))
+    """The twenty parts whose words are most like those of every hundredth part."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    return set_search.similar_sets(read(spark, sf_dir, "part"), "p_partkey", words, F.col("p_partkey") % 100 == 0, 20)
 
 
 @query("""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, q)
