@@ -34,12 +34,12 @@ def risk_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDERS = {"day_desc": ("day", True), "day_asc": ("day", False), "price_desc": ("price", True)}
 
 
-@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS day, o_totalprice AS price FROM orders WHERE o_orderpriority = '1-URGENT'),
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS day, o_totalprice AS price FROM orders),
     a AS (SELECT 'day_asc' AS asked, o_orderkey FROM o ORDER BY day ASC NULLS LAST, o_orderkey DESC LIMIT 20 OFFSET 20), b AS (SELECT 'price_desc', o_orderkey FROM o ORDER BY price DESC NULLS LAST, o_orderkey DESC LIMIT 20 OFFSET 20),
     c AS (SELECT 'unknown', o_orderkey FROM o ORDER BY day DESC NULLS LAST, o_orderkey DESC LIMIT 20 OFFSET 20) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def sorted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate"))
-    rows = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", day.alias("day"), F.col("o_totalprice").alias("price"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), F.col("o_totalprice").alias("price"))
     a, b, c = (ranking.ordered_page(rows, _ORDERS, asked, "o_orderkey", 2, 20).select(F.lit(asked).alias("asked"), "o_orderkey") for asked in ("day_asc", "price_desc", "unknown"))
     return a.unionByName(b).unionByName(c)
 

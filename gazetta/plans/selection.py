@@ -83,12 +83,12 @@ def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("p_partkey"), F.array_join("matched", "|").alias("matched"), "best")
 
 
-@query("""WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0), u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: -x) AS e FROM embeddings WHERE vec_id % 3 = 0),
+@query("""WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0), u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: -x) AS e FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 2 = 1),
     m AS (SELECT * FROM u UNION ALL SELECT * FROM s WHERE vec_id NOT IN (SELECT vec_id FROM u)), k AS (SELECT * FROM m WHERE vec_id % 10 <> 4)
     SELECT label, count(*) AS n, round(sum(e[1]), 4) AS first FROM k GROUP BY 1""")
 def vector_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    incoming = table.where("vec_id % 3 = 0").withColumn("e", F.transform("e", lambda x: -x))
+    incoming = table.where("vec_id % 3 = 0 OR vec_id % 2 = 1").withColumn("e", F.transform("e", lambda x: -x))
     gone = table.where("vec_id % 10 = 4").select("vec_id")
     now = merge.without(merge.apply_delta(table.where("vec_id % 2 = 0"), incoming, "vec_id"), gone, "vec_id")
     return now.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("e")[0]), 4).alias("first"))
