@@ -378,7 +378,7 @@ class LogBilinear:
             # Classes: the own one against shared noise.
             noise = np.minimum(np.searchsorted(self.class_edges, rng.random(CLASS_NOISE)), len(self.class_share) - 1)
             q, qn = p["class"][kind], p["class"][noise]
-            gd = _sigmoid((h * q).sum(1) + p["class_bias"][kind] - log_class[kind]) - 1
+            gd = _sigmoid(np.einsum("bd,bd->b", h, q) + p["class_bias"][kind] - log_class[kind]) - 1
             gf = _sigmoid(h @ qn.T + (p["class_bias"][noise] - log_class[noise]))
             dh = gd[:, None] * q + gf @ qn
             cut = _groups(kind)
@@ -391,7 +391,7 @@ class LogBilinear:
                 hw, kw, ow = h[:words], kind[:words], own[:words]
                 noisy = np.minimum(np.searchsorted(self.word_edges, np.arange(classes)[:, None] + rng.random((classes, WORD_NOISE))), self.at[1:, None] - 1)
                 qw, qk = p["word"][ow], p["word"][noisy][kw]
-                wd = _sigmoid((hw * qw).sum(1) + p["word_bias"][ow] - log_word[ow]) - 1
+                wd = _sigmoid(np.einsum("bd,bd->b", hw, qw) + p["word_bias"][ow] - log_word[ow]) - 1
                 wf = _sigmoid(np.einsum("bd,bkd->bk", hw, qk) + (p["word_bias"][noisy] - log_word[noisy])[kw])
                 dh[:words] += wd[:, None] * qw + np.einsum("bk,bkd->bd", wf, qk)
                 cut, cut_class = _groups(ow), _groups(kw)
@@ -416,7 +416,7 @@ class LogBilinear:
         """Gradients of the context vectors: what stands at each position is summed first, then by slot."""
         w, pos, m = self.p["weights"], c["pos"], len(c["ids"])
         g, gw = np.zeros((m + 1, SIZE), np.float32), np.zeros((POSITIONS + 1, SIZE), np.float32)
-        gw[POSITIONS] = (dh * c["far"]).sum(0)
+        gw[POSITIONS] = np.einsum("bd,bd->d", dh, c["far"])
         share = dh * w[POSITIONS] / c["length"]
         share[c["far_from"] == pos] = 0
         cut = _groups(c["far_from"])
@@ -426,9 +426,12 @@ class LogBilinear:
         g[m] = 0
         for k, (vector, ok) in enumerate(c["near"]):
             d = dh * w[k]
-            gw[k] = (dh * vector).sum(0)
+            gw[k] = np.einsum("bd,bd->d", dh, vector)
             g[m] += d[~ok].sum(0)
-            g[pos[ok] - k - 1] += d[ok]
+            if ok.all():  # distinct positions side by side
+                g[pos[0] - k - 1 : pos[-1] - k] += d
+            else:
+                g[pos[ok] - k - 1] += d[ok]
         ids = np.append(c["ids"], len(self.p["context"]) - 1).astype(np.uint16 if len(self.p["context"]) < 1 << 16 else np.int64)
         order = np.argsort(ids, kind="stable")
         cut = _groups(ids[order])
