@@ -10,18 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from . import blocks
 
 
 def compact(turns: DataFrame, budget: int, keep: int = 5, share: float = 0.8) -> DataFrame:
     """(conv_id, turn, role, text): conversations over ``share`` of the budget keep their last ``keep`` turns; the older ones
     become one summary turn before them that counts them by role. Others stay as they are."""
-    by = Window.partitionBy("conv_id")
-    sized = turns.withColumn("tokens", token_estimate(F.coalesce("text", F.lit(""))))
-    sized = sized.withColumns({"total": F.sum("tokens").over(by), "age": F.row_number().over(by.orderBy(F.desc("turn")))})
-    old = (F.col("total") > share * budget) & (F.col("age") > keep)
+    sized = turns.select("conv_id", "turn", "role", "text", token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+    age = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    # Of a conversation only its total and its last turns leave a task; the rest meets the turn from which on it is kept.
+    since = sized.select("conv_id", "turn").withColumn("age", age).where(F.col("age") <= keep).groupBy("conv_id").agg(F.min("turn").alias("since"))
+    over = sized.groupBy("conv_id").agg(F.sum("tokens").alias("total")).where(F.col("total") > share * budget).join(since, "conv_id").select("conv_id", "since")
+    placed = sized.join(over, "conv_id", "left").withColumn("old", F.coalesce(F.col("turn") < F.col("since"), F.lit(False)))
     said = F.format_string("[%d turns: %d user, %d assistant]", F.count(F.lit(1)), F.count_if(F.col("role") == "user"), F.count_if(F.col("role") == "assistant"))
-    summary = sized.where(old).groupBy("conv_id").agg((F.min("turn") - 1).alias("turn"), said.alias("text")).withColumn("role", F.lit("summary"))
-    return sized.where(~old).select("conv_id", "turn", "role", "text").unionByName(summary.select("conv_id", "turn", "role", "text"))
+    summary = placed.where("old").groupBy("conv_id").agg((F.min("turn") - 1).alias("turn"), said.alias("text")).withColumn("role", F.lit("summary"))
+    return placed.where("NOT old").select("conv_id", "turn", "role", "text").unionByName(summary.select("conv_id", "turn", "role", "text"))
+
+
+def used_so_far(turns: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Add ``used``: the sum of the values of the sequence's rows up to here. Ranges of a sequence are summed by many tasks and carried on."""
+    rows = blocks.with_earlier(blocks.ranged(turns, key, order), key, before=F.sum(value))
+    upto = Window.partitionBy(key, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("used", F.col("before") + F.coalesce(F.sum(value).over(upto), F.lit(0))).drop("part", "before")
 
 
 def restarted(turns: DataFrame, key: str, order: list[str], value: str, budget: float) -> DataFrame:

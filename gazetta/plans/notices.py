@@ -221,9 +221,13 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.mask_message(message).alias("masked"))
 
 
-@query("""SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?href\\s*=\\s*["'']([^"''>]*)["''][^>]*>(.*?)</a>', 1), lambda x: x <> ''))) AS links FROM pages""")
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"''>]*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"''>]*)["''][^>]*>(.*?)</a>', 2) AS t FROM pages),
+    u AS (SELECT page_id, unnest(h) AS href, unnest(t) AS label, generate_subscripts(h, 1) AS i FROM l), f AS (SELECT * FROM u WHERE href <> '' QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY i) = 1)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS place, href, label FROM f""")
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", F.size(text.anchors(F.col("html"))).alias("links"))
+    """Links of every page in order, each target once with its first label."""
+    rows = read(spark, sf_dir, "pages").select("page_id", F.posexplode(text.anchors(F.col("html"))).alias("at", "a"))
+    return rows.select("page_id", (F.col("at") + 1).alias("place"), "a.href", "a.label")
 
 
 @query("""SELECT doc_id, greatest(floor(length(text) / 4.0), 1)::INT AS tokens FROM documents""")

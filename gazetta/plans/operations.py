@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, extract, text
 from ..functions.predicates import filled
-from ..operators import health, scheduling
+from ..operators import conversations, health, scheduling
 from ..sources.tables import read
 from .registry import query
 from .timeseries import _LOG, _ROLLING, log
@@ -163,8 +163,8 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM (SELECT conv_id, turn, greatest(floor(length(text) / 4.0), 1) AS tokens FROM conversations)""")
 def turn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(text.token_estimate(F.col("text"))).over(upto).alias("used"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.token_estimate(F.col("text")).cast("bigint").alias("tokens"))
+    return conversations.used_so_far(turns, "conv_id", ["turn"], "tokens").select("conv_id", "turn", "used")
 
 
 @query("""SELECT o.o_orderkey, coalesce(c.c_mktsegment, 'none') AS segment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderkey % 2 = 0""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import LEVELS
 from ..functions.predicates import any_of, listable, matches, worth_notice
-from ..operators import matching, merge, scheduling
+from ..operators import blocks, matching, merge, scheduling
 from ..sources.tables import read
 from .registry import query
 
@@ -77,10 +77,11 @@ def fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, round(avg(epoch_us(later) - epoch_us(ts)) / 1000.0, 3) AS latency_ms FROM (SELECT event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events) WHERE later > ts GROUP BY 1""")
 def latency_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    later = F.lead(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = read(spark, sf_dir, "events").select("event_type", at.alias("us"), later.alias("later"))
-    return rows.groupBy("event_type").agg(F.round(F.avg(F.when(F.col("later") > F.col("us"), F.col("later") - F.col("us"))) / 1000.0, 3).alias("latency_ms"))
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = blocks.blocked(blocks.numbered(events, "user_id", ["us", "event_id"]), 1)
+    by = Window.partitionBy("user_id", "block").orderBy("n")
+    gaps = rows.select("own", F.lag("event_type").over(by).alias("event_type"), (F.col("us") - F.lag("us").over(by)).alias("gap"))
+    return gaps.where("own AND gap > 0").groupBy("event_type").agg(F.round(F.avg("gap") / 1000.0, 3).alias("latency_ms"))
 
 
 @query(r"""SELECT page_id, regexp_replace(replace(url, 'http://', 'https://'), '(/[a-z]{2}/[0-9]+)\?.*$', '\1') AS url FROM pages""")
