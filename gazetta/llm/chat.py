@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import numbered
+from .common import settle
+
 #: Markers of the template (a fixed format): a turn is START role newline text END.
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: What is escaped inside texts: this template's markers and those of other common templates, with any tildes already there.
@@ -68,6 +71,17 @@ def _rendered(turns: Column, skip: Column) -> Column:
     return F.struct(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("text"), spans.alias("loss_spans"))
 
 
+def _divided(base: DataFrame) -> DataFrame:
+    """``base`` with the blocks of over 2 * BLOCK turns in parts of BLOCK turns each, in order of turn, role and text."""
+    keys = ["kn", "k", "block"]
+    large = settle(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK).select(*keys))
+    if large.isEmpty():
+        return base
+    placed = numbered(base.join(large, keys, "left_semi").withColumn("whole", F.struct(*keys)), "whole", ["turn", "role", "body"])
+    part = F.struct(F.col("block.at").alias("at"), F.floor((F.col("n") - 1) / BLOCK).alias("part"))
+    return base.join(large, keys, "left_anti").unionByName(placed.withColumn("block", part).select(*base.columns))
+
+
 def format_windows(turns: DataFrame, budget: int = 512, history: int = 96) -> DataFrame:
     """Rows (conv_id, window, text, context_turns, n_tokens, loss_spans): formatted windows of each conversation.
 
@@ -83,14 +97,16 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 96) -> Da
     assistant turns; repeated turns are masked. Windows sort by ``window``.
 
     A conversation is dealt to blocks of BLOCK turn numbers, each one row, so the hot one is many rows. A span doesn't cross
-    blocks; the system turn and the last turns of the block before are handed on. Turns without a number are in block 0.
+    blocks; the system turn and the last turns of the block before are handed on. Turns without a number are in block 0. A block of over
+    2 * BLOCK turns (of equal numbers, or without any) is divided again, by the turns' places in it, which are found over ranges.
     """
     if not 0 <= history <= budget // 2:
         raise ValueError("history must be at most half of the budget")
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     kind, turn_kind = turns.schema["conv_id"].dataType, turns.schema["turn"].dataType.simpleString()
     base = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k"), F.col("conv_id").isNull().alias("kn"), "turn", role.alias("role"), text.alias("body"))
-    base = base.withColumn("tokens", F.regexp_count("body", F.lit(r"\S+")).cast("bigint") + 4).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)))
+    base = base.withColumn("tokens", F.regexp_count("body", F.lit(r"\S+")).cast("bigint") + 4).withColumn("block", F.struct(F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).alias("at"), F.lit(0).cast("bigint").alias("part")))
+    base = _divided(base)
     conv, keys = ["kn", "k"], ["kn", "k", "block"]
     blocks = base.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "tokens"))).alias("turns"))
     # Conversations of several blocks: what a block hands on. The list of blocks comes from the turn numbers alone.
