@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Added to means before they are rounded, so that halves go up whatever the order in which they were summed.
+NUDGE = 1e-9
 MEASURES = {"amount": "total_amount", "count": "project_count"}
 
 
@@ -12,8 +14,8 @@ def rank_winners(awards: DataFrame, by: str = "amount", limit: int = 20) -> Data
     """Awards (winner, project, amount, score, day) by winner: distinct projects, sums, averages, first and last day, rows, and
     the rank by amount or count; winners without a name are left out, sums of nothing come last, ties go by name."""
     grouped = awards.where(F.col("winner").isNotNull() & (F.col("winner") != "")).groupBy("winner").agg(
-        F.countDistinct("project").alias("project_count"), F.round(F.sum("amount"), 2).alias("total_amount"), F.round(F.avg("amount"), 2).alias("avg_amount"),
-        F.round(F.avg("score"), 2).alias("avg_score"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("award_rows"),
+        F.countDistinct("project").alias("project_count"), F.round(F.sum("amount"), 2).alias("total_amount"), F.round(F.avg("amount") + NUDGE, 2).alias("avg_amount"),
+        F.round(F.avg("score") + NUDGE, 2).alias("avg_score"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("award_rows"),
     )
     order = [F.desc_nulls_last(MEASURES[by]), F.asc("winner")]
     top = grouped.orderBy(*order).limit(limit)

@@ -32,8 +32,8 @@ def _dated(df: DataFrame) -> DataFrame:
 def _rank_sql(order: str, where: str = "day BETWEEN DATE '1997-04-01' AND DATE '1997-06-30'") -> str:
     return f"""
     WITH a AS ({_AWARDS}), g AS (
-        SELECT winner, count(DISTINCT project) AS project_count, round(sum(amount), 2) AS total_amount, round(avg(amount), 2) AS avg_amount,
-               round(avg(score), 2) AS avg_score, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) AS award_rows
+        SELECT winner, count(DISTINCT project) AS project_count, round(sum(amount), 2) AS total_amount, round(avg(amount) + 1e-9, 2) AS avg_amount,
+               round(avg(score) + 1e-9, 2) AS avg_score, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) AS award_rows
         FROM a WHERE {where} AND winner <> '' GROUP BY winner)
     SELECT *, row_number() OVER (ORDER BY {order} DESC NULLS LAST, winner) AS rank FROM g ORDER BY rank LIMIT 20"""
 
