@@ -50,8 +50,10 @@ def statistics(texts: list) -> np.ndarray:
     owner = np.repeat(np.arange(n), words.sizes + 1)[: len(words.plain)]
     kinds = np.bincount(owner * 10 + _KIND[words.plain], minlength=n * 10).reshape(n, 10).astype(float)
     kinds[: n - 1, _NEWLINE] -= 1  # the newline that joins texts
+    own = np.ones(len(words.plain), bool)
+    own[words.doc_at[1:-1] - 1] = False  # likewise
     seen = np.zeros((n, 256), bool)
-    seen[owner, words.plain] = True
+    seen[owner[own], words.plain[own]] = True
     of, length = words.doc_of(), words.ends - words.starts
     last, per_word = _KIND[words.plain[words.ends - 1]], lambda mask: np.bincount(of[mask], minlength=n)
     letters = np.concatenate(([0], np.cumsum(np.isin(_KIND[words.plain], (_UPPER, _LOWER, _HIGH)))))
