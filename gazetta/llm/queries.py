@@ -142,6 +142,11 @@ ORACLE_SQL = {
              deg AS (SELECT x AS node, count(*) AS texts, sum(copies) AS docs FROM sym JOIN nodes ON nodes.node = y GROUP BY 1)
         SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(copies - 1, 0) + coalesce(docs, 0)::BIGINT AS n_links, coalesce(texts, 0) AS n_text_links
         FROM documents d LEFT JOIN sets ON d.doc_id = sets.id LEFT JOIN nodes ON nodes.node = sets.node LEFT JOIN cls ON cls.node = sets.node LEFT JOIN deg ON deg.node = sets.node""",
+    # The table of slots as text, three hex digits a slot; the rule that fills it is tested on its own.
+    "op8_sharding": f"""
+        WITH t AS (SELECT '{"".join(f"{s:03x}" for s in sharding.fill_table())}' AS slots),
+             d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS slot FROM documents)
+        SELECT doc_id, slot, ('0x' || substr(slots, slot * 3 + 1, 3))::INT AS shard FROM d, t""",
     "op9_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
              s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),

@@ -603,3 +603,54 @@ def test_sums_of_vectors_in_levels(spark, fan):
     table = spark.createDataFrame(rows, language_model._PARTS).repartition(5)
     assert np.allclose(language_model.summed(table, "f4", 37, fan), np.average(vectors.astype(float), 0, weights), atol=1e-12)
     assert language_model.summed(table.where("false"), "f4", 37, fan) is None
+
+
+def test_a_conversation_without_turn_numbers_is_many_rows(spark):
+    rows = [(None, None, ("user", "assistant")[i % 2], f"said {i} " + "w " * (i % 5)) for i in range(20_000)] + [(7, 5, "user", f"same number {i}") for i in range(3000)] + [(8, i, "user", "short") for i in range(3)]
+    windows = chat.format_windows(spark.createDataFrame(rows, TURNS).repartition(6), budget=200, history=50)
+    got = {r.conv_id: r for r in chat.digests(windows).collect()}
+    for conv in (None, 7, 8):
+        turns = sorted((r, x) for c, _, r, x in rows if c == conv)
+        assert got[conv].n_turns == len(turns) and got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    assert chat._divided(spark.createDataFrame([(False, "a", (0, 0), None, "", f"{i}", 4) for i in range(4000)], "kn boolean, k string, block struct<at:bigint,part:bigint>, turn bigint, role string, body string, tokens bigint")).groupBy("block").count().agg(F.max("count")).first()[0] <= chat.BLOCK
+    assert windows.where("n_tokens > 200").count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text, counted one after the other."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    low = [w.lower() for w in words]
+    n, size, count = len(words), max(len(raw), 1), max(len(words), 1)
+    kinds = collections.Counter(int(quality._KIND[b]) for b in raw)
+    letters = lambda w: sum(int(quality._KIND[b]) in (quality._UPPER, quality._LOWER, quality._HIGH) for b in w)
+    pairs = list(zip(low, low[1:]))
+    lines = [tuple(x) for x in (re.findall(rb"[^\x20\x09-\x0d]+", line.lower()) for line in raw.split(b"\n")) if x]
+    letter = max(kinds[quality._UPPER] + kinds[quality._LOWER] + kinds[quality._HIGH] / 2, 1)
+    share = lambda k, of: kinds[k] / of
+    return {
+        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(n), "word_length": sum(map(len, words)) / count, "long_words": sum(len(w) > 12 for w in words) / count,
+        "short_words": sum(len(w) <= 3 for w in words) / count, "upper": kinds[quality._UPPER] / letter, "digits": share(quality._DIGIT, size), "marks": share(quality._MARK, count),
+        "symbols": share(quality._SYMBOL, count), "bangs": share(quality._BANG, count), "bars": share(quality._BAR, count), "spaces": share(quality._SPACE, size), "newlines": share(quality._NEWLINE, count),
+        "beyond_ascii": share(quality._HIGH, size), "distinct_words": len(set(low)) / count, "next_same": sum(a == b for a, b in pairs) / count,
+        "distinct_pairs": len(set(pairs)) / max(len(pairs), 1) if n != 1 else 1.0, "most_common": max(collections.Counter(low).values(), default=0) / count, "distinct_lines": len(set(lines)) / max(len(lines), 1),
+        "line_length": n / max(len(lines), 1), "ends_in_symbol": sum(int(quality._KIND[w[-1]]) in (quality._SYMBOL, quality._BANG) for w in words) / count,
+        "no_letter": sum(not letters(w) for w in words) / count, "distinct_bytes": len(set(raw)),
+    }
+
+
+def test_statistics_against_a_plain_loop():
+    texts = ["", None, "One", "One one ONE two!", "a b\na b\n\nc d?\n", "É à 12,5 % | #x $ !!", prose(80, 400) + "\n" + prose(80, 400), "x" * 50_000 + " y", "\t\n  ", "w " * 3000, "ab\n" * 40, "!? ## 12 ..."]
+    got = quality.statistics(texts)
+    assert got.shape == (len(texts), len(quality.STATISTICS))
+    for text, row in zip(texts, got, strict=True):
+        expected = plain_statistics(text)
+        assert {k: pytest.approx(expected[k], abs=1e-9) for k in quality.STATISTICS} == dict(zip(quality.STATISTICS, row, strict=True)), (text or "")[:40]
+
+
+def test_quality_of_repeated_rows_and_very_long_texts(spark):
+    docs, labels, _ = labelled(spark)
+    extra = spark.createDataFrame([(5000, prose(90, 200_000)), (5001, "same text here"), (5001, "same text here"), (5001, "same text here")], "doc_id bigint, text string")
+    more = docs.select("doc_id", "text").unionByName(extra)
+    both = [{(r.doc_id, r.score) for r in quality.quality(more.repartition(n), labels.unionByName(labels)).collect()} for n in (1, 5)]
+    assert len([x for x in both[0] if x[0] == 5001]) == 1 and both[0] == both[1] and all(0 <= s <= 1 for _, s in both[0])
