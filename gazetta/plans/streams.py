@@ -33,7 +33,7 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.drained(spark, flows.hourly_health(flows.timed(flows.table_stream(spark, sf_dir, "events"))))
 
 
-@query()
+@query(f"SELECT source AS user_id, asked, granted FROM ({ORACLE_SQL['token_bucket']})")
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = flows.timed(flows.table_stream(spark, sf_dir, "events"))
     return flows.drained(spark, flows.token_bucket(stream, "user_id", 3.0, 1 / 36_000))
