@@ -22,9 +22,11 @@ def rank_winners(awards: DataFrame, by: str = "amount", limit: int = 20) -> Data
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def top_per_group(awards: DataFrame, group: list[str], limit: int) -> DataFrame:
-    """The ``limit`` winners of greatest amount in each group, with their rank; candidates are cut before the exchange."""
-    grouped = awards.groupBy(*group, "winner").agg(F.countDistinct("project").alias("project_count"), F.round(F.sum("amount"), 2).alias("total_amount"))
+def top_per_group(awards: DataFrame, group: list[str], limit: int, names: DataFrame | None = None, key: str = "winner") -> DataFrame:
+    """The ``limit`` winners of greatest amount in each group, with their rank; candidates are cut before the exchange. Awards may know winners
+    by a ``key``; ``names`` (key, winner) are then joined to the sums of the winners, not to the awards."""
+    grouped = awards.groupBy(*group, key).agg(F.countDistinct("project").alias("project_count"), F.round(F.sum("amount"), 2).alias("total_amount"))
+    grouped = grouped if names is None else grouped.join(names, key).drop(key)
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last("total_amount"), F.asc("winner")))
     return grouped.withColumn("rank", place).where(F.col("rank") <= limit)
 

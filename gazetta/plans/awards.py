@@ -83,9 +83,10 @@ _TYPED = f"""a AS ({_AWARDS}), t AS (SELECT a.*, unnest(string_split(p_name, ' '
     r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY total_amount DESC NULLS LAST, winner) AS rank FROM g) WHERE rank <= 5)
     SELECT *, round(sum(total_amount) OVER (PARTITION BY type), 2) AS type_amount FROM r""")
 def award_rank_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("types"))
-    typed = awards(spark, sf_dir).join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn("type", F.explode("types"))
-    top = ranking.top_per_group(typed, ["type"], 5)
+    lines, suppliers, parts = read(spark, sf_dir, "lineitem", "supplier", "part")
+    typed = lines.select("l_suppkey", "l_partkey", F.col("l_orderkey").alias("project"), F.col("l_extendedprice").alias("amount")).join(
+        parts.select("p_partkey", F.split("p_name", " ").alias("types")), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "project", "amount", F.explode("types").alias("type"))
+    top = ranking.top_per_group(typed, ["type"], 5, suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("winner")), "l_suppkey")
     return top.withColumn("type_amount", F.round(F.sum("total_amount").over(Window.partitionBy("type")), 2))
 
 
