@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their slot and shard."""
+    """All documents with their slot and shard; columns of these names are replaced."""
     return sharding.assign_shards(docs)
 
 
