@@ -151,10 +151,32 @@ def best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query()
+#: Matching-blocks ratio of the pairs (k, t) of a table ``pair``: the longest common run, first in k, then in t, and the same left and right of it.
+_RATIO = """seg AS (SELECT k, t, k AS a, t AS b, 0 AS m FROM pair
+        UNION ALL SELECT s.k, s.t, CASE WHEN side = 0 THEN substr(a, 1, c.i - 1) ELSE substr(a, c.i + c.n) END,
+               CASE WHEN side = 0 THEN substr(b, 1, instr(b, substr(a, c.i, c.n)) - 1) ELSE substr(b, instr(b, substr(a, c.i, c.n)) + c.n) END, CASE WHEN side = 0 THEN c.n ELSE 0 END
+        FROM (SELECT *, list_max(list_filter(flatten(list_transform(range(1, length(a) + 1), lambda x: list_transform(range(1, length(a) - x + 2), lambda y: [y, -x]))),
+                     lambda z: contains(b, substr(a, -z[2], z[1])))) AS best FROM seg WHERE a <> '' AND b <> '') s, LATERAL (SELECT s.best[1] AS n, -s.best[2] AS i) c, (SELECT unnest([0, 1]) AS side) WHERE s.best IS NOT NULL),
+    ratio AS (SELECT k, t, 2.0::DOUBLE * sum(m) / (length(k) + length(t)) AS ratio FROM seg GROUP BY k, t)"""
+_FUZZY = [("Steel bolt", "fuzzy", 0.5), ("red", "partial", 0.3), ("copper", "exact", 0.8), ("blue steel widget", "partial", 0.6), ("old widgets", "fuzzy", 0.8)]
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT unnest({[k for k, _, _ in _FUZZY]}) AS keyword, unnest({[m for _, m, _ in _FUZZY]}) AS mode, unnest({[x for _, _, x in _FUZZY]}) AS least), n AS (SELECT DISTINCT lower(p_name) AS t FROM part WHERE p_name <> ''),
+    pair AS (SELECT DISTINCT lower(keyword) AS k, t FROM w, n), {_RATIO},
+    s AS (SELECT t, keyword, mode, least, ratio, CASE WHEN mode <> 'partial' AND contains(t, k) THEN 1.0 WHEN mode = 'partial' AND length(k) <= 3 AND starts_with(t, k) THEN 1.0 WHEN mode = 'partial' AND length(k) <= 3 AND contains(t, k) THEN 0.95
+                 WHEN mode <> 'exact' AND ratio >= least THEN ratio END AS score FROM w JOIN ratio ON k = lower(keyword))
+    SELECT p_partkey, keyword, mode, round(score, 6)::DOUBLE AS score FROM part JOIN s ON t = lower(p_name) WHERE score IS NOT NULL""")
 def fuzzy_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keywords = [("Steel bolt", "fuzzy", 0.5), ("red", "partial", 0.3), ("copper", "exact", 0.8), ("blue steel widget", "partial", 0.6)]
-    return relevance.keyword_scores(read(spark, sf_dir, "part"), "p_partkey", "p_name", keywords).withColumn("score", F.round("score", 6))
+    return relevance.keyword_scores(read(spark, sf_dir, "part"), "p_partkey", "p_name", _FUZZY).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT unnest(['Old Widgets', 'cold bold', 'ring', 'large rode', 'zzz']) AS keyword, unnest([1, 2, 3, 4, 5]) AS place), n AS (SELECT DISTINCT lower(p_name) AS t FROM part WHERE p_name <> '' AND NOT contains(lower(p_name), 'hot')),
+    pair AS (SELECT DISTINCT lower(keyword) AS k, t FROM w, n), {_RATIO}, h AS (SELECT t, keyword, place FROM w JOIN ratio ON k = lower(keyword) WHERE contains(t, k) OR ratio >= 0.8)
+    SELECT p_partkey, string_agg(keyword, '|' ORDER BY place) AS matched FROM part JOIN h ON t = lower(p_name) GROUP BY 1""")
+def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles in which a keyword stands, or that are nearly one, without those that hold an excluded word."""
+    found = relevance.title_keywords(read(spark, sf_dir, "part"), "p_name", ["Old Widgets", "cold bold", "ring", "large rode", "zzz"], ["HOT"])
+    return found.where(F.size("matched") > 0).select("p_partkey", F.array_join("matched", "|").alias("matched"))
 
 
 @query("""
@@ -176,11 +198,24 @@ def _duplicable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(key.alias("id"), title.alias("title"), budget.alias("budget"), F.col("p_type").alias("kind"), day.alias("day"))
 
 
-@query()
+_DUPLICATES = f"""r AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS title, CASE WHEN p_partkey % 7 <> 0 THEN printf('%.2f', p_retailprice)::DOUBLE END AS yuan, p_type AS kind, '2024-0' || (p_partkey % 2 + 1) || '-1' || p_partkey % 3 AS day FROM part),
+    m AS (SELECT x.id AS a, y.id AS b, x.title AS k, y.title AS t, CASE WHEN x.yuan IS NULL AND y.yuan IS NULL THEN 0 WHEN x.yuan IS NULL OR y.yuan IS NULL THEN 0.3 ELSE coalesce(round(least(x.yuan, y.yuan) / nullif(greatest(x.yuan, y.yuan), 0), 3), 0) END AS budget,
+              CASE WHEN x.kind = y.kind AND x.kind <> '' THEN 1.0 ELSE 0.0 END AS kind, 0.0 AS url, CASE WHEN x.day = y.day THEN 1.0 WHEN left(x.day, 7) = left(y.day, 7) THEN 0.7 ELSE 0.4 END AS day
+          FROM r x JOIN r y ON lower(trim(left(x.title, 6))) = lower(trim(left(y.title, 6))) AND x.id < y.id),
+    pair AS (SELECT DISTINCT k, t FROM m), {_RATIO}, q AS (SELECT k, t, CASE WHEN contains(k, t) OR contains(t, k) THEN greatest(round(ratio, 3), 0.85) ELSE round(ratio, 3) END AS title FROM ratio),
+    d AS (SELECT a, b, round(0.4 * title + 0.2 * budget + 0.15 * kind + 0.15 * url + 0.1 * day, 3)::DOUBLE AS score, title::DOUBLE AS title, budget::DOUBLE AS budget, kind::DOUBLE AS kind, url::DOUBLE AS url, day::DOUBLE AS day FROM m JOIN q USING (k, t)),
+    l AS (SELECT * FROM d WHERE score >= 0.6)"""
+
+
+@query(f"WITH RECURSIVE {_DUPLICATES} SELECT * FROM l")
 def blocked_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_pairs(_duplicable(spark, sf_dir), 0.6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DUPLICATES}, e AS (SELECT id, lower(trim(left(title, 6))) AS block, row_number() OVER (PARTITION BY lower(trim(left(title, 6))) ORDER BY id) AS n, (SELECT list(a ORDER BY a) FROM l WHERE l.b = r.id) AS near FROM r),
+    g AS (SELECT block, n, id, NULL::BIGINT AS head, [id] AS heads FROM e WHERE n = 1
+          UNION ALL SELECT e.block, e.n, e.id, c.head, CASE WHEN c.head IS NULL THEN g.heads || [e.id] ELSE g.heads END FROM g JOIN e ON e.block = g.block AND e.n = g.n + 1, LATERAL (SELECT list_filter(coalesce(e.near, []), lambda x: list_contains(g.heads, x))[1] AS head) c)
+    SELECT g.id, g.head, score, title, budget, kind, url, day, concat_ws(',', CASE WHEN title >= 0.6 THEN 'title' END, CASE WHEN budget >= 0.8 THEN 'budget' END, CASE WHEN kind >= 1 THEN 'kind' END, CASE WHEN url >= 1 THEN 'url' END, CASE WHEN day >= 0.7 THEN 'day' END) AS matched
+    FROM g JOIN l ON l.a = g.head AND l.b = g.id""")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_groups(_duplicable(spark, sf_dir), 0.6)
