@@ -27,7 +27,12 @@ def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE l AS MATERIALIZED ({_PAIRS}), t AS (SELECT lower(trim(regexp_extract(html, '<title>(.*?)</title>', 1))) AS title, min(page_id) AS id FROM pages GROUP BY 1 HAVING title <> ''),
+     e AS MATERIALIZED (SELECT id, title, row_number() OVER (ORDER BY id) AS n, (SELECT list(a ORDER BY a) FROM l WHERE l.b = t.id) AS near FROM t),
+     g AS (SELECT n, id, NULL::BIGINT AS head, [id] AS heads FROM e WHERE n = 1
+           UNION ALL SELECT e.n, e.id, c.head, CASE WHEN c.head IS NULL THEN g.heads || [e.id] ELSE g.heads END FROM g JOIN e ON e.n = g.n + 1, LATERAL (SELECT list_filter(coalesce(e.near, []), lambda x: list_contains(g.heads, x))[1] AS head) c),
+     m AS (SELECT page_id AS id, coalesce(head, g.id) AS group_id FROM pages JOIN e ON e.title = lower(trim(regexp_extract(html, '<title>(.*?)</title>', 1))) JOIN g ON g.id = e.id)
+    SELECT id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM m QUALIFY group_size > 1""")
 def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.title_groups(_titled(spark, sf_dir), "page_id", "title", 0.3)
 
