@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import amounts
 from ..sources import tables
 from ..sources.tables import read
 from ..streaming.flows import shared_folder
@@ -14,11 +15,11 @@ from .registry import query
 @query("""SELECT c_custkey AS number, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, ''), 'none, "so far"') AS segment, round(c_acctbal, 2)::VARCHAR AS balance FROM customer""")
 def csv_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/csv"
-    segment = F.when(F.col("c_custkey") % 3 != 0, F.nullif("c_mktsegment", F.lit("")))
-    columns = {"number": F.col("c_custkey"), "segment": F.coalesce(segment, F.lit('none, "so far"')), "balance": F.round("c_acctbal", 2)}
+    segment = F.when(F.col("c_custkey") % 3 == 0, None).otherwise(F.nullif("c_mktsegment", F.lit("")))
+    columns = {"number": F.col("c_custkey"), "segment": F.coalesce(segment, F.lit('none, "so far"')), "balance": amounts.cents(F.col("c_acctbal"))}
     tables.csv_sink(read(spark, sf_dir, "customer"), folder, columns, mark=True)
-    back = spark.read.option("header", True).option("escape", '"').schema("number long, segment string, balance double").csv(folder)
-    return back.withColumn("balance", F.col("balance").cast("string"))
+    back = tables.csv_source(spark, folder, "number long, segment string, balance double")
+    return back.withColumn("balance", amounts.number_text(F.col("balance")))
 
 
 @query("""SELECT o_orderpriority AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 UNION ALL SELECT 'all', count(*), round(sum(o_totalprice), 2) FROM orders""")
