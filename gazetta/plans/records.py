@@ -65,7 +65,8 @@ def favourite_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_custkey") + F.when(F.col("c_custkey") % 4 == 0, 1_000_000).otherwise(0)).alias("place"), (F.col("c_custkey") % 400).alias("f_url"), F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string")).alias("f_name"))
     records = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000).alias("url"), F.concat(F.lit("BUILDING"), (F.col("o_custkey") % 60).cast("string")).alias("name"))
     best = matching.first_match(records, known, "o_orderkey", "place", [("url", "url", "f_url"), ("name", "name", "f_name")])
-    return best.select("o_orderkey", (F.col("place") % 1_000_000).alias("fav"), "match_type")
+    fav = F.when(F.col("place") % 4 == 0, F.col("place") - 1_000_000).otherwise(F.col("place"))
+    return best.select("o_orderkey", fav.alias("fav"), "match_type")
 
 
 @query("""SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed')""")
