@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def drop_title(text: Column, title: Column, most_lines: int = 10, most_times: int = 21) -> Column:
     """Text without its title at the start.
 
@@ -65,15 +72,26 @@ def drop_title(text: Column, title: Column, most_lines: int = 10, most_times: in
     all), unless nothing would be left; then the title goes as often as it opens the rest. Later mentions stay. A blank title
     leaves the text as it is; null text becomes blank.
     """
-    text, name = F.coalesce(text, F.lit("")), F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^\s+|\s+$", "")
-    lines, bare = F.split(text, "\n"), _bare(name)
-    repeat = lambda x: (_bare(x) != "") & (F.contains(_bare(x), bare) | F.contains(bare, _bare(x)))
-    first = F.array_position(F.transform(lines, lambda x: ~repeat(x) & (_bare(x) != "")), True).cast("int")
-    rest = F.when((first > 1) & (first <= most_lines + 1), F.array_join(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), "\n")).otherwise(text)
-    rest = F.when(F.exists(F.slice(lines, 1, most_lines), repeat), rest).otherwise(text)
-    quoted = F.regexp_replace(name, r"([^\p{L}\p{N}\s])", r"\\$1")
-    rest = F.regexp_replace(rest, F.concat(F.lit(r"(?U)^(?:\s*"), quoted, F.lit(rf"){{1,{most_times}}}")), F.lit(""))
-    return F.when(bare == "", text).when(rest == text, text).otherwise(F.regexp_replace(rest, r"(?U)^\s+|\s+$", ""))
+    name = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)^\s+|\s+$", "")
+    quoted = F.concat(F.lit(r"(?U)^(?:\s*"), F.regexp_replace(name, r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(rf"){{1,{most_times}}}"))
+
+    def opened(x: Column) -> Column:
+        lines = F.split(x["text"], "\n")
+        told = lambda b: F.when(b != "", F.contains(b, x["bare"]) | F.contains(x["bare"], b))
+        marked = F.transform(lines, lambda line: _once(_bare(line), told))  # null: blank, true: repeats the title
+        return _once(F.struct(lines.alias("lines"), marked.alias("marked")), lambda y: _once(below(x["text"], y), lambda rest: cut(x, rest)))
+
+    def below(whole: Column, y: Column) -> Column:
+        first = F.array_position(y["marked"], False).cast("int")
+        rest = F.when((first > 1) & (first <= most_lines + 1), F.array_join(F.slice(y["lines"], F.greatest(first, F.lit(1)), F.size(y["lines"])), "\n")).otherwise(whole)
+        return F.when(F.exists(F.slice(y["marked"], 1, most_lines), lambda m: F.coalesce(m, F.lit(False))), rest).otherwise(whole)
+
+    def cut(x: Column, rest: Column) -> Column:
+        end = lambda r: F.when(r == x["text"], x["text"]).otherwise(F.regexp_replace(r, r"(?U)^\s+|\s+$", ""))
+        return _once(F.regexp_replace(rest, x["quoted"], F.lit("")), end)
+
+    whole = F.struct(F.coalesce(text, F.lit("")).alias("text"), _bare(name).alias("bare"), quoted.alias("quoted"))
+    return _once(whole, lambda x: F.when(x["bare"] == "", x["text"]).otherwise(opened(x)))
 
 
 def attachment_note(content: Column) -> Column:
@@ -89,9 +107,9 @@ def attachment_note(content: Column) -> Column:
 
 def preview(content: Column, title: Column, most: int = 500) -> Column:
     """Cleaned text without the title, cut at ``most`` characters with an ellipsis; a note of the attachments if nothing is left."""
-    text = drop_title(clean_text(content), title)
-    text = F.when(text == "", attachment_note(content)).otherwise(text)
-    return F.coalesce(F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text), F.lit(""))
+    told = lambda text: F.when(text == "", attachment_note(content)).otherwise(text)
+    short = lambda text: F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    return F.coalesce(_once(_once(drop_title(clean_text(content), title), told), short), F.lit(""))
 
 
 def site_text(text: Column, most: int | None = None) -> Column:

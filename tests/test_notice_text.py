@@ -108,3 +108,8 @@ def test_keys_and_quarantine(spark):
     assert values(spark, lambda c: merge.entity_key(c, F.lit("n")), ["7", "", None]) == ["no:7", "name:n", "name:n"]
     rows = spark.createDataFrame([(1, 5.0), (2, None), (3, -1.0)], "i int, x double")
     assert {r.i: r.reason for r in merge.quarantine(rows, {"x": F.col("x") > 0}).collect()} == {1: None, 2: "x", 3: "x"}
+
+
+def test_text_is_cleaned_once(spark):
+    rows = spark.createDataFrame([("标题 正文", "标题")], "a string, b string").select(notice_text.preview(F.col("a"), F.col("b")).alias("x"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("加入收藏") == 1
