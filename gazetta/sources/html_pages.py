@@ -67,11 +67,29 @@ def read_tree(page: str | None) -> tuple[str, list[tuple]]:
     return "".join(pieces), [tuple(n) for n in nodes]
 
 
+#: Characters of pages whose trees a task holds at once, but for a single longer page.
+HELD = 1 << 19
+
+
+def _pieces(pages: Iterator[pd.Series]) -> Iterator[list[str | None]]:
+    """The pages in order, some HELD characters at a time."""
+    for series in pages:
+        piece, size = [], 0
+        for page in series:
+            if piece and size + len(page or "") > HELD:
+                yield piece
+                piece, size = [], 0
+            piece.append(page)
+            size += len(page or "")
+        if piece:
+            yield piece
+
+
 def _trees(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     fields = ("tag", "classes", "href", "depth", "last", "low", "high")
-    for series in pages:
-        read = [read_tree(p) for p in series]
-        yield pd.DataFrame({"text": [t for t, _ in read], "nodes": [[dict(zip(fields, n, strict=True)) for n in nodes] for _, nodes in read]}, index=series.index)
+    for piece in _pieces(pages):
+        read = [read_tree(p) for p in piece]
+        yield pd.DataFrame({"text": [t for t, _ in read], "nodes": [[dict(zip(fields, n, strict=True)) for n in nodes] for _, nodes in read]})
 
 
 def tree(page: Column | str) -> Column:

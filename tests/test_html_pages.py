@@ -3,6 +3,7 @@
 import datetime
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gazetta.sources import html_pages
@@ -95,3 +96,12 @@ def test_lists_links_and_bodies(spark):
     assert [tuple(x) for x in got[1]["rows"]] == [("Firstone", "/a/20260706/x.html", day(2026, 7, 5)), ("deep", "/deep", None), ("By target", "/a/20260101/y.html", day(2026, 1, 1)), ("None", "/z", None)]
     assert got[2].body == "Long enough\nAnotherparagraph" and got[4]["rows"] == got[5]["rows"] == got[4].links == [] and got[4].body == ""
     assert [tuple(x) for x in got[3].links] == [("招标公告第一号", "https://site.example/t/1"), ("Something else", "https://site.example/T/2"), ("招标公告别处的", "http://h/q"), ("招标公告相对的", "https://site.example/list/r")]
+
+
+def test_trees_leave_in_pieces(spark):
+    pages = ["<p>a</p>" * 20_000, None, "", *["<b>c</b>" * 2_000] * 200]
+    sizes = [len(frame) for frame in html_pages._trees(iter([pd.Series(pages), pd.Series([], dtype=object)]))]
+    assert sum(sizes) == len(pages) and max(sizes) <= html_pages.HELD // 16_000 + 3
+    frame = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, p string").repartition(1)
+    got = frame.select("k", F.size(html_pages.tree("p")["nodes"]).alias("n")).orderBy("k").collect()
+    assert [r.n for r in got] == [20_000, 0, 0, *[2_000] * 200]
