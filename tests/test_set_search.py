@@ -32,3 +32,9 @@ def test_similar_sets_against_every_row(spark):
         got = {(r["query"], r.id, r.similarity, r.place) for r in set_search.similar_sets(table, "i", F.col("words"), F.col("i") % 7 == 0, k).collect()}
         assert got == plain(rows, lambda q: q % 7 == 0, k)
     assert set_search.similar_sets(table.where("false"), "i", F.col("words"), F.lit(True), 5).count() == 0
+
+
+def test_all_that_share_enough_words(spark):
+    rows = spark.createDataFrame([(k, text) for k, text in enumerate(["a b c", "c b a", "a b d", "a x", None, *["a b"] * 40])], "k long, t string")
+    got = {(r.query, r.id): r.similarity for r in set_search.sharing_sets(rows, "k", F.split("t", " "), F.col("k") == 0, 2).collect()}
+    assert got == {(0, 1): 1.0, (0, 2): 0.5} | {(0, k): 0.666667 for k in range(5, 45)}
