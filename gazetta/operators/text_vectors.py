@@ -5,8 +5,12 @@ A vectoriser is fitted over a whole table and used again on any other.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +19,41 @@ from ..session import settle
 
 #: Dimensions of a vector, and the sizes of the runs of characters.
 FEATURES, LOW, HIGH = 256, 2, 4
+#: Texts that are weighed at a time.
+TEXTS = 2048
+
+
+def plain_of(text: Column | str) -> Column:
+    """The lower-cased text, in which several blanks are one."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?U)\\s\\s+", " ")
 
 
 def _runs(text: Column) -> Column:
-    """Runs of LOW to HIGH characters of the lower-cased text, in which several blanks are one."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?U)\\s\\s+", " ")
-    return F.transform(F.array(plain), lambda x: grams(x, LOW, HIGH))[0]
+    """Runs of LOW to HIGH characters of the plain text."""
+    return F.transform(F.array(plain_of(text)), lambda x: grams(x, LOW, HIGH))[0]
+
+
+def _weighed(known: dict[str, tuple[int, int, float]]):
+    """The weights of one text at a time, so that a task holds no more than a batch. ``known``: n-gram -> (its place among them, number, idf)."""
+    words, at, idf = pa.array(list(known), pa.string()), np.array([v[1] for v in known.values()], np.int32), np.array([v[2] for v in known.values()], float)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                owner, places, counts = [], [], []
+                for row, text in enumerate(part.column("plain").to_pylist()):
+                    found = Counter(known[g][0] for n in range(LOW, HIGH + 1) for k in range(len(text) - n + 1) if (g := text[k:k + n]) in known)
+                    owner += [row] * len(found)
+                    places += found.keys()
+                    counts += found.values()
+                row, place = np.array(owner, np.int64), np.array(places, np.int64)
+                w = np.array(counts, float) * idf[place]
+                length = np.sqrt(np.bincount(row, w * w, part.num_rows))
+                columns = [part.column("id").take(pa.array(row)), part.column("text").take(pa.array(row)), words.take(pa.array(place)), pa.array(at[place], pa.int32()), pa.array(w / length[row])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "gram", "at", "w"])
+
+    return weights
 
 
 @dataclass
@@ -33,11 +66,10 @@ class GramVectors:
     def weights(self, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, gram, at, w) of the n-grams of each row's text that are features, where w is count times idf at length one. Rows that repeat id and
         text are one row; a text without features has none."""
-        told = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.explode(_runs(F.col(text_col))).alias("gram"))
-        found = told.join(F.broadcast(self.features), "gram").groupBy("id", "text", "gram", "at", "idf").agg(F.count(F.lit(1)).alias("n"))
-        w = F.col("n") * F.col("idf")
-        length = F.sqrt(F.sum(w * w).over(Window.partitionBy("id", "text")))
-        return found.select("id", "text", "gram", "at", (w / length).alias("w"))
+        known = {r.gram: (k, r.at, r.idf) for k, r in enumerate(self.features.collect())}  # ``size`` rows at most
+        told = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).distinct().select("id", F.xxhash64("_text").alias("text"), plain_of("_text").alias("plain"))
+        kind = told.schema["id"].dataType.simpleString()
+        return told.mapInArrow(_weighed(known), f"id {kind}, text bigint, gram string, at int, w double")
 
     def vectors(self, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, vector) of each different row of id and text; zeros for a text without features."""

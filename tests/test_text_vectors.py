@@ -36,3 +36,14 @@ def test_against_plain_counting(spark):
     assert len(other) == 40 and abs(sum(x * x for x in other) - 1) < 1e-9
     empty = text_vectors.fit(table.where("false"), "t", 5)
     assert empty.vectors(table.where("id = 1"), "id", "t").first().vector == [0.0] * 5
+
+
+def test_weights_are_made_text_by_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select("id", F.concat(F.lit("ab "), (F.col("id") % 7).cast("string")).alias("t"))
+    found = text_vectors.fit(rows, "t").weights(rows.unionByName(rows), "id", "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    lengths = found.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n"))
+    assert lengths.count() == 5000 and lengths.where("abs(n - 1) > 1e-9").count() == 0
