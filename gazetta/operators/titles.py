@@ -1,13 +1,19 @@
-"""Groups of notices with similar titles: an exact similarity join through rare terms, then groups around first titles."""
+"""Groups of notices with similar titles: an exact similarity join of blocks of titles, then groups around first titles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from .relevance import terms, weights
 
+#: Most titles, and terms of titles, in a part on average; sums that a step of a comparison holds, and products that it adds up.
+HELD, HELD_TERMS, CELLS, PRODUCTS = 16_384, 1_000_000, 1 << 20, 1 << 21
+
 
 def _plain(title: str) -> F.Column:
     return F.lower(F.trim(F.col(title)))
@@ -21,20 +27,59 @@ def distinct_titles(rows: DataFrame, id_col: str, title_col: str) -> DataFrame:
 def similar_titles(titles: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b: pairs of rows (id, title) whose smoothed TF-IDF cosine reaches the threshold, exactly.
 
-    With the terms of every title ordered from rare to frequent, two similar titles share a term among those before the rest
-    of the vector gets shorter than the threshold. Only these lead terms are joined, so frequent terms make no candidates.
+    Parts of the titles meet each other, each two parts once; a meeting is a product of sparse vectors in numpy, so that only pairs that reach
+    the threshold become rows. A title is sent once a part, and parts grow in number with the titles, not in size.
     """
-    tf = settle(terms(titles, "id", "title"))
-    counts = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = weights(tf, titles.count(), smooth=True)
-    norms = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = settle(w.join(norms, "id").join(counts, "term").select("id", "term", "df", (F.col("w") / F.col("norm")).alias("u")))
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    lead = unit.withColumn("rest", F.sqrt(F.sum(F.col("u") * F.col("u")).over(rest))).where(F.col("rest") >= threshold - 1e-9)
-    pairs = lead.select(F.col("id").alias("a"), "term").join(lead.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
-    left, right = unit.select(F.col("id").alias("a"), "term", F.col("u").alias("x")), unit.select(F.col("id").alias("b"), "term", F.col("u").alias("y"))
-    dots = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
-    return dots.where(F.col("similarity") >= threshold - 1e-9)
+    kind = titles.schema["id"].dataType.simpleString()
+    w = weights(settle(terms(titles, "id", "title")), titles.count(), smooth=True).where("id IS NOT NULL")
+    vectors = settle(w.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("v")))
+    n, held = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    parts = max(1, -(-n // HELD), -(-held // HELD_TERMS))
+    part, other = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    sent = vectors.withColumn("part", part).withColumn("other", other).select("id", "v", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    met = sent.repartition(parts * (parts + 1) // 2, "low", "high").groupBy("low", "high")
+    return met.applyInArrow(_near(threshold), f"a {kind}, b {kind}, similarity double")
+
+
+def _near(threshold: float):
+    """The pairs of one meeting: of the rows of both parts, or of all rows if a part meets itself."""
+
+    def near(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        order, part = pc.rank(rows["id"], tiebreaker="dense").to_numpy(), rows["part"].to_numpy()
+        sizes, said = pc.list_value_length(rows["v"]).to_numpy().astype(np.int64), pc.list_flatten(rows["v"]).combine_chunks()
+        term = said.field("term").dictionary_encode().indices.to_numpy().astype(np.int64)
+        owner, w = np.repeat(np.arange(len(sizes)), sizes), said.field("w").to_numpy()
+        w = w / np.sqrt(np.bincount(owner, w * w, len(sizes)))[owner]
+        low, high = key[0].as_py(), key[1].as_py()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        place = np.zeros(len(sizes), np.int64)
+        place[right] = np.arange(len(right))
+        inside = np.flatnonzero(part[owner] == high)
+        inside = inside[np.argsort(term[inside], kind="stable")]
+        there, weight = place[owner[inside]], w[inside]
+        begins = np.searchsorted(term[inside], np.arange(term.max(initial=-1) + 2))
+        first, n = np.cumsum(sizes) - sizes, (begins[1:] - begins[:-1])[term]
+        products = np.bincount(owner, n, len(sizes))[left].cumsum()
+        found, at = [], 0
+        while at < len(left):
+            done = products[at - 1] if at else 0
+            to = max(at + 1, min(at + max(1, CELLS // max(1, len(right))), int(np.searchsorted(products, done + PRODUCTS, "right"))))
+            asked = left[at:to]
+            mine = np.repeat(first[asked] - (np.cumsum(sizes[asked]) - sizes[asked]), sizes[asked]) + np.arange(sizes[asked].sum())
+            row, many = np.repeat(np.arange(len(asked)), sizes[asked]), n[mine]
+            hits = np.repeat(begins[term[mine]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            sums = np.bincount(np.repeat(row * len(right), many) + there[hits], np.repeat(w[mine], many) * weight[hits], len(asked) * len(right))
+            reached = np.flatnonzero(sums >= threshold - 1e-9)
+            a, b = asked[reached // len(right)], right[reached % len(right)]
+            kept = order[a] < order[b] if low == high else order[a] != order[b]
+            ahead = order[a] < order[b]
+            found.append((np.where(ahead, a, b)[kept], np.where(ahead, b, a)[kept], sums[reached][kept]))
+            at = to
+        a, b, x = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(3))
+        return pa.table({"a": rows["id"].take(pa.array(a.astype(np.int64))), "b": rows["id"].take(pa.array(b.astype(np.int64))), "similarity": pa.array(x, pa.float64())})
+
+    return near
 
 
 def around_first(links: DataFrame) -> DataFrame:

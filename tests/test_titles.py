@@ -1,5 +1,6 @@
 """Groups of similar titles against the plain walk over all titles in order."""
 
+import math
 import random
 
 import pytest
@@ -54,3 +55,19 @@ def test_title_groups_equal_walk(spark, sf_dir):
     sizes = {g: list(group.values()).count(g) for g in group.values()}
     want = {(i, g, sizes[g]) for i, g in group.items() if sizes[g] > 1}
     assert {tuple(r) for r in load().QUERIES["title_groups"](spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("held", (7, 16_384))
+def test_parts_of_titles_meet(spark, monkeypatch, held):
+    monkeypatch.setattr(titles, "HELD", held)
+    monkeypatch.setattr(titles, "CELLS", 50)
+    rng = random.Random(5)
+    said = {i: " ".join(rng.choice(["road", "works", "desk", "north", "basel", "x", "tree", "wall"]) for _ in range(rng.randint(0, 5))) for i in range(60)}
+    got = titles.similar_titles(spark.createDataFrame(sorted(said.items()), "id bigint, title string"), 0.6)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # candidates are never rows
+    words = {i: [w for w in t.split() if len(w) > 1] for i, t in said.items()}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    vectors = {i: {w: x.count(w) / len(x) * (math.log(61 / (df[w] + 1)) + 1) for w in x} for i, x in words.items() if x}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    dots = {(a, b): sum(x * vectors[b].get(w, 0) for w, x in v.items()) / norm[a] / norm[b] for a, v in vectors.items() for b in vectors if a < b}
+    assert {(r.a, r.b): round(r.similarity, 9) for r in got.collect()} == {p: round(s, 9) for p, s in dots.items() if s >= 0.6 - 1e-9}
