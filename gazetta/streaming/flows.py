@@ -39,27 +39,35 @@ def hourly_health(stream: DataFrame, at: str = "ts") -> DataFrame:
     return hours.select(F.unix_micros("w.start").alias("from_us"), "n", "failures")
 
 
-def suppress(stream: DataFrame, keys: list[str], seconds: int, at: str = "ts") -> DataFrame:
-    """Keep an event only if the last kept one of its key is at least ``seconds`` older; that time is the key's state."""
-    gap = seconds * 1_000_000
+def suppress(stream: DataFrame, keys: list[str], seconds: int, at: str = "ts", buckets: int = 1024) -> DataFrame:
+    """Keep an event only if the last kept one of its key is at least ``seconds`` older; that time is the key's state.
 
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    Keys share ``buckets`` of state, since a call of Python a key costs more than the work on its events; the number stays with a stream's
+    checkpoint. A key leaves its bucket when the watermark has passed its time.
+    """
+    gap, names = seconds * 1_000_000, [f"_{k}" for k in keys]
+
+    def keep(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *known, times = state.get if state.exists else ([],) * (len(keys) + 1)
+        last, now, kept = dict(zip(zip(*known), times)), state.getCurrentWatermarkMs(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(parts).sort_values("us", kind="stable")
+            for key, t in zip(zip(*(rows[n] for n in names)), rows["us"].tolist()):
+                if key not in last or t - last[key] >= gap:
+                    last[key] = t
+                    kept.append((*key, t))
+        last = {key: t for key, t in last.items() if (t + gap) // 1000 > now}
+        if last:
+            state.update((*map(list, zip(*last)), list(last.values())))
+            state.setTimeoutTimestamp((min(last.values()) + gap) // 1000)
+        elif state.exists:
             state.remove()
-            return
-        last, kept = (state.get[0] if state.exists else None), []
-        for t in sorted(x for part in parts for x in part["us"]):
-            if last is None or t - last >= gap:
-                last = int(t)
-                kept.append(last)
-        state.update((last,))
-        expiry = (last + gap) // 1000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        yield pd.DataFrame({**{k: [v] * len(kept) for k, v in zip(keys, key, strict=True)}, "sent_us": kept})
+        yield pd.DataFrame(kept, columns=[*names, "sent_us"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields if f.name in keys)
-    return stream.withColumn("us", F.unix_micros(at)).groupBy(*keys).applyInPandasWithState(keep, f"{kinds}, sent_us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    said = stream.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)], F.col(at), F.unix_micros(at).alias("us"))
+    shown, held = ", ".join(f"{n} string" for n in names), ", ".join(f"{n} array<string>" for n in names)
+    kept = said.groupBy("_bucket").applyInPandasWithState(keep, f"{shown}, sent_us bigint", f"{held}, last array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(*[F.col(n).cast(stream.schema[k].dataType).alias(k) for k, n in zip(keys, names)], "sent_us")
 
 
 def token_bucket(stream: DataFrame, key: str, capacity: float, rate: float, at: str = "ts") -> DataFrame:
