@@ -78,7 +78,10 @@ def moment(text: Column) -> Column:
     for sign, mark in (("年", "-"), ("月", "-"), ("日", " "), ("时", ":"), ("分", "")):
         plain = F.replace(plain, F.lit(sign), F.lit(mark))
     plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(form)) for form in ("y-M-d H:m", "y-M-d H:m:s", "y/M/d H:m", "y/M/d H:m:s")])
+    read_as = lambda t, form: F.try_to_timestamp(t, F.lit(form))
+    by_seconds = lambda t, day: F.when(t.rlike(":.*:"), read_as(t, f"{day} H:m:s")).otherwise(read_as(t, f"{day} H:m"))
+    # the signs of a text leave one form; the lambda computes the text once
+    return F.transform(F.array(plain), lambda t: F.when(F.contains(t, F.lit("/")), by_seconds(t, "y/M/d")).otherwise(by_seconds(t, "y-M-d")))[0]
 
 
 def region(text: Column) -> Column:
