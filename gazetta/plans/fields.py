@@ -10,7 +10,7 @@ from ..functions.dictionaries import TITLE_CLASSES
 from ..functions.text import token_estimate
 from ..operators import conversations, matching, qualifications, rates, relevance
 from ..operators.qualifications import CATEGORIES
-from ..sources.tables import once, read
+from ..sources.tables import dealt, once, read
 from . import relevance as relevant
 from .registry import ORACLE_SQL, query
 
@@ -52,7 +52,7 @@ def page_field_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("最高限价："), said, F.lit("万元，合同金额：88万元\n成交供应商：丙厂\n开标时间："), day("yyyy/M/d"), F.lit(" 9:30:15\n项目联系人：王五 联系方式：88-1\n联系地址：乙街\n北碚区外的渝北区".replace("北碚区外的", ""))))
         .otherwise(F.concat(F.lit("无标签 "), day("yyyy年MM月dd日"), F.lit("8:00")))
     )
-    rows = once(read(spark, sf_dir, "orders"), page=page).select("o_orderkey", fields.page_fields(F.col("page")).alias("f"))
+    rows = once(dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")), page=page).select("o_orderkey", fields.page_fields(F.col("page")).alias("f"))
     names = ("budget", "bid_amount", "supplier", "contact", "phone", "email", "address", "overview", "region")
     return rows.select("o_orderkey", *[F.col(f"f.{n}") for n in names], *[F.date_format(F.col(f"f.{n}"), "yyyy-MM-dd HH:mm:ss").alias(n) for n in ("due", "opens")])
 
@@ -233,7 +233,7 @@ def certificate_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, said("居民身份证\n姓名：王五\n性别男 民族汉\n公民身份号码 50010119900101", F.right(six, F.lit(3)), "x"))
         .otherwise(said("安全生产考核合格证\n安全员\n持有人：赵六\n等级证书 三级\n编号：AQ", six, "\n有效期：2032/", month, "/9\n地址：北路"))
     )
-    rows = read(spark, sf_dir, "customer").select("c_custkey", certificates.fields(text).alias("f"))
+    rows = once(dealt(read(spark, sf_dir, "customer").select("c_custkey", "c_name")), text=text).select("c_custkey", certificates.fields(F.col("text")).alias("f"))
     names = ("certificate_type", "name", "person_name", "id_number", "certificate_no", "construction_no", "title", "level", "registered_city", "valid_from", "valid_to", "issuer", "address", "legal_person")
     return rows.select("c_custkey", *[F.col(f"f.{n}") for n in names])
 
