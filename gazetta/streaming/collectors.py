@@ -1,4 +1,4 @@
-"""Collectors as state machines on transformWithState: values, a map and event-time timers per collector."""
+"""Collectors as state machines on transformWithState: one value with a map, and event-time timers per collector."""
 
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ class CollectorStates(StatefulProcessor):
     ``start`` (again) begins with nothing: counts and sources are cleared, and a timer is set. If no run was told until the timer's time,
     the collector is ``idle``, told once with that time, either when the watermark has passed it or before the first later event;
     it stays so until its first run. A run that isn't ``ok`` counts as a failure; after ENOUGH in a row the status is ``degraded``, until a run is ok.
-    Runs before any start are counted, too. The map holds how often each source was collected.
+    Runs before any start are counted, too. The map holds how often each source was collected. A collector's state is read and written once
+    a micro-batch, since each access asks the JVM.
     """
 
     def __init__(self, key: str, idle: int = IDLE, enough: int = ENOUGH):
@@ -32,53 +33,44 @@ class CollectorStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getValueState("counts", "failures int, ok int, fail int, due bigint, told boolean")
-        self.sources = handle.getMapState("sources", "source string", "n int")
+        self.state = handle.getValueState("state", "failures int, ok int, fail int, due bigint, told boolean, sources map<string, int>")
 
     def _now(self) -> tuple:
-        return tuple(self.counts.get()) if self.counts.exists() else (0, 0, 0, None, False)
-
-    def _row(self, name: tuple, at: int, status: str, state: tuple) -> tuple:
-        return (name[0], at, status, state[0], state[1], state[2], sum(1 for _ in self.sources.keys()))
+        *counts, sources = self.state.get() or (0, 0, 0, None, False, {})
+        return tuple(counts), dict(sources)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[self.key, "at_us", "status", "failures", "total_ok", "total_fail", "sources"])
 
-    def _clear_timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state, out = self._now(), []
-        told = sorted(r for part in rows for r in zip(part["us"], part["event_id"], part["kind"], part["source"], strict=True))
-        for at, _, kind, source in told:
-            failures, ok, fail, due, idle = state
+        (failures, ok, fail, due, idle), sources = self._now()
+        timer, out = due if not idle else None, []
+        for at, _, kind, source in sorted(r for part in rows for r in zip(part["us"], part["event_id"], part["kind"], part["source"], strict=True)):
             if due is not None and not idle and at > due:
-                out.append(self._row(key, due, "idle", state))
-                idle = True
+                out.append((key[0], due, "idle", failures, ok, fail, len(sources)))
             if kind == "start":
-                self.sources.clear()
-                self._clear_timers()
+                sources = {}
                 failures = ok = fail = 0
-                due, idle = int(at) + self.idle_us, False
-                self.handle.registerTimer(due // 1000 + 1)
+                due = int(at) + self.idle_us
             else:
                 failures, ok, fail = (0, ok + 1, fail) if kind == "ok" else (failures + 1, ok, fail + 1)
-                if due is not None:
-                    self._clear_timers()
-                due, idle = None, False
-                seen = self.sources.getValue((source,)) if self.sources.containsKey((source,)) else None
-                self.sources.updateValue((source,), ((seen[0] if seen else 0) + 1,))
-            state = (failures, ok, fail, due, idle)
-            out.append(self._row(key, int(at), "degraded" if failures >= self.enough else "ok", state))
-        self.counts.update(state)
+                due = None
+                sources[source] = sources.get(source, 0) + 1
+            idle = False
+            out.append((key[0], int(at), "degraded" if failures >= self.enough else "ok", failures, ok, fail, len(sources)))
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer // 1000 + 1)
+            if due is not None:
+                self.handle.registerTimer(due // 1000 + 1)
+        self.state.update((failures, ok, fail, due, idle, sources))
         yield self._frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        failures, ok, fail, due, idle = state = self._now()
+        (failures, ok, fail, due, idle), sources = self._now()
         if due is not None and not idle and expiredTimerInfo.getExpiryTimeInMs() > due // 1000:
-            self.counts.update((failures, ok, fail, due, True))
-            yield self._frame([self._row(key, due, "idle", state)])
+            self.state.update((failures, ok, fail, due, True, sources))
+            yield self._frame([(key[0], due, "idle", failures, ok, fail, len(sources))])
 
     def close(self) -> None:
         pass
