@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .amounts import parse_amount
 from .classify import is_aborted
-from .extract import NUMERALS, candidate_awards, package_awards, unnumbered_awards, winner_name, winners
+from .extract import NUMERALS, candidate_awards, let, package_awards, unnumbered_awards, winner_name, winners
 
 #: A row of a score table: rank, bidder, price, any number, score (fixed value).
 TABLE_ROW = r"第([一二三四五六七八九十]+|\d+)名\s+(\S+?(?:公司|集团|企业|联合体|事务所|院))\s+([\d.]+)\s+[\d.]+\s+([\d.]+)"
@@ -22,7 +22,7 @@ BRACKETED_UNIT = r"中标金额\s*[(（]\s*(万元|元)\s*[)）]\s*([0-9.,]+)"
 
 def table_candidates(content: Column) -> Column:
     """Array of (rank, winner, amount, score) of the rows of a score table."""
-    hits = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit("(?U)" + TABLE_ROW), 0)
+    hits = F.regexp_extract_all(F.when(content.rlike("名(?U:\\s)"), content).otherwise(""), F.lit("(?U)" + TABLE_ROW), 0)
     part = lambda x, k: F.regexp_extract(x, "(?U)" + TABLE_ROW, k)
 
     def row(x: Column) -> Column:
@@ -35,7 +35,7 @@ def table_candidates(content: Column) -> Column:
 def announced_amount(content: Column) -> Column:
     """Amount of a result: a number behind a unit in brackets, else by AMOUNT_FORMS; null without."""
     unit = F.concat(F.nullif(F.regexp_extract(content, BRACKETED_UNIT, 2), F.lit("")), F.regexp_extract(content, BRACKETED_UNIT, 1))
-    return parse_amount(F.coalesce(unit, *[F.nullif(F.trim(F.regexp_extract(content, f, 1)), F.lit("")) for f in AMOUNT_FORMS]))
+    return let(F.coalesce(unit, *[F.nullif(F.trim(F.regexp_extract(content, f, 1)), F.lit("")) for f in AMOUNT_FORMS]), parse_amount)
 
 
 def result_awards(content: Column) -> Column:
@@ -43,8 +43,8 @@ def result_awards(content: Column) -> Column:
     content = F.coalesce(content, F.lit(""))
     found = F.filter(F.array(*[winners(F.regexp_extract(content, f, 1)) for f in WINNER_FORMS]), lambda x: F.size(x) > 0)
     names = F.filter(F.transform(F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>")), winner_name), lambda x: x.isNotNull())
-    amount = announced_amount(content)
-    return F.transform(names, lambda x: F.struct(F.lit(1).alias("rank"), x.alias("winner"), amount.alias("amount"), F.lit(None).cast("decimal(6,2)").alias("score")))
+    row = lambda amount: lambda x: F.struct(F.lit(1).alias("rank"), x.alias("winner"), amount.alias("amount"), F.lit(None).cast("decimal(6,2)").alias("score"))
+    return let(announced_amount(content), lambda amount: F.transform(names, row(amount)))
 
 
 def awards(content: Column, info_type: Column) -> Column:

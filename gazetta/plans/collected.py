@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import award_text, certificates, notice_text, overview
 from ..functions.text import strip_markup
 from ..sources import html_pages, json_pages
-from ..sources.tables import read
+from ..sources.tables import dealt, once, read
 from ..streaming import collectors, flows
 from .registry import query
 
@@ -138,7 +138,8 @@ def award_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("拟 中 标 人 "), who, F.lit(" 中标金额 (万元) "), said, F.lit(" 工商注册号 1")))
         .when(k == 3, F.concat(F.lit("三、中标候选人公示内容"), *ten)).otherwise(F.concat(F.lit("中标候选人："), who, F.lit("\n投标单位：戊公司")))
     )
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.explode(award_text.awards(text, F.when(k.isin(1, 2), "中标结果公示").otherwise("中标候选人公示"))).alias("a"))
+    rows = once(dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")), text=text, kind=F.when(k.isin(1, 2), "中标结果公示").otherwise("中标候选人公示"))
+    rows = rows.select("o_orderkey", F.explode(award_text.awards(F.col("text"), F.col("kind"))).alias("a"))
     return rows.select("o_orderkey", "a.rank", "a.winner", F.col("a.amount").cast("double").alias("amount"), F.col("a.score").cast("double").alias("score"))
 
 
